@@ -6,6 +6,7 @@ import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Used only where the session names no shared folder, as in tests.
 FALLBACK_CHECKPOINTS = "/tmp/checkpoints/tessera"
@@ -54,3 +55,8 @@ def sample_rows(df: DataFrame, key: str, n: int) -> list:
     operator that fits a model.
     """
     return df.orderBy(F.xxhash64(F.lit("fit"), F.col(key)), F.col(key)).limit(n).collect()
+
+
+def wider(schema: T.StructType, **kinds: str) -> T.StructType:
+    """`schema` with fields more, of the named types."""
+    return T.StructType([*schema.fields, *(T.StructField(k, T.StructType.fromDDL(f'{k} {v}')[k].dataType) for k, v in kinds.items())])

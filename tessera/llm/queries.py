@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, simhash
+from . import language, mixing, quality_rules, simhash
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op3_simhash": simhash.op3_simhash,
+    "op7_language_id": language.op7_language_id,
+    "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 
 SQL = {
