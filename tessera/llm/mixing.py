@@ -22,7 +22,7 @@ from . import common
 #: Weights of the sources in code-point order, repeating (fixed by the contract).
 WEIGHTS = (5, 2, 1)
 #: Rows that a range of keys holds on average, at most.
-RANGE_ROWS = 50_000
+RANGE_ROWS = 1_000
 
 
 def targets(sources: DataFrame, weights=WEIGHTS, share: tuple[int, int] = (3, 2), cap: int = 2) -> DataFrame:
