@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import language, mixing, quality_rules, simhash
+from . import language, mixing, neighbours, quality_rules, simhash, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_mixing": mixing.op2_mixing,
     "op3_simhash": simhash.op3_simhash,
+    "op6_neighbours": neighbours.op6_neighbours,
     "op7_language_id": language.op7_language_id,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
