@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language, mixing, neighbours, quality_rules, simhash, toxicity
+from . import language, licenses, mixing, neighbours, quality_rules, simhash, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_simhash": simhash.op3_simhash,
     "op6_neighbours": neighbours.op6_neighbours,
     "op7_language_id": language.op7_language_id,
+    "op8_licenses": licenses.op8_licenses,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 
