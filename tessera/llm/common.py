@@ -48,15 +48,23 @@ def n_words(text: Column) -> Column:
     return (F.size(parts) - ends).cast("long")
 
 
-def sample_rows(df: DataFrame, key: str, n: int) -> list:
-    """At most `n` rows to fit a model on, chosen by a hash of `key`, the same ones on every run.
+def thinned(df: DataFrame, key: str, n: int, total: int | None = None) -> DataFrame:
+    """About `n` rows of `df` (all, if there are fewer) to fit a model on, by a hash of `key`.
 
-    The only rows that reach the driver; `n` is a documented parameter of each
-    operator that fits a model.
+    The same rows on every run, in a filter: nothing is sorted or gathered for it.
+    `total`: the rows of `df`, or more, if the caller knows; counted otherwise.
     """
-    return df.orderBy(F.xxhash64(F.lit("fit"), F.col(key)), F.col(key)).limit(n).collect()
+    total = df.count() if total is None else total
+    if total <= n:
+        return df
+    parts = 1 << 30
+    return df.filter(F.pmod(F.xxhash64(F.lit("fit"), F.col(key)), F.lit(parts)) < int(parts * n / total))
 
 
+def sample_rows(df: DataFrame, key: str, n: int, total: int | None = None) -> list:
+    """About `n` rows of `df` on the driver, never over 2 `n`; `n` is a documented parameter of each operator."""
+    return thinned(df, key, n, total).limit(2 * n).collect()
+
 def wider(schema: T.StructType, **kinds: str) -> T.StructType:
     """`schema` with fields more, of the named types."""
     return T.StructType([*schema.fields, *(T.StructField(k, T.StructType.fromDDL(f'{k} {v}')[k].dataType) for k, v in kinds.items())])

@@ -7,7 +7,7 @@ which half are spliced from two languages, so that code-switched text is labelle
 word by word. Forward-backward gives each word's marginals; a document's language
 is the one with the largest expected share of its words.
 
-Fitting: at most FIT_DOCS rows of known language, none held out, reach the driver;
+Fitting: about FIT_DOCS rows of known language, none held out, reach the driver;
 the model has BUCKETS rows of one weight per language and is broadcast (a few MB).
 Scoring is one pass of Arrow batches, without a shuffle; whole texts are read, in
 groups of GROUP_CHARS characters, and the cache of word scores is bounded.
@@ -216,9 +216,9 @@ def groups(texts: list, limit: int = GROUP_CHARS) -> Iterator[tuple[int, int]]:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_docs: int = FIT_DOCS) -> Crf | None:
-    """A model of at most `fit_docs` rows with a language and words that are not held out."""
-    usable = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~common.is_held_out(F.col(id_col)) & (F.length(text_col) <= FIT_CHARS))
-    rows = common.sample_rows(usable.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), "doc_id", fit_docs)
+    """A model of about `fit_docs` rows (never over twice that) with a language and words that are not held out."""
+    known = docs.filter(F.col(lang_col).isNotNull() & ~common.is_held_out(F.col(id_col))).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    rows = common.sample_rows(known.filter(F.length("text") <= FIT_CHARS), "doc_id", fit_docs, known.count())
     return Crf.fit([(r.text, r.lang) for r in sorted(rows, key=lambda r: (r.doc_id is None, r.doc_id or 0, r.text))])
 
 

@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by inner product: a hierarchical k-means tree, best bin first.
 
 Largest inner product becomes least distance by one component more, which brings
-all vectors to the length of the longest. The tree is fitted on at most FIT_ROWS
-vectors (so it has a bounded size and can be broadcast); every vector is indexed.
+all vectors to the length of the longest. The tree is fitted on about FIT_ROWS
+vectors, never over twice that (so it has a bounded size and can be broadcast); every vector is indexed.
 A search keeps a priority queue of branches by distance to their centres and opens
 leaves until the calibrated number is reached: the least number at which sample
 queries, held against brute force over all rows, find TARGET of their neighbours.

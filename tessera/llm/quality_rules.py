@@ -1,8 +1,8 @@
 """Quality rules: gradient-boosted trees over document statistics.
 
 One pass of Arrow batches computes the statistics of each whole text and scores
-them with trees kept as flat numpy arrays; no shuffle. The trees are fitted on at
-most FIT_ROWS labelled documents, none held out; statistics of junk (symbols,
+them with trees kept as flat numpy arrays; no shuffle. The trees are fitted on
+about FIT_ROWS labelled documents, none held out; statistics of junk (symbols,
 repeated lines and words, shouting) may only lower the score.
 """
 
@@ -83,10 +83,10 @@ def base_fails(counts: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> boosting.Forest | None:
-    """Trees from at most `fit_rows` labelled documents that are not held out; None if both classes are not there."""
+    """Trees from about `fit_rows` labelled documents that are not held out; None if both classes are not there."""
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~common.is_held_out(F.col("doc_id"))).select("doc_id", "quality")
-    chosen = known.distinct().orderBy(F.xxhash64(F.lit("fit"), F.col("doc_id")), "doc_id", "quality").limit(fit_rows)
-    # fit_rows rows of two numbers: bounded, so it can go to every task
+    chosen = common.thinned(known.distinct(), "doc_id", fit_rows)
+    # about fit_rows rows of two numbers: bounded, so it can go to every task
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text").mapInArrow(_features, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality int, f array<double>").collect()
     if len({r.quality for r in rows}) < 2:
         return None

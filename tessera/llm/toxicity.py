@@ -8,7 +8,7 @@ together, so that misspelled terms match. Each match is seen in its window of
 words: other matches and words of address raise it, quotation marks around it lower
 it. A logistic model over such counts, fitted on the same rows, gives the score.
 
-Fitting: at most FIT_ROWS labelled rows of each class, none held out, reach the
+Fitting: about FIT_ROWS labelled rows of each class, none held out, reach the
 driver. Scoring: one pass of Arrow batches over whole texts, no shuffle; the cache
 of words met is bounded.
 """
@@ -219,10 +219,12 @@ def fit(rows: list[tuple[str, int]], seeds: list[str] = SEEDS) -> Scorer:
     return Scorer(scorer.trie.terms, logistic(x, np.array([t for _, t in docs], float)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.1, rounds: int = 30) -> np.ndarray:
-    """Weights, intercept first, by Newton steps; both classes weigh the same."""
+def logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.1, rounds: int = 30, balanced: bool = True) -> np.ndarray:
+    """Weights, intercept first, by Newton steps; balanced: both classes weigh the same."""
     x = np.column_stack((np.ones(len(x)), x))
-    w, weight = np.zeros(x.shape[1]), np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) * len(y)
+    w, weight = np.zeros(x.shape[1]), np.ones(len(y))
+    if balanced:
+        weight = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) * len(y)
     ridge = np.diag([1e-6] + [l2] * (x.shape[1] - 1))
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -234,10 +236,10 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.1, rounds: int = 30) ->
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, fit_rows: int, fit_chars: int = FIT_CHARS) -> list[tuple[str, int]]:
-    """(text, label) of at most fit_rows rows of each class, not held out, of texts of at most fit_chars characters."""
+    """(text, label) of about fit_rows rows of each class, not held out, of texts of at most fit_chars characters."""
     known = labels.filter(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull() & ~common.is_held_out(F.col("doc_id"))).select("doc_id", F.col(label_col).alias("label")).distinct()
-    top = [known.filter(F.col("label") == v).orderBy(F.xxhash64(F.lit("fit"), F.col("doc_id")), "doc_id").limit(fit_rows) for v in (0, 1)]
-    # two numbers in each of 2 x fit_rows rows: bounded, so it can go to every task
+    top = [common.thinned(known.filter(F.col("label") == v), "doc_id", fit_rows) for v in (0, 1)]
+    # two numbers in each of about 2 x fit_rows rows: bounded, so it can go to every task
     rows = docs.select("doc_id", "text").filter(F.length("text") <= fit_chars).join(F.broadcast(top[0].unionByName(top[1])), "doc_id").select("text", "label").collect()
     return sorted((r.text, r.label) for r in rows)
 
