@@ -75,71 +75,108 @@ FAMILIES = [
     ("icu", "icu licen[cs]e", "unicode licen[cs]e", ""),
     ("0bsd", "zero clause bsd licen[cs]e", "0bsd licen[cs]e", ""),
 ]
-# Rules that no family gives. (label, keyword, expression, score)
+# Rules that no family gives. (label, expression, score)
 SINGLE = [
-    ("bsd-2-clause", "bsd", "(?:simplified|freebsd|2 clause|two clause) bsd licen[cs]e|bsd 2 clause(?: licen[cs]e)?", 0.9),
-    ("bsd-3-clause", "bsd", "(?:modified|new|revised|3 clause|three clause) bsd licen[cs]e|bsd 3 clause(?: licen[cs]e)?", 0.9),
-    ("bsd-4-clause", "bsd", "(?:original|4 clause|four clause) bsd licen[cs]e|bsd 4 clause(?: licen[cs]e)?", 0.9),
-    ("bsd", "bsd", "bsd(?: style)? licen[cs]e", 0.7),
-    ("mit", "permission", "permission is hereby granted free of charge to any person obtaining a copy(?: of this software and associated documentation files)?(?: [^ ]+){0,400}? sublicense", 1.0),
-    ("apache-2.0", "apache", "apache org licenses license 2 0", 1.0),
-    ("mit", "opensource", "opensource org licenses mit(?: license)?", 1.0),
-    ("bsd-3-clause", "opensource", "opensource org licenses bsd 3 clause", 1.0),
-    ("bsd-2-clause", "opensource", "opensource org licenses bsd 2 clause", 1.0),
-    ("cc0-1.0", "creativecommons", "creativecommons org (?:publicdomain|licenses) zero 1 0", 1.0),
-    ("cc0-1.0", "cc0", "cc0(?: 1 0)?(?: universal)?(?: licen[cs]e)?", 0.8),
-    ("cc0-1.0", "commons", "creative commons (?:zero|cc0)(?: v?1 0)?(?: universal)?", 0.9),
-    ("cc", "commons", "(?:a |under )?creative commons(?: licen[cs]e)?", 0.5),
-    ("public-domain", "domain", "(?:released|placed|dedicated|is) (?:in|into|to) the public domain|in the public domain|public domain dedication", 0.7),
-    ("copyleft", "copyleft", "copyleft(?: licen[cs]e)?", 0.4),
-    ("proprietary", "proprietary", "proprietary licen[cs]e", 0.5),
-    ("license-notice", "licensed", "(?:is |are )?licensed under(?: the)?(?: terms of(?: the)?)?", 0.3),
-    ("license-notice", "license", "see (?:the )?license(?: file)? for (?:the )?(?:specific language|details|more information)", 0.3),
-    ("license-notice", "license", "all rights reserved(?: [^ ]+){0,12}? licen[cs]e", 0.3),
+    ("bsd-2-clause", "(?:simplified|freebsd|2 clause|two clause) bsd licen[cs]e|bsd 2 clause(?: licen[cs]e)?", 0.9),
+    ("bsd-3-clause", "(?:modified|new|revised|3 clause|three clause) bsd licen[cs]e|bsd 3 clause(?: licen[cs]e)?", 0.9),
+    ("bsd-4-clause", "(?:original|4 clause|four clause) bsd licen[cs]e|bsd 4 clause(?: licen[cs]e)?", 0.9),
+    ("bsd", "bsd(?: style)? licen[cs]e", 0.7),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy(?: of this software and associated documentation files)?(?: [^ ]+){0,400}? sublicense", 1.0),
+    ("apache-2.0", "apache org licenses license 2 0", 1.0),
+    ("mit", "opensource org licenses mit(?: license)?", 1.0),
+    ("bsd-3-clause", "opensource org licenses bsd 3 clause", 1.0),
+    ("bsd-2-clause", "opensource org licenses bsd 2 clause", 1.0),
+    ("cc0-1.0", "creativecommons org (?:publicdomain|licenses) zero 1 0", 1.0),
+    ("cc0-1.0", "cc0(?: 1 0)?(?: universal)?(?: licen[cs]e)?", 0.8),
+    ("cc0-1.0", "creative commons (?:zero|cc0)(?: v?1 0)?(?: universal)?", 0.9),
+    ("cc", "(?:a |under )?creative commons(?: licen[cs]e)?", 0.5),
+    ("public-domain", "(?:released|placed|dedicated|is) (?:in|into|to) the public domain|in the public domain|public domain dedication", 0.7),
+    ("copyleft", "copyleft(?: licen[cs]e)?", 0.4),
+    ("proprietary", "proprietary licen[cs]e", 0.5),
+    ("license-notice", "(?:is |are )?licensed under(?: the)?(?: terms of(?: the)?)?", 0.3),
+    ("license-notice", "see (?:the )?license(?: file)? for (?:the )?(?:specific language|details|more information)", 0.3),
+    ("license-notice", "all rights reserved(?: [^ ]+){0,12}? licen[cs]e", 0.3),
 ]
 CC_KINDS = ("by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd")
 CC_WORDS = {"by": "attribution", "sa": "share ?alike", "nc": "non ?commercial", "nd": "no ?deriv(?:ative|ate)?s(?: works)?"}
 CC_VERSIONS = ("1 0", "2 0", "2 5", "3 0", "4 0")
 
 
+#: Words that say nothing about which license it is.
+COMMON_WORDS = frozenset("license public software the a free open source general licenses org under".split())
+
+
+def keyword(pattern: str) -> str:
+    """The most telling literal stretch that every match of a pattern without top-level alternatives must hold."""
+    depth, runs, run = 0, [], ""
+    for i, ch in enumerate(pattern):
+        depth += (ch == "(") - (ch == ")")
+        after = pattern[i + 1 : i + 2]
+        if depth == 0 and (ch.isalnum() or ch == " ") and after not in ("?", "*", "{"):
+            run += ch
+        else:
+            runs.append(run)
+            run = ""
+    runs.append(run)
+    telling = lambda r: sum(len(w) for w in r.split() if w not in COMMON_WORDS) + len(r) / 100
+    return max(runs, key=telling)
+
+
+def alternatives(pattern: str) -> list[str]:
+    """The top-level alternatives of a pattern."""
+    depth, out = 0, [""]
+    for ch in pattern:
+        depth += (ch == "(") - (ch == ")")
+        if ch == "|" and depth == 0:
+            out.append("")
+        else:
+            out[-1] += ch
+    return out
+
+
 def rules() -> list[dict]:
-    """All rules in order: label, keyword, expression over words joined by spaces, priority (1 is best), score."""
+    """All rules in order: label, keyword, expression over words joined by spaces, priority (1 is best), score.
+
+    "licence" has become "license" before a rule sees a text.
+    """
     out: list[dict] = []
 
-    def add(label, keyword, pattern, priority, score):
-        out.append({"label": label, "keyword": keyword, "pattern": f"(?<= )(?:{pattern})(?= )", "priority": priority, "score": score})
+    def add(label: str, pattern: str, priority: int, score: float) -> None:
+        for one in alternatives(pattern.replace("licen[cs]e", "license")):
+            out.append({"label": label, "keyword": keyword(one), "pattern": f" (?:{one})(?= )", "priority": priority, "score": score})
 
     def version(v: str) -> str:  # "2 0": 2.0, 2, v2
         major, minor = v.split()
-        return f"v?{major} {minor}" + (f"|v?{major}(?! [0-9])" if minor == "0" else "")
+        return f"(?:v?{major} {minor}" + (f"|v?{major}(?! [0-9]))" if minor == "0" else ")")
 
     for label, names, short, versions in FAMILIES:
-        key = "gpl" if short.endswith("gpl") else "license"
-        alike = "license"  # licence is spelled so before rules see it, see scan()
-        names, short = names.replace("licen[cs]e", alike), short.replace("licen[cs]e", alike)
         tag = label.replace("-", " ")
         for v in filter(None, versions.split("|")):
             full = f"{label}-{v.replace(' ', '.')}"
-            add(full, alike, f"spdx license identifier {tag} {v}(?: only| or later)?", 1, 1.0)
-            add(full, alike if "gnu gpl" not in names else "general", f"(?:{names})(?: as published by the free software foundation)?(?: either)?(?: version| v)? (?:{version(v)})(?: or (?:any |at your option any )?later(?: version)?)?", 2, 0.95)
-            add(full, key, f"{short}(?: version| v| licen[cs]e)? (?:{version(v)})(?: or later| only)?", 3, 0.8)
+            add(full, f"spdx license identifier {tag} {v}(?: only| or later)?", 1, 1.0)
+            for name in alternatives(names):
+                add(full, f"{name}(?: as published by the free software foundation)?(?: either)?(?: version| v)? {version(v)}(?: or (?:any |at your option any )?later(?: version)?)?", 2, 0.95)
+            add(full, f"{short}(?: version| v| license)? {version(v)}(?: or later| only)?", 3, 0.8)
         if not versions:
-            add(label, alike, f"spdx license identifier {tag}", 1, 1.0)
-        add(label, alike if "gnu gpl" not in names else "general", names, 3, 0.9 if versions else 0.95)
-        add(label, key, short, 3, 0.6)
+            add(label, f"spdx license identifier {tag}", 1, 1.0)
+        add(label, names, 3, 0.9 if versions else 0.95)
+        add(label, short, 3, 0.6)
+        if short.endswith("gpl"):  # gplv3
+            for v in versions.split("|"):
+                add(f"{label}-{v.replace(' ', '.')}", f"{short}v{v.split()[0]}", 3, 0.8)
     for kind in CC_KINDS:
         words = " ".join(CC_WORDS[k] for k in kind.split())
         name = "cc-" + kind.replace(" ", "-")
         for v in CC_VERSIONS:
             full = f"{name}-{v.replace(' ', '.')}"
-            add(full, "license", f"spdx license identifier cc {kind} {v}", 1, 1.0)
-            add(full, "creativecommons", f"creativecommons org licenses {kind} {v}", 1, 1.0)
-            add(full, "cc", f"cc {kind} {v}(?: licen[cs]e)?", 2, 0.95)
-            add(full, "commons", f"creative commons {words}(?: licen[cs]e)?(?: version)? {v}(?: international| unported| generic)?(?: licen[cs]e)?", 2, 0.95)
-        add(name, "cc", f"cc {kind}(?: licen[cs]e)?", 3, 0.8)
-        add(name, "commons", f"creative commons {words}(?: licen[cs]e)?", 3, 0.85)
-    for label, keyword, pattern, score in SINGLE:
-        add(label, keyword, pattern, 4 if score < 0.5 else 3, score)
+            add(full, f"spdx license identifier cc {kind} {v}", 1, 1.0)
+            add(full, f"creativecommons org licenses {kind} {v}", 1, 1.0)
+            add(full, f"cc {kind} {v}(?: license)?", 2, 0.95)
+            add(full, f"creative commons {words}(?: license)?(?: version)? {v}(?: international| unported| generic)?(?: license)?", 2, 0.95)
+        add(name, f"cc {kind}(?: license)?", 3, 0.8)
+        add(name, f"creative commons {words}(?: license)?", 3, 0.85)
+    for label, pattern, score in SINGLE:
+        add(label, pattern, 4 if score < 0.5 else 3, score)
     return out
 
 
@@ -158,13 +195,13 @@ def words_joined(text: Column) -> Column:
 def places(joined: Column, pattern: Column) -> Column:
     """Array of (start, stop) in words, from 0, stop after the last, of all matches of a pattern."""
     between, found = F.split(joined, pattern, -1), F.regexp_extract_all(joined, pattern, F.lit(0))
-    zero = F.struct(F.lit(-1).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("out"))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("out"))
 
     def step(state: Column, i: Column) -> Column:
-        start = state["at"] + spaces(F.element_at(between, i))
-        inner = spaces(F.element_at(found, i))
-        here = F.struct(start.cast("int").alias("start"), (start + inner + 1).cast("int").alias("stop"))
-        return F.struct((start + inner).cast("int").alias("at"), F.concat(state["out"], F.array(here)).alias("out"))
+        # a match starts with the space before its first word
+        start = (state["at"] + spaces(F.element_at(between, i))).cast("int")
+        stop = (start + spaces(F.element_at(found, i))).cast("int")
+        return F.struct(stop.alias("at"), F.concat(state["out"], F.array(F.struct(start.alias("start"), stop.alias("stop")))).alias("out"))
 
     some = F.aggregate(F.sequence(F.lit(1), F.size(found)), zero, step, lambda s: s["out"])
     return F.when(F.size(found) > 0, some).otherwise(F.array().cast("array<struct<start:int,stop:int>>"))
@@ -178,9 +215,11 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     empty strings, null places, score 0. Every row stays, repeated ones too;
     columns of these names are replaced. Labels in code-point order.
     """
-    kind = "array<struct<label:string,keyword:string,pattern:string,priority:int,score:double>>"
-    table = F.from_json(F.lit(json.dumps(rules())), kind)
-    keywords = F.array(*[F.lit(k) for k in sorted({r["keyword"] for r in rules()})])
+    by_keyword: dict[str, list[dict]] = {}
+    for r in rules():
+        by_keyword.setdefault(r["keyword"], []).append(r)
+    table = F.from_json(F.lit(json.dumps(by_keyword)), "map<string,array<struct<label:string,pattern:string,priority:int,score:double>>>")
+    keywords = F.array(*map(F.lit, sorted(by_keyword)))
     text = F.coalesce(F.col(text_col), F.lit(""))
     new = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections"]
     rest = docs.drop(*new)
@@ -195,7 +234,7 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     w = F.col("_words")
 
     def stands(phrase: str) -> Column:
-        return F.transform(places(w, F.lit(f"(?<= ){phrase}(?= )")), lambda x: F.struct(x["start"].alias("start"), F.lit(BASE[phrase]).alias("label")))
+        return F.transform(places(w, F.lit(f" {phrase}(?= )")), lambda x: F.struct(x["start"].alias("start"), F.lit(BASE[phrase]).alias("label")))
 
     hits = F.flatten(F.array(*map(stands, BASE)))
     d = d.withColumn("_base", F.when(w.isNotNull(), hits))
@@ -203,7 +242,8 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     d = d.withColumn("_same", F.when(w.isNotNull(), same))
     present = F.filter(keywords, lambda k: F.contains("_same", k))
     d = d.withColumn("_keys", F.when(w.isNotNull(), present))
-    tried = F.filter(table, lambda r: F.array_contains("_keys", r["keyword"]))
+    # keys are the argument and not in the lambda, where they would be worked out for each rule
+    tried = F.flatten(F.transform("_keys", lambda k: F.element_at(table, k)))
     found = F.flatten(
         F.transform(tried, lambda r: F.transform(places(F.col("_same"), r["pattern"]), lambda x: F.struct(x["start"].alias("start"), (-x["stop"]).alias("minus"), r["priority"].alias("priority"), r["label"].alias("label"), r["score"].alias("score"))))
     )
