@@ -14,7 +14,7 @@ ranges. A source with a third of all rows is spread over all its ranges.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -65,7 +65,7 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: tuple[int, int] = (3, 2)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", weights=WEIGHTS, share=(3, 2), cap: int = 2, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, epochs, taken.
+    """One row per document: doc_id, source, size, source_size, target, epochs, taken, mix_key.
 
     size: words of the text (null or empty: 0, then taken is 0). source: null is a
     source of its own. taken: words of this document in the mix, over all passes.
@@ -74,7 +74,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     columns are not read.
     """
     doc_id = F.col(id_col)
-    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
+    key = _key(doc_id, seed)
     sized = common.cut(docs.select(doc_id.alias("doc_id"), F.col(source_col).alias("source"), common.n_words(F.col(text_col)).alias("size"), key.alias("mix_key")))
     return _mix_sized(sized, weights, share, cap, range_rows)
 
@@ -100,7 +100,30 @@ def _mix_sized(sized: DataFrame, weights, share, cap: int, range_rows: int) -> D
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     rest = budget - epochs * F.col("source_size") - F.col("range_start") - F.col("inside")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(rest, F.col("size")))
-    return placed.select("doc_id", "source", "size", "source_size", "target", epochs.alias("epochs"), taken.cast("long").alias("taken"))
+    return placed.select("doc_id", "source", "size", "source_size", "target", epochs.alias("epochs"), taken.cast("long").alias("taken"), "mix_key")
+
+
+def _key(doc_id: Column, seed: str) -> Column:
+    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", **options) -> DataFrame:
+    """`docs` as the mix has them: every row as often as it is taken, whole documents only.
+
+    A document that the budget cuts counts as taken if at least half of it is. What
+    is decided of a source is a number of passes and the last place of its order that
+    goes once more, so each row is decided where it lies: the documents are joined
+    to one row for each source and not moved by key.
+    """
+    place = lambda key, doc_id, size: F.struct(key.alias("k"), doc_id.isNull().alias("n"), doc_id.alias("d"), size.alias("s"))
+    m = mix(docs, id_col, text_col, source_col, seed, **options)
+    part = F.col("taken") - F.col("epochs") * F.col("size")
+    again = F.when((2 * part >= F.col("size")) & (part > 0), place(F.col("mix_key"), F.col("doc_id"), F.col("size")))
+    plan = common.cut(m.groupBy(F.col("source").alias("_source")).agg(F.max("epochs").alias("_epochs"), F.max(again).alias("_last")))
+    own = place(_key(F.col(id_col), seed), F.col(id_col), common.n_words(F.col(text_col)))
+    joined = docs.join(plan, F.col(source_col).eqNullSafe(F.col("_source")))
+    copies = F.when(own["s"] > 0, F.col("_epochs") + F.coalesce(own <= F.col("_last"), F.lit(False)).cast("long")).otherwise(0)
+    return joined.withColumn("_copies", copies).filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+NEW = [*COUNTS, "base_failed", "quality_score", "kept"]
 #: Statistics that the trees see, and how the score may move with each.
 FEATURES = {
     "log_words": 0,
@@ -107,8 +108,7 @@ def apply_rules(docs: DataFrame, forest: boosting.Forest | None, text_col: str =
     base rules as it has fewer than MIN_WORDS words. Without trees (no labels of
     both classes) the score is 1 and the base rules decide.
     """
-    new = [*COUNTS, "base_failed", "quality_score", "kept"]
-    rest = docs.drop(*new)
+    rest, new = docs.drop(*NEW), NEW
     at = rest.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

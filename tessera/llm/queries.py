@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import cotraining, extraction, language, licenses, mixing, neighbours, quality_rules, simhash, toxicity
+from . import cotraining, extraction, language, licenses, mixing, neighbours, pieces, quality_rules, simhash, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_mixing": mixing.op2_mixing,
     "op3_simhash": simhash.op3_simhash,
+    "op4_sentencepiece": pieces.op4_sentencepiece,
     "op5_extraction": extraction.op5_extraction,
     "op6_neighbours": neighbours.op6_neighbours,
     "op7_language_id": language.op7_language_id,

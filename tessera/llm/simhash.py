@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -204,6 +204,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(named, fps.fp == named.named_fp).select("doc_id", "fp", "component_id")
 
 
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """The rows of `docs` without near-duplicates: of each component the document whose id names it.
+
+    Rows that share an id are one document; the one with the least text stays. Rows
+    with a null id cannot be named and all stay.
+    """
+    found = near_duplicates(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, words)
+    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    first = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
+    named = docs.join(kept, F.col(id_col) == F.col("_kept")).withColumn("_n", first).filter("_n = 1").select(*docs.columns)
+    return named.unionByName(docs.filter(F.col(id_col).isNull()))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(common.table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
