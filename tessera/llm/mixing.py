@@ -23,6 +23,8 @@ from . import common
 WEIGHTS = (5, 2, 1)
 #: Rows that a range of keys holds on average, at most.
 RANGE_ROWS = 1_000
+#: Sources up to which their table goes to every task (a row has about 100 bytes).
+BROADCAST_SOURCES = 50_000
 
 
 def targets(sources: DataFrame, weights=WEIGHTS, share: tuple[int, int] = (3, 2), cap: int = 2) -> DataFrame:
@@ -120,6 +122,8 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     part = F.col("taken") - F.col("epochs") * F.col("size")
     again = F.when((2 * part >= F.col("size")) & (part > 0), place(F.col("mix_key"), F.col("doc_id"), F.col("size")))
     plan = common.cut(m.groupBy(F.col("source").alias("_source")).agg(F.max("epochs").alias("_epochs"), F.max(again).alias("_last")))
+    if plan.count() <= BROADCAST_SOURCES:  # checked; beyond it the join is left to Spark
+        plan = F.broadcast(plan)
     own = place(_key(F.col(id_col), seed), F.col(id_col), common.n_words(F.col(text_col)))
     joined = docs.join(plan, F.col(source_col).eqNullSafe(F.col("_source")))
     copies = F.when(own["s"] > 0, F.col("_epochs") + F.coalesce(own <= F.col("_last"), F.lit(False)).cast("long")).otherwise(0)
