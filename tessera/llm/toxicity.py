@@ -34,9 +34,14 @@ FIT_CHARS = 20_000
 CACHED_WORDS = 300_000
 WINDOW = 6
 THRESHOLD = 0.7
-#: A word or beginning is learned if it is in this share of the toxic documents, and so many times likelier there.
-LEAST_SHARE, LEAST_LIFT, LEAST_DOCS = 0.01, 20, 5
+#: A word or beginning is learned if it is in this share of the toxic documents and in so many, so many times likelier
+#: there, and if chance would seldom make such counts (log-likelihood ratio).
+LEAST_SHARE, LEAST_DOCS, LEAST_LIFT, LEAST_RATIO = 0.01, 4, 5, 20
+#: Weight of a seed that the labelled rows do not have; bounds of all weights (log of the lift).
+SEED_WEIGHT, LEAST_WEIGHT, MOST_WEIGHT, NEAR_SHARE = 4.0, 0.5, 5.0, 0.7
 STEMS = (4, 5, 6)
+#: Terms that share four letters and are taken for forms of one stem.
+FAMILY = 4
 
 # English insults, and words of address.
 SEEDS = "clown crap degenerate disgusting dumb filthy garbage idiot imbecile jerk loser moron pathetic scum scumbag stupid trash vermin worthless".split()
@@ -49,7 +54,12 @@ QUOTES = re.compile(r"[\"“”„«»‘’]")
 class Trie:
     """Terms with a weight; a term that ends in `*` is a beginning and matches any word that starts so."""
 
-    def __init__(self, terms: list[str]):
+    def __init__(self, weights: dict[str, float]):
+        self.weights, terms = weights, list(weights)
+        families = Counter(t[:4] for t in terms)
+        #: Edits that a term forgives: none for short words and beginnings, nor where many terms are forms of one stem,
+        #: as one form's neighbours are then ordinary words.
+        self.edits = {t: int(not t.endswith("*") and len(t) >= 5 and families[t[:4]] < FAMILY) for t in terms}
         self.next: list[dict[str, int]] = [{}]
         self.term: list[str | None] = [None]
         self.terms = sorted(terms)
@@ -68,11 +78,11 @@ class Trie:
         whole = [t for t in self.terms if not t.endswith("*")]
         self.ends: dict[int, tuple[tuple[str, ...], tuple[str, ...]]] = {}
         for n in {len(t) + d for t in whole for d in (-1, 0, 1)}:
-            near = [t for t in whole if abs(len(t) - n) <= edits(t)]
-            self.ends[n] = tuple({t[: len(t) // 2] if edits(t) else t for t in near}), tuple({t[len(t) // 2 :] for t in near if edits(t)})
+            near = [t for t in whole if abs(len(t) - n) <= self.edits[t]]
+            self.ends[n] = tuple({t[: len(t) // 2] if self.edits[t] else t for t in near}), tuple({t[len(t) // 2 :] for t in near if self.edits[t]})
 
     def match(self, word: str) -> tuple[str, int] | None:
-        """(term, edits) of the nearest term, ties to the first in order."""
+        """(term, edits) of the nearest term, ties to the greater weight."""
         heads, tails = self.ends.get(len(word), ((), ()))
         if not (word.startswith(self.stems) or word.startswith(heads) or word.endswith(tails)):
             return None
@@ -83,17 +93,12 @@ class Trie:
             term = self.term[node]
             if term is not None:
                 d = machine.distance(state, term.endswith("*"))
-                if d is not None and d <= edits(term) and (found is None or (d, term) < found):
-                    found = d, term
+                if d is not None and d <= self.edits[term] and (found is None or (d, -self.weights[term], term) < found):
+                    found = d, -self.weights[term], term
             for ch, child in self.next[node].items():
                 if after := machine.step(state, ch):
                     stack.append((child, after))
-        return found and (found[1], found[0])
-
-
-def edits(term: str) -> int:
-    """Edits that a term of this length forgives: none for beginnings and short words."""
-    return 0 if term.endswith("*") or len(term) < 5 else 1
+        return found and (found[2], found[0])
 
 
 class LevenshteinAutomaton:
@@ -122,34 +127,34 @@ class LevenshteinAutomaton:
         return min(state.values(), default=None) if beginning else state.get(len(self.word))
 
 
-FEATURES = ("any_exact", "log_exact", "any_near", "log_near", "log_rate", "densest", "addressed", "quoted")
+FEATURES = ("best", "total", "near", "rate", "densest", "addressed", "quoted")
 
 
 class Scorer:
-    """Lexicon and weights of the logistic model: intercept first, then FEATURES."""
+    """Terms with weights, and the logistic model's weights: intercept first, then FEATURES."""
 
-    def __init__(self, terms: list[str], weights: np.ndarray | None = None):
+    def __init__(self, terms: dict[str, float], weights: np.ndarray | None = None):
         self.trie = Trie(terms)
-        self.weights = np.array([-4.0, 3.0, 1.5, 0.3, 0.5, 0.5, 0.5, 0.3, -2.0]) if weights is None else weights
+        self.weights = np.array([-5.0, 1.0, 1.0, 0.2, 0.3, 0.3, 0.3, -2.0]) if weights is None else weights
         self.known: set[str] = set()
-        self.hits: dict[str, int] = {}
+        self.hits: dict[str, tuple[int, float]] = {}
 
     def __reduce__(self):
-        return Scorer, (self.trie.terms, self.weights)
+        return Scorer, (self.trie.weights, self.weights)
 
     def look_up(self, words: set[str]) -> None:
         if len(self.known) > CACHED_WORDS:
             self.known, self.hits = set(), {}
         for w in words - self.known:
             if found := self.trie.match(w):
-                self.hits[w] = found[1]
+                self.hits[w] = found[1], self.trie.weights[found[0]] * (NEAR_SHARE if found[1] else 1)
         self.known |= words
 
     def matches(self, text: str) -> list[tuple[int, int, int, str, int]]:
         """(word's number, start, end, word, edits) of each match in a text."""
         lower = text.lower()
         self.look_up(set(WORD.findall(lower)))
-        return [(i, m.start(), m.end(), m[0], self.hits[m[0]]) for i, m in enumerate(WORD.finditer(lower)) if m[0] in self.hits]
+        return [(i, m.start(), m.end(), m[0], self.hits[m[0]][0]) for i, m in enumerate(WORD.finditer(lower)) if m[0] in self.hits]
 
     def features(self, text: str | None, words: list[str] | None = None) -> list[float]:
         lower = (text or "").lower()
@@ -168,13 +173,16 @@ class Scorer:
                     if k % 2 and k < len(marks) and marks[k] - marks[k - 1] <= 200:
                         quoted.add(i)
         open_ = [i for i in at if i not in quoted]
-        exact = sum(self.hits[words[i]] == 0 for i in open_)
-        near, densest, addressed = len(open_) - exact, 0, 0
+        exact = [self.hits[words[i]][1] for i in open_ if not self.hits[words[i]][0]]
+        near = [self.hits[words[i]][1] for i in open_ if self.hits[words[i]][0]]
+        densest = addressed = 0.0
         for i in open_:
-            densest = max(densest, bisect(at, i + WINDOW) - bisect(at, i - 1))
+            around = at[bisect(at, i - 1) : bisect(at, i + WINDOW)]
+            densest = max(densest, sum(self.hits[words[j]][1] for j in around))
             addressed += not ADDRESS.isdisjoint(words[max(0, i - WINDOW) : i + WINDOW + 1])
+        total = sum(exact) + sum(near)
         return [
-            float(exact > 0), np.log1p(exact), float(near > 0), np.log1p(near), np.log1p(1000 * len(open_) / len(words)),
+            max(exact, default=0.0), np.log1p(total), max(near, default=0.0), np.log1p(1000 * total / len(words)),
             np.log1p(densest), addressed / max(len(open_), 1), len(quoted) / len(at),
         ]
 
@@ -196,27 +204,39 @@ def fit(rows: list[tuple[str, int]], seeds: list[str] = SEEDS) -> Scorer:
     n1 = sum(t for _, t in docs)
     n0 = len(docs) - n1
     if not n1 or not n0:
-        return Scorer(seeds)
+        return Scorer(dict.fromkeys(seeds, SEED_WEIGHT))
     count = {True: Counter(), False: Counter()}
     ways: dict[str, set[str]] = {}
     for words, toxic in docs:
         kinds = {w for w in words if len(w) >= 4}
-        stems = {w[:n] + "*" for w in kinds for n in STEMS if len(w) > n}
-        count[bool(toxic)].update(kinds | stems)
+        count[bool(toxic)].update(kinds | {w[:n] + "*" for w in kinds for n in STEMS if len(w) > n})
         if toxic:
             for w in kinds:
                 for n in STEMS:
                     ways.setdefault(w[:n] + "*", set()).add(w)
-    least = max(LEAST_DOCS, LEAST_SHARE * n1)
-    lift = lambda t: (count[True][t] / n1) / ((count[False][t] + 0.05) / n0)
-    strong = {t for t, n in count[True].items() if n >= least and lift(t) >= LEAST_LIFT}
+
+    def weight(t: str) -> float:
+        a, b = count[True][t], count[False][t]
+        return float(np.clip(np.log((a + 0.1) / n1 * n0 / (b + 0.1)), LEAST_WEIGHT, MOST_WEIGHT))
+
+    def telling(t: str) -> bool:
+        a, b = count[True][t], count[False][t]
+        if a < max(LEAST_DOCS, LEAST_SHARE * n1) or a * n0 < LEAST_LIFT * b * n1:
+            return False
+        share = n1 / (n1 + n0)
+        ratio = 2 * (a * np.log(a / (share * (a + b))) + (b * np.log(b / ((1 - share) * (a + b))) if b else 0))
+        return ratio >= LEAST_RATIO
+
+    strong = {t for t in count[True] if telling(t)}
     stems = {t for t in strong if t.endswith("*") and len(ways[t]) >= 4}
-    stems = {t for t in stems if not any(t[:n] + "*" in stems for n in STEMS if n < len(t) - 1)}
-    learned = {t for t in strong if not t.endswith("*") and not any(t[:n] + "*" in stems for n in STEMS)}
-    kept = [s for s in seeds if count[False][s] < 5 or lift(s) >= 2]
-    scorer = Scorer(sorted({*stems, *learned, *kept}))
+    # of nested beginnings the longer one only where it tells clearly more
+    stems = {t for t in stems if not any(t[:n] + "*" in stems and weight(t) < weight(t[:n] + "*") + 0.7 for n in STEMS if n < len(t) - 1)}
+    learned = {t for t in strong if not t.endswith("*") and not any(t[:n] + "*" in stems and weight(t) < weight(t[:n] + "*") + 0.7 for n in STEMS)}
+    terms = {t: weight(t) for t in stems | learned} | {t: SEED_WEIGHT for t in seeds if not count[True][t] and not count[False][t]}
+    terms |= {t: weight(t) for t in seeds if count[True][t] and weight(t) > LEAST_WEIGHT}
+    scorer = Scorer(terms)
     x = np.array([scorer.features(" ".join(w), w) if scorer.look_up(set(w)) is None else 0 for w, _ in docs])
-    return Scorer(scorer.trie.terms, logistic(x, np.array([t for _, t in docs], float)))
+    return Scorer(terms, logistic(x, np.array([t for _, t in docs], float)))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.1, rounds: int = 30, balanced: bool = True) -> np.ndarray:

@@ -245,10 +245,13 @@ def test_automaton_matches_edit_distance(seed):
         return row[-1]
 
     rng = random.Random(seed)
-    terms = ["".join(rng.choices("abc", k=rng.randint(5, 8))) for _ in range(12)]
-    trie = toxicity.Trie(terms)
+    terms = ["".join(rng.choices("abcdef", k=rng.randint(5, 8))) for _ in range(12)]
+    trie = toxicity.Trie(dict.fromkeys(terms, 1.0))
     for _ in range(300):
-        w = "".join(rng.choices("abc", k=rng.randint(4, 9)))
+        w = list(rng.choice(terms))
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = rng.choice(["", "a", "b", "cd"])
+        w = "".join(w)
         best = min(distance(w, t) for t in terms)
         assert (trie.match(w) or (None, 2))[1] == min(best, 2)
 
