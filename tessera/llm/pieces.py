@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,14 +35,16 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common
 
-CHUNK_CHARS = 32_000_000
+CHUNK_CHARS = 5_000_000
 #: Longer words are folded outside the JVM, by the same rules and a heap.
 FOLD_CHARS = 48
 SPACE = "▁"  # the character that stands for a space in pieces
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
+MARKS = ".,;:!?"
 
 
 def default_model() -> str:
@@ -84,10 +87,18 @@ class PieceModel:
         return max(len(p) for p, _, _ in self.pieces)
 
     def words(self) -> re.Pattern:
-        """Spaces with the characters after them; line ends alone, as no piece has them."""
+        """Spaces with the characters after them, parted wherever no piece can run: at line ends and before marks.
+
+        A mark is one of MARKS that no piece has after a character other than a
+        space or a mark. Pieces then never cross the bounds, and "word," and "word." bring
+        no words of their own.
+        """
         if any("\n" in p for p, _, _ in self.pieces):
             raise ValueError("a piece holds a line end")
-        return re.compile(r" *[^ \n]+|\n| +")
+        pairs = {pair for p, _, _ in self.pieces for pair in zip(p, p[1:], strict=False)}
+        marks = "".join(m for m in MARKS if all(a in MARKS + SPACE for a, b in pairs if b == m))
+        m = re.escape(marks)
+        return re.compile(rf" *(?:[^ \n{m}]+|[{m}]+[^ \n{m}]*)|\n| +" if marks else r" *[^ \n]+|\n| +")
 
     def split(self, text: str | None) -> list[str]:
         return self.words().findall((" " if self.dummy_prefix else "") + text.replace(SPACE, " ")) if text else []
@@ -101,6 +112,11 @@ class PieceModel:
         table, w = self.table(), word.replace(" ", SPACE)
         return self._merge(w, table) if self.bpe else self._viterbi(w, table)
 
+    def costs(self) -> list[float]:
+        """Cost of each id; 0 where it is no ordinary piece."""
+        by_id = {i: c for _, c, i in self.pieces}
+        return [by_id.get(i, 0.0) for i in range(len(self.surface))]
+
     def table(self) -> dict[str, tuple[float, int]]:
         if not hasattr(self, "_table"):
             self._table = {p: (c, i) for p, c, i in self.pieces}
@@ -159,21 +175,35 @@ class PieceModel:
 UNKNOWN_COST = 10.0
 
 
+#: An edge in one number: rank of its piece's cost, start, end, id; it sorts by cost and then by start.
+ID_BITS, PLACE_BITS = 20, 6
+E_AT, S_AT, RANK_AT = ID_BITS, ID_BITS + PLACE_BITS, ID_BITS + 2 * PLACE_BITS
+
+
+def _places(edge: Column) -> tuple[Column, Column]:
+    """(start, end) of an edge."""
+    mask = F.lit((1 << PLACE_BITS) - 1).cast("long")
+    return F.shiftright(edge, S_AT).bitwiseAND(mask).cast("int"), F.shiftright(edge, E_AT).bitwiseAND(mask).cast("int")
+
+
 def lattices(words: DataFrame, model: PieceModel) -> DataFrame:
-    """(word, edges) for rows of distinct `word`: edges (cost, s, e, id), best first; s and e count characters from 0.
+    """(word, edges) for rows of distinct `word` of at most FOLD_CHARS characters; s and e count characters from 0.
 
-    The exchange that made the words distinct is the only one: exploding and the
-    broadcast join keep each word's rows together.
+    The exchange that made the words distinct is the only one: a word is joined to
+    the spans of its length and each substring to its piece, both of fixed size and
+    broadcast, which keeps each word's rows together.
     """
     spark = words.sparkSession
-    # a row for each piece of the model, a fixed number
-    pieces = F.broadcast(spark.createDataFrame(pd.DataFrame(model.pieces, columns=["piece", "cost", "id"]), "piece string, cost double, id int"))
-    w = F.translate("word", " ", SPACE)
-    n = F.length("word")
-    starts = F.sequence(F.lit(0), n - 1)
-    spans = F.flatten(F.transform(starts, lambda s: F.transform(F.sequence(s + 1, F.least(n, s + model.longest)), lambda e: F.struct(s.alias("s"), e.alias("e")))))
-    subs = words.withColumn("w", w).select("word", "w", F.explode(spans).alias("x")).select("word", F.col("x.s").alias("s"), F.col("x.e").alias("e"), F.expr("substring(w, x.s + 1, x.e - x.s)").alias("piece"))
-    return subs.join(pieces, "piece").groupBy("word").agg(F.sort_array(F.collect_list(F.struct("cost", "s", "e", "id"))).alias("edges"))
+    ranks = {c: i for i, c in enumerate(sorted({c for _, c, _ in model.pieces}))}
+    table = pd.DataFrame([(p, ranks[c] << RANK_AT | i) for p, c, i in model.pieces], columns=["piece", "code"])
+    pieces = F.broadcast(spark.createDataFrame(table, "piece string, code long"))  # a row for each piece of the model
+    longest = model.longest
+    spans = pd.DataFrame([(n, s, e) for n in range(1, FOLD_CHARS + 1) for s in range(n) for e in range(s + 1, min(n, s + longest) + 1)], columns=["n", "s", "e"])
+    spans = F.broadcast(spark.createDataFrame(spans, "n int, s int, e int"))  # at most FOLD_CHARS^2 * longest rows
+    rows = words.select("word", F.translate("word", " ", SPACE).alias("w"), F.length("word").alias("n")).join(spans, "n")
+    rows = rows.select("word", "s", "e", F.expr("substring(w, s + 1, e - s)").alias("piece")).join(pieces, "piece")
+    edge = F.col("code") + F.shiftleft(F.col("s").cast("long"), S_AT) + F.shiftleft(F.col("e").cast("long"), E_AT)
+    return rows.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
 def let(value: Column, body) -> Column:
@@ -181,45 +211,52 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def follows(ends: Column, x: Column, steps: int) -> Column:
-    """Whether an edge runs from one of the ends to the one `steps` after it."""
-    at = F.array_position(ends, x["s"]).cast("int")
-    return (at > 0) & F.coalesce(F.try_element_at(ends, at + steps) == x["e"], F.lit(False))
+def follows(ends: Column, s: Column, e: Column, steps: int) -> Column:
+    """Whether s is one of the ends and e the one `steps` after it; null counts as no."""
+    at = F.array_position(ends, s).cast("int")
+    return (F.get(ends, at - 1 + steps) == e) & (at > 0)
 
 
 def fold(lattice: DataFrame, model: PieceModel) -> DataFrame:
     """(word, ids) from (word, edges); ids are null if a character of the word has no piece."""
-    n, edges = F.length("word"), F.col("edges")
+    n = F.length("word")
+    ends_of = F.transform("edges", lambda x: F.struct(_places(x)[0].alias("s"), _places(x)[1].alias("e"), x.bitwiseAND(F.lit((1 << ID_BITS) - 1).cast("long")).cast("int").alias("id")))
     if model.bpe:
 
-        def merged(merges: Column) -> Column:
-            # an edge merges two neighbours if its ends are bounds with one bound between; the best such edge goes first
-            def step(ends: Column, _: Column) -> Column:
-                best = F.slice(F.filter(merges, lambda x: follows(ends, x, 2)), 1, 1)
-                return F.aggregate(best, ends, lambda b, x: F.filter(b, lambda i: (i <= x["s"]) | (i >= x["e"])))
+        def cover(edges: Column) -> Column:
+            def merged(merges: Column) -> Column:
+                # an edge merges two neighbours if its ends are bounds with one bound between; the best such edge goes first
+                def step(ends: Column, _: Column) -> Column:
+                    best = F.slice(F.filter(merges, lambda x: follows(ends, x["s"], x["e"], 2)), 1, 1)
+                    return F.aggregate(best, ends, lambda b, x: F.array_remove(b, F.get(b, F.array_position(b, x["s"]).cast("int"))))
 
-            rounds = F.slice(F.sequence(F.lit(0), n), F.lit(1), F.least(n - 1, F.size(merges)))
-            return F.aggregate(rounds, F.sequence(F.lit(0), n), step)
+                rounds = F.slice(F.sequence(F.lit(0), n), F.lit(1), F.least(n - 1, F.size(merges)))
+                return F.aggregate(rounds, F.sequence(F.lit(0), n), step)
 
-        ends = let(F.filter(edges, lambda x: x["e"] - x["s"] > 1), merged)
+            return let(F.filter(edges, lambda x: x["e"] - x["s"] > 1), merged)
     else:
+        costs = F.split(F.lit(",".join(str(c) for c in model.costs())), ",").cast("array<double>")
         # best: for each place the least cost to reach it, and the start of the piece that ends there
         place = lambda cost, s: F.struct(cost.alias("cost"), s.alias("s"))
         never = place(F.lit(float("inf")), F.lit(-1))
 
-        def reach(best: Column, e: Column) -> Column:
-            into = F.transform(F.filter(edges, lambda x: x["e"] == e), lambda x: place(F.element_at(best, x["s"] + 1)["cost"] + x["cost"], x["s"]))
-            return F.concat(best, F.array(F.coalesce(F.array_min(into), never)))
+        def cover(edges: Column) -> Column:
+            def reach(best: Column, e: Column) -> Column:
+                into = F.transform(F.filter(edges, lambda x: x["e"] == e), lambda x: place(F.element_at(best, x["s"] + 1)["cost"] + F.element_at(costs, x["id"] + 1), x["s"]))
+                return F.concat(best, F.array(F.coalesce(F.array_min(into), never)))
+
+            def traced(best: Column) -> Column:
+                back = lambda path, _: F.when(path[0] > 0, F.concat(F.array(F.element_at(best, path[0] + 1)["s"]), path)).otherwise(path)
+                return F.aggregate(F.sequence(F.lit(1), n), F.array(n), back)
 
-        def traced(best: Column) -> Column:
-            back = lambda path, _: F.when(path[0] > 0, F.concat(F.array(F.element_at(best, path[0] + 1)["s"]), path)).otherwise(path)
-            return F.aggregate(F.sequence(F.lit(1), n), F.array(n), back)
+            return let(F.aggregate(F.sequence(F.lit(1), n), F.array(place(F.lit(0.0), F.lit(0))), reach), traced)
 
-        ends = let(F.aggregate(F.sequence(F.lit(1), n), F.array(place(F.lit(0.0), F.lit(0))), reach), traced)
-    taken = let(ends, lambda b: F.filter(edges, lambda x: follows(b, x, 1)))
-    in_order = F.sort_array(F.transform(taken, lambda x: F.struct(x["s"].alias("s"), (x["e"] - x["s"]).alias("n"), x["id"].alias("id"))))
-    ids = let(in_order, lambda p: F.when(F.aggregate(p, F.lit(0), lambda t, x: t + x["n"]) == n, F.transform(p, lambda x: x["id"])))
-    return lattice.select("word", ids.alias("ids"))
+    def chosen(edges: Column) -> Column:
+        taken = let(cover(edges), lambda b: F.filter(edges, lambda x: follows(b, x["s"], x["e"], 1)))
+        whole = lambda p: F.aggregate(p, F.lit(0), lambda t, x: t + x["e"] - x["s"]) == n
+        return let(F.sort_array(taken), lambda p: F.when(whole(p), F.transform(p, lambda x: x["id"])))
+
+    return lattice.select("word", let(ends_of, chosen).alias("ids"))
 
 
 def encode_words(words: DataFrame, model: PieceModel) -> DataFrame:
@@ -227,25 +264,29 @@ def encode_words(words: DataFrame, model: PieceModel) -> DataFrame:
     return fold(lattices(words.filter(F.length("word") <= FOLD_CHARS), model), model)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], split, limit: int) -> Iterator[tuple[int, pa.RecordBatch, list[list[str]], list[str]]]:
-    """(chunk, its rows, their words, the chunk's distinct words sorted)."""
-    part, k, held, total = TaskContext.get().partitionId(), 0, [], 0
-
-    def made():
-        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        words = [split(t) for t in rows.column("text").to_pylist()]
-        return (part << 24) + k, rows, words, sorted(set(chain.from_iterable(words)))
+def _chunks(batches: Iterator[pa.RecordBatch], split, limit: int, number: bool) -> Iterator[tuple[int, list[tuple], dict[str, int]]]:
+    """(chunk, its documents, the chunk's words): a document is (id, numbers of its words, check of its text).
 
-    for whole in batches:
-        for lo in range(0, whole.num_rows, 256):
-            b = whole.slice(lo, 256)
-            held.append(b)
-            total += b.column("text").nbytes
+    Words are numbered as they come; a chunk holds the text of one batch at a time,
+    and else only numbers (where `number` asks for them) and its distinct words.
+    """
+    part, k, total, rows = TaskContext.get().partitionId(), 0, 0, 0
+    docs: list[tuple] = []
+    at: dict[str, int] = {}
+    for b in batches:
+        for doc_id, text in zip(b.column("doc_id"), b.column("text"), strict=True):
+            text = text.as_py() or ""
+            total, rows = total + len(text), rows + 1
+            words = split(text)
+            for w in set(words).difference(at):
+                at[w] = len(at)
+            if number:
+                docs.append((doc_id.as_py(), np.fromiter(map(at.__getitem__, words), np.uint32, len(words)), zlib.crc32(text.encode())))
             if total >= limit:
-                yield made()
-                k, held, total = k + 1, [], 0
-    if held:
-        yield made()
+                yield (part << 24) + k, docs, at
+                k, total, rows, docs, at = k + 1, 0, 0, [], {}
+    if rows:
+        yield (part << 24) + k, docs, at
 
 
 def plain_scan(df: DataFrame) -> bool:
@@ -270,30 +311,32 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
     if not plain_scan(rows):
         rows = common.cut(rows)
     kind = rows.schema["doc_id"].dataType.simpleString()
+    id_type = to_arrow_type(rows.schema["doc_id"].dataType)
     pattern, prefix = model.words(), " " if model.dummy_prefix else ""
 
-    def split(text: str | None) -> list[str]:
+    def split(text: str) -> list[str]:
         return pattern.findall(prefix + text.replace(SPACE, " ")) if text else []
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, _, _, kinds in _chunks(batches, split, chunk_chars):
+        for chunk, _, at in _chunks(batches, split, chunk_chars, False):
+            kinds = sorted(at)
             for lo in range(0, len(kinds), 50_000):
                 part = kinds[lo : lo + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), chunk)), pa.array(np.arange(lo, lo + len(part), dtype=np.int32)), pa.array(part, pa.string())], names=["chunk", "num", "word"])
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, rows, words, kinds in _chunks(batches, split, chunk_chars):
-            at = dict(zip(kinds, range(len(kinds)), strict=True))
-            for lo in range(0, len(words), 256):
-                part = words[lo : lo + 256]
-                blobs = [zlib.compress(np.fromiter(map(at.__getitem__, w), np.uint32, len(w)).view(np.uint8).reshape(-1, 4).T.tobytes(), 1) for w in part]
-                marks = [zlib.crc32((t or "").encode()) for t in rows.column("text").slice(lo, 256).to_pylist()]
-                ids = rows.column("doc_id").slice(lo, 256)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), chunk)), ids, pa.array(blobs, pa.binary()), pa.array(marks, pa.int64())], names=["chunk", "doc_id", "nums", "mark"])
-
-    lists = rows.mapInArrow(listed, "chunk long, num int, word string")
-    coded = encode_words(lists.select("word").distinct(), model)
-    coded = coded.select(F.col("word").alias("coded"), "ids")
+        for chunk, held, at in _chunks(batches, split, chunk_chars, True):
+            rank = np.empty(len(at), np.uint32)  # a word's place among the chunk's words in order
+            rank[np.fromiter(map(at.__getitem__, sorted(at)), np.int64, len(at))] = np.arange(len(at))
+            for lo in range(0, len(held), 256):
+                part = held[lo : lo + 256]
+                # the bytes of numbers plane by plane, which packs better
+                blobs = [zlib.compress(rank[n].view(np.uint8).reshape(-1, 4).T.tobytes(), 1) for _, n, _ in part]
+                ids = pa.array([d for d, _, _ in part], id_type)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), chunk)), ids, pa.array(blobs, pa.binary()), pa.array([m for _, _, m in part], pa.int64())], names=["chunk", "doc_id", "nums", "mark"])
+
+    lists = _written(rows.mapInArrow(listed, "chunk long, num int, word string"))
+    coded = _coded(lists.select("word"), model).select(F.col("word").alias("coded"), "ids")
     joined = lists.join(coded, F.col("word") == F.col("coded"), "left").select("chunk", "num", "ids", F.when(F.col("ids").isNull(), F.col("word")).alias("rest"))
     texts = rows.mapInArrow(numbered, f"chunk long, doc_id {kind}, nums binary, mark long")
     shared = rows.sparkSession.sparkContext.broadcast(model)
@@ -313,6 +356,34 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
     return texts.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInPandas(put, f"doc_id {kind}, n_pieces int, ids array<int>, round_trip boolean")
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """`df` as a table in the shared checkpoint folder: packed by column, it takes a fraction of a checkpoint's space."""
+    path = f"{common.checkpoint_folder(df.sparkSession)}/tables/{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+#: Groups that an aggregation of lists holds in memory before it starts to sort (the session's default is 128).
+GROUPS_IN_MEMORY = 300_000
+
+
+def _coded(words: DataFrame, model: PieceModel) -> DataFrame:
+    """encode_words of the distinct words, written.
+
+    Lists of edges are grouped by hash, as long as a task has at most GROUPS_IN_MEMORY
+    words; with the session's default nearly all of them would be sorted first. The
+    rows are dealt by word before they are made distinct: a chunk's words come in
+    order, and so pack well on the way.
+    """
+    spark, key = words.sparkSession, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(GROUPS_IN_MEMORY))
+    try:
+        return _written(encode_words(words.repartition("word").distinct(), model))
+    finally:
+        spark.conf.set(key, before)
+
+
 def _packed(batches: Iterator[pa.RecordBatch], model: PieceModel) -> Iterator[pa.RecordBatch]:
     """(chunk, num, ids, rest) -> (chunk, packed): numbers, sizes and ids of a chunk's words in a batch, compressed.
 
