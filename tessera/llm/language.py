@@ -33,8 +33,8 @@ FIT_CHARS = 20_000
 BUCKETS = 1 << 17
 WINDOW = 32
 WINDOWS_A_DOC = 4
-GROUP_CHARS = 4_000_000
-CACHED_WORDS = 250_000
+GROUP_CHARS = 2_000_000
+CACHED_WORDS = 120_000
 UNKNOWN = "und"
 #: What the pipeline asks of a document to keep it.
 KEEP_SCORE = 0.4
@@ -76,7 +76,9 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray,
     off = np.concatenate(([0], np.cumsum(active)))
     step = np.repeat(np.arange(long[0]), active)
     place = at[np.arange(off[-1]) - off[:-1][step]] + step
-    p = np.exp(scores - scores.max(1, keepdims=True))[place]
+    p = scores[place]
+    p -= p.max(1, keepdims=True)
+    np.exp(p, out=p)
     a, alpha = np.exp(moves - moves.max()), np.empty_like(p)
     cur = np.exp(start - start.max()) * p[: active[0]]
     cur /= cur.sum(1, keepdims=True)
@@ -96,9 +98,8 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray,
             back = np.concatenate((back, np.ones((hi - lo - len(back), k))))
         alpha[lo:hi] *= back
     alpha /= alpha.sum(1, keepdims=True)
-    marginals = np.empty_like(alpha)
-    marginals[place] = alpha
-    return marginals, np.add.reduceat(marginals, np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64), axis=0)
+    p[place] = alpha  # in place of the scores, which are not needed any more
+    return p, np.add.reduceat(p, np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64), axis=0)
 
 
 class Crf:
