@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions import shell
+from tessera.functions import shell, triangle
 from tessera.operators import ordering, solvers, sparsity, vectors
 from tessera.sources.bdf import BulkData
 
@@ -23,6 +23,11 @@ def shell_kernel(ref_axis: tuple[float, float, float] | None = None, mixed: bool
     return lambda x, m: shell.stiffness(x, m["E"].to_numpy(), m["nu"].to_numpy(), m["thick"].to_numpy(), m["t_offset"].to_numpy(), axis, mixed)
 
 
+def triangle_kernel() -> Kernel:
+    """Six-node plane-stress triangles: corners are the first three nodes; two dofs a node."""
+    return lambda x, m: triangle.stiffness(x[:, :3, :2], m["E"].to_numpy(), m["nu"].to_numpy(), m["thick"].to_numpy())
+
+
 @dataclass
 class Assembler:
     """A model: nodes (node, x, y, z), elem_nodes (elem, lnode, node), material (elem, E, nu, thick, t_offset), bcs (dof).

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions import arrays, shell, triangle
 from tessera.operators import topology, transfer
 from tessera.plans import pipelines
+from tessera.plans.assembler import Assembler, triangle_kernel, uniform_material
 from tessera.sources import bdf, generators, sinks, su2
 
 
@@ -58,6 +59,19 @@ def test_energy_is_half_of_work(spark):
     assert perm.count() == 16 and filled.count() >= m.node_pattern().count()
 
 
+def test_triangles_plug_in(spark):
+    """Two triangles of a square: a linear field needs no inner force, and stretching stores t E e^2 / 2 (nu = 0)."""
+    xy = [(0, 0), (1, 0), (0, 1), (1, 1), (0.5, 0.5), (0, 0.5), (0.5, 0), (0.5, 1), (1, 0.5)]
+    nodes = spark.createDataFrame([(i, float(x), float(y), 0.0) for i, (x, y) in enumerate(xy)], "node long, x double, y double, z double")
+    conn = [[0, 1, 2, 4, 5, 6], [3, 2, 1, 4, 8, 7]]
+    elems = spark.createDataFrame([(e, i, n) for e, ns in enumerate(conn) for i, n in enumerate(ns)], "elem long, lnode int, node long")
+    m = Assembler(nodes, elems, uniform_material(elems.select("elem").distinct(), 2.0, 0.0, 0.5), spark.createDataFrame([], "dof long"), triangle_kernel(), 2)
+    field = nodes.select((F.col("node") * 2).alias("dof"), (F.col("x") * 0.1).alias("val")).union(nodes.select(F.col("node") * 2 + 1, F.lit(0.0)))
+    assert m.energy(field) == pytest.approx(0.5 * 0.5 * 2.0 * 0.1**2)
+    inner = m.residual(field).filter("dof in (8, 9)").collect()  # the node in the middle of the square
+    assert all(abs(r.val) < 1e-12 for r in inner)
+
+
 def test_plate_by_gmres(spark):
     direct = pipelines.plate(spark, 2, 2)
     u = direct.solve(generators.plate_loads(direct.nodes, 1.0, 2.0, 1.0, 2, 2)).orderBy("dof").collect()
