@@ -204,16 +204,19 @@ class Labeller:
         return langs, scores
 
 
-def groups(texts: list, limit: int = GROUP_CHARS) -> Iterator[tuple[int, int]]:
-    """Bounds of runs of texts with about `limit` characters."""
-    lo, total = 0, 0
-    for i, t in enumerate(texts):
-        total += len(t or "") + 1
-        if total >= limit:
-            yield lo, i + 1
-            lo, total = i + 1, 0
-    if lo < len(texts):
-        yield lo, len(texts)
+def grouped(batch: pa.RecordBatch, at: int, limit: int = GROUP_CHARS, rows: int = 256) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """A batch in groups of about `limit` characters of its column `at`, each with that column's values.
+
+    Few rows become Python strings at a time; a text longer than the limit is a group with its neighbours.
+    """
+    lo, texts, total = 0, [], 0
+    for first in range(0, batch.num_rows, rows):
+        more = batch.column(at).slice(first, rows).to_pylist()
+        texts += more
+        total += sum(len(t or "") for t in more)
+        if total >= limit or first + rows >= batch.num_rows:
+            yield batch.slice(lo, len(texts)), texts
+            lo, texts, total = lo + len(texts), [], 0
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_docs: int = FIT_DOCS) -> Crf | None:
@@ -238,10 +241,9 @@ def identify(docs: DataFrame, crf: Crf | None, text_col: str = "text", pred_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(model.value)
         for b in batches:
-            texts = b.column(at).to_pylist()
-            for lo, hi in groups(texts):
-                langs, scores = labeller.label(texts[lo:hi])
-                yield pa.RecordBatch.from_arrays([*b.slice(lo, hi - lo).columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names, pred_col, score_col])
+            for part, texts in grouped(b, at):
+                langs, scores = labeller.label(texts)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names, pred_col, score_col])
 
     return rest.mapInArrow(run, common.wider(rest.schema, **{pred_col: "string", score_col: "double"}))
 

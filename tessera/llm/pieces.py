@@ -30,7 +30,6 @@ from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -193,6 +192,8 @@ def lattices(words: DataFrame, model: PieceModel) -> DataFrame:
     the spans of its length and each substring to its piece, both of fixed size and
     broadcast, which keeps each word's rows together.
     """
+    import pandas as pd  # only where it is used: workers that just split words do without
+
     spark = words.sparkSession
     ranks = {c: i for i, c in enumerate(sorted({c for _, c, _ in model.pieces}))}
     table = pd.DataFrame([(p, ranks[c] << RANK_AT | i) for p, c, i in model.pieces], columns=["piece", "code"])
@@ -287,6 +288,8 @@ def _chunks(batches: Iterator[pa.RecordBatch], split, limit: int, number: bool)
                 k, total, rows, docs, at = k + 1, 0, 0, [], {}
     if rows:
         yield (part << 24) + k, docs, at
+    docs, at = [], {}
+    pa.default_memory_pool().release_unused()  # a worker waits for its next task beside the executor's heap
 
 
 def plain_scan(df: DataFrame) -> bool:
@@ -342,7 +345,9 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
     shared = rows.sparkSession.sparkContext.broadcast(model)
     back = joined.mapInArrow(lambda batches: _packed(batches, shared.value), "chunk long, packed binary")
 
-    def put(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def put(left, right):
+        import pandas as pd
+
         sizes, flat = _unpacked(right["packed"])
         starts = np.concatenate(([0], np.cumsum(sizes)))
         out = []

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .language import groups
+from .language import grouped
 
 FIT_ROWS = 2000
 FIT_CHARS = 20_000
@@ -277,10 +277,9 @@ def score_toxicity(docs: DataFrame, scorer: Scorer, text_col: str = "text", thre
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for b in batches:
-            texts = b.column(at).to_pylist()
-            for lo, hi in groups(texts):
-                score, x = own.score(texts[lo:hi])
-                yield pa.RecordBatch.from_arrays([*b.slice(lo, hi - lo).columns, pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(x[:, -1])], names=[*b.schema.names, *new])
+            for part, texts in grouped(b, at):
+                score, x = own.score(texts)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(x[:, -1])], names=[*b.schema.names, *new])
 
     return rest.mapInArrow(run, common.wider(rest.schema, **new))
 
