@@ -22,7 +22,7 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases that are labelled wherever they stand (fixed by the contract).
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 #: Every rule's matches hold one of these.
-GATE = ("licen", "gpl", " cc by", " cc0 ", "creative commons", "creativecommons", "public domain", "copyleft")
+GATE = ("licen", "gpl", " cc by", " cc0 ", "creative commons", "creativecommons", "public domain", "copyleft", " bsd 2 clause", " bsd 3 clause", " bsd 4 clause")
 
 # Families of licenses. (label, written names, short forms, versions)
 FAMILIES = [

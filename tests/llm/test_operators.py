@@ -313,6 +313,24 @@ def test_license_rules_match_python(spark):
     assert len(licenses.rules()) > 200
 
 
+def test_every_license_rule_opens_the_gate():
+    for r in licenses.rules():
+        literal = r["pattern"].removeprefix(" (?:").removesuffix(")(?= )")
+        for group, left in ((r"\(\?: [^()]*\)\??(\{[^}]*\}\??)?", " \0"), (r"\(\?:[^()]*\)\??", "\0"), (r".[?]", "\0")):  # a group that begins with a space, or a space after it, follows a word
+            while literal != (literal := re.sub(group, left, literal)):
+                pass
+        assert any(g in f" {literal} " for g in licenses.GATE), r
+
+
+def test_licenses_without_the_word_license_are_found(spark):
+    texts = ["released under BSD 3-Clause", "BSD-2-Clause", "the bsd 4 clause terms", "bsd 5 clause", "freebsd 3 clause"]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i].labels for i in range(5)] == ["bsd-3-clause", "bsd-2-clause", "bsd-4-clause", "", ""]
+    assert [got[i].score for i in range(5)] == [0.9, 0.9, 0.9, 0.0, 0.0]
+    for i, t in enumerate(texts):
+        assert [tuple(x) for x in got[i].detections] == python_detections(t)
+
+
 # pieces
 
 
