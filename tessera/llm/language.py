@@ -1,7 +1,7 @@
 """Language identification with a linear-chain conditional random field over words.
 
 Words are runs of letters. A word's emission scores come from hashed features
-(affixes, character trigrams, the word itself as a lexicon entry); transitions
+(affixes, all byte trigrams, the word itself as a lexicon entry); transitions
 between the languages of neighbouring words are learned with them, on windows of
 which half are spliced from two languages, so that code-switched text is labelled
 word by word. Forward-backward gives each word's marginals; a document's language
@@ -35,6 +35,8 @@ WINDOW = 32
 WINDOWS_A_DOC = 4
 GROUP_CHARS = 2_000_000
 CACHED_WORDS = 120_000
+#: Features in memory at a time: of a word, and of words that are scored together.
+PIECE, GROUP_FEATURES = 1 << 16, 1 << 20
 UNKNOWN = "und"
 #: What the pipeline asks of a document to keep it.
 KEEP_SCORE = 0.4
@@ -46,21 +48,42 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def features(word: str) -> list[int]:
-    """Hashed features: whole word, affixes of one to three letters, trigrams."""
+def feature_pieces(word: str) -> Iterator[list[int]]:
+    """Hashed features: whole word, affixes of one to three letters, all trigrams, PIECE of them at a time."""
     w = word.encode()
     edged = b"<" + w + b">"
     found = [crc32(w, 1), crc32(edged[:2], 2), crc32(edged[:3], 2), crc32(edged[:4], 2), crc32(edged[-2:], 3), crc32(edged[-3:], 3), crc32(edged[-4:], 3)]
-    found += [crc32(edged[i : i + 3], 4) for i in range(min(len(edged) - 2, 40))]
-    return found
+    last = len(edged) - 2
+    for lo in range(0, last, PIECE):
+        yield found + [crc32(edged[i : i + 3], 4) for i in range(lo, min(lo + PIECE, last))]
+        found = []
+
+
+def features(word: str) -> list[int]:
+    return list(chain.from_iterable(feature_pieces(word)))
 
 
 def gathered(weights: np.ndarray, words: list[str]) -> np.ndarray:
-    """Emission scores of words, a row each."""
-    each = [features(w) for w in words]
-    flat = np.fromiter(chain.from_iterable(each), np.int64) & (len(weights) - 1)
-    starts = np.concatenate(([0], np.cumsum([len(x) for x in each])[:-1])).astype(np.int64)
-    return np.add.reduceat(weights[flat], starts, axis=0)
+    """Emission scores of words, a row each. About GROUP_FEATURES are held at a time, however long a word is."""
+    out = np.zeros((len(words), weights.shape[1]), weights.dtype)
+    each, at, held = [], [], 0
+
+    def add() -> None:
+        flat = np.fromiter(chain.from_iterable(each), np.int64, held) & (len(weights) - 1)
+        starts = np.concatenate(([0], np.cumsum([len(x) for x in each])[:-1])).astype(np.int64)
+        np.add.at(out, at, np.add.reduceat(weights[flat], starts, axis=0))
+
+    for i, word in enumerate(words):
+        for piece in feature_pieces(word):
+            each.append(piece)
+            at.append(i)
+            held += len(piece)
+            if held >= GROUP_FEATURES:
+                add()
+                each, at, held = [], [], 0
+    if each:
+        add()
+    return out
 
 
 def forward_backward(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,7 +154,7 @@ class Crf:
             spans[i] = wa[:half] + wb[:half], [ya] * len(wa[:half]) + [yb] * len(wb[:half])
         vocab: dict[str, int] = {}
         seqs = [(np.array([vocab.setdefault(x, len(vocab)) for x in w]), np.array(y)) for w, y in spans]
-        feats = [np.array(features(w)) & (BUCKETS - 1) for w in vocab]
+        feats = [(np.array(features(w)) & (BUCKETS - 1)).astype(np.int32) for w in vocab]
         weights, moves, start = np.zeros((BUCKETS, k), np.float32), np.zeros((k, k)), np.zeros(k)
         g2 = [np.full((BUCKETS, k), 1e-3, np.float32), np.full((k, k), 1e-3), np.full(k, 1e-3)]
         for _ in range(epochs):
