@@ -29,12 +29,10 @@ EPOCHS = 6
 
 
 @lru_cache(maxsize=20_000)
-def _place(tags: tuple[str, ...], names: frozenset[str]) -> tuple[str, ...]:
-    kinds = frozenset(tags)
-    inner = next((t for t in reversed(tags) if t in ("article", "main", "nav", "aside", "header", "footer", "form", "section", "table", "body")), "")
+def _place(kinds: frozenset[str], leaf: str, section: str, names: frozenset[str]) -> tuple[str, ...]:
     return (
-        *("t:" + t for t in kinds), "leaf:" + (tags[-1] if tags else ""), "in:" + inner, *("n:" + n for n in names),
-        *("in-n:" + inner + n for n in names),
+        *("t:" + t for t in kinds), "leaf:" + leaf, "in:" + section, *("n:" + n for n in names),
+        *("in-n:" + section + n for n in names),
     )
 
 
@@ -52,7 +50,7 @@ def features(b: Block, total: int) -> list[str]:
         f.append("hidden")
     if b.bold:
         f.append("bold")
-    f += _place(b.tags, b.names)
+    f += _place(b.kinds, b.leaf, b.section, b.names)
     return f
 
 
@@ -61,6 +59,7 @@ class BlockCrf:
 
     def __init__(self, weights: dict[str, tuple[float, float]], moves: list[list[float]], start: list[float]):
         self.weights, self.moves, self.start = weights, moves, start
+        self.known = frozenset(f.partition(":")[2] for f in weights if f.startswith(("t:", "n:")))
 
     @classmethod
     def fit(cls, pages: list[tuple[str, set[str]]], epochs: int = EPOCHS, rate: float = 0.2, batch: int = 50, seed: int = 3) -> BlockCrf:
@@ -115,7 +114,7 @@ class BlockCrf:
         return out[::-1] if found else []
 
     def text(self, html: str | None) -> str:
-        found = blocks(html)
+        found = blocks(html, self.known)
         return "\n".join(b.text for b, main in zip(found, self.decode(found), strict=True) if main)
 
 
@@ -131,10 +130,11 @@ def extract(pages: DataFrame, crf: BlockCrf, html_col: str = "html") -> DataFram
     shared = pages.sparkSession.sparkContext.broadcast(crf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        crf_ = shared.value
         for whole in batches:
             for lo in range(0, whole.num_rows, 500):
                 b = whole.slice(lo, 500)
-                texts = [shared.value.text(h) for h in b.column(len(rest)).to_pylist()]
+                texts = [crf_.text(h) for h in b.column(len(rest)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=[*rest, *new])
 
     kept = pages.select(*rest)

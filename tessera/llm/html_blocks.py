@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from html import unescape
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea svg math object canvas".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+RAW = frozenset("script style template iframe textarea".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big canvas cite code data del dfn em font i ins kbd label mark noscript object picture q s samp small span strike strong sub sup time tt u var".split())
+#: Inside these every element is part of the line.
+FOREIGN = frozenset(["math", "svg"])
+#: Elements of drawings that stand apart from the text before them.
+APART = frozenset(["desc", "text", "title", "tspan"])
+SECTIONS = frozenset("article main nav aside header footer form section table body".split())
 #: An opening element closes these if they are open in the same container.
 CLOSES = {
     "li": frozenset(["li"]),
@@ -32,7 +37,9 @@ TOKEN = re.compile(r"[a-z]+")
 @dataclass
 class Block:
     text: str
-    tags: tuple[str, ...]  # open elements, outermost first
+    kinds: frozenset[str]  # tags of the open elements
+    leaf: str  # the innermost tag
+    section: str  # the innermost of SECTIONS
     names: frozenset[str]  # words of their class, id and role
     linked: float  # share of characters inside links
     bold: bool = False
@@ -43,18 +50,44 @@ class Block:
 @dataclass
 class _Open:
     tag: str
-    names: frozenset[str]
-    hidden: bool
-    path: tuple[str, ...] = field(default=())
+    kinds: frozenset[str] = frozenset()
+    section: str = ""
+    names: frozenset[str] = frozenset()
+    hidden: bool = False
+
+
+class _Stack:
+    """Open elements, with the places of each tag: any end tag is found at once, however deep the page is."""
+
+    def __init__(self):
+        self.items, self.at = [_Open("")], {}
+
+    def push(self, item: _Open) -> None:
+        self.at.setdefault(item.tag, []).append(len(self.items))
+        self.items.append(item)
+
+    def last(self, tags) -> int:
+        """The place of the innermost element with one of the tags; 0: none."""
+        return max((places[-1] for t in tags if (places := self.at.get(t))), default=0)
 
+    def cut(self, place: int) -> None:
+        """Close the elements from a place on."""
+        for item in self.items[place:]:
+            self.at[item.tag].pop()
+        del self.items[place:]
 
-def blocks(html: str | None) -> list[Block]:
-    """Leaf blocks with text, in page order. Never fails: what is no tag is text, what has no end runs to the end."""
+
+def blocks(html: str | None, known: frozenset[str] | None = None) -> list[Block]:
+    """Leaf blocks with text, in page order. Never fails: what is no tag is text, what has no end runs to the end.
+
+    known: the tags and names that matter to the caller (null: all). With it, time and
+    memory are in proportion to the page, at any depth.
+    """
     html = html or ""
     found: list[Block] = []
-    stack: list[_Open] = [_Open("", frozenset(), False)]
+    stack = _Stack()
     parts: list[tuple[str, bool]] = []
-    links = bolds = 0
+    links = bolds = foreign = 0
     quotes, pos, size = True, 0, len(html)
 
     def close_block() -> None:
@@ -63,8 +96,8 @@ def blocks(html: str | None) -> list[Block]:
         text = " ".join(unescape("".join(p for p, _ in parts)).split())
         if text:
             total = sum(len(p) for p, _ in parts)
-            top = stack[-1]
-            found.append(Block(text, top.path, top.names, sum(len(p) for p, in_link in parts if in_link) / total, bolds > 0, len(found), top.hidden))
+            top = stack.items[-1]
+            found.append(Block(text, top.kinds, top.tag, top.section, top.names, sum(len(p) for p, in_link in parts if in_link) / total, bolds > 0, len(found), top.hidden))
         parts.clear()
 
     while pos < size:
@@ -105,6 +138,13 @@ def blocks(html: str | None) -> list[Block]:
             if tag == "br":
                 parts.append((" ", links > 0))
             continue
+        if tag in FOREIGN:
+            foreign = max(0, foreign + (-1 if closing else 0 if attributes.rstrip(">").endswith("/") else 1))
+            continue
+        if foreign and tag not in CONTAINERS and tag != "p":  # one of those ends what was left open
+            if tag in APART:
+                parts.append((" ", links > 0))
+            continue
         if tag in INLINE:
             step = -1 if closing else 1
             if tag == "a":
@@ -115,29 +155,23 @@ def blocks(html: str | None) -> list[Block]:
         close_block()
         if tag in VOID:
             continue
-        links = 0
+        links = foreign = 0
         if closing:
-            for i in range(len(stack) - 1, max(0, len(stack) - 200), -1):  # far above: a stray end tag
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+            if place := stack.last([tag]):
+                stack.cut(place)
             continue
-        if stack[-1].tag == "p":
-            stack.pop()
-        if tag in CLOSES:
-            for i in range(len(stack) - 1, max(0, len(stack) - 50), -1):
-                if stack[i].tag in CLOSES[tag]:
-                    del stack[i:]
-                    break
-                if stack[i].tag in CONTAINERS:
-                    break
-        top, names, hidden = stack[-1], frozenset(), False
+        if stack.items[-1].tag == "p":
+            stack.cut(len(stack.items) - 1)
+        if tag in CLOSES and (place := stack.last(CLOSES[tag])) > stack.last(CONTAINERS):
+            stack.cut(place)
+        top, names, hidden = stack.items[-1], frozenset(), False
         if attributes and "=" in attributes or "hidden" in attributes:
             values = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in MARKED.finditer(attributes)}
             names = frozenset(TOKEN.findall(" ".join(v for k, v in values.items() if k != "style").lower()))
+            names = names if known is None else names & known
             hidden = bool(HIDDEN.search(attributes)) or "display:none" in values.get("style", "").replace(" ", "").lower()
         bolds = 0
-        path = top.path if len(top.path) > 100 else (*top.path, tag)  # nesting beyond that tells nothing new
-        stack.append(_Open(tag, top.names | names if names else top.names, top.hidden or hidden, path))
+        new = tag not in top.kinds and (known is None or tag in known)
+        stack.push(_Open(tag, top.kinds | {tag} if new else top.kinds, tag if tag in SECTIONS else top.section, top.names if names <= top.names else top.names | names, top.hidden or hidden))
     close_block()
     return found
