@@ -54,6 +54,18 @@ def n_words(text: Column) -> Column:
     return (F.size(parts) - ends).cast("long")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own, like `names`, that no column of `df` has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def thinned(df: DataFrame, key: str, n: int, total: int | None = None) -> DataFrame:
     """About `n` rows of `df` (all, if there are fewer) to fit a model on, by a hash of `key`.
 
@@ -71,6 +83,7 @@ def sample_rows(df: DataFrame, key: str, n: int, total: int | None = None) -> li
     """About `n` rows of `df` on the driver, never over 2 `n`; `n` is a documented parameter of each operator."""
     return thinned(df, key, n, total).limit(2 * n).collect()
 
+
 def wider(schema: T.StructType, **kinds: str) -> T.StructType:
     """`schema` with fields more, of the named types."""
     return T.StructType([*schema.fields, *(T.StructField(k, T.StructType.fromDDL(f'{k} {v}')[k].dataType) for k, v in kinds.items())])

@@ -4,9 +4,10 @@ A text becomes its words, lower-cased and joined by single spaces. A coarse gate
 substrings that every rule needs lets most texts go by after one pass; the others
 get the keyword prefilter (only rules whose keyword stands in the text are tried)
 and then the rules' regular expressions. A detection is an interval of words. In
-the order (start, longest first, priority) a running fold drops each detection that
-lies within an earlier one whose priority is as good. All of that is expressions on
-one row: no shuffle, no Python, nothing gathered from other rows.
+the order (start, longest first, priority) each detection is dropped that lies within
+an earlier one whose priority is as good. All of that is expressions on one row: no
+shuffle, no Python, nothing gathered from other rows, and no step whose time grows
+with the square of a text's matches.
 """
 
 from __future__ import annotations
@@ -22,7 +23,11 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases that are labelled wherever they stand (fixed by the contract).
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 #: Every rule's matches hold one of these.
-GATE = ("licen", "gpl", " cc by", " cc0 ", "creative commons", "creativecommons", "public domain", "copyleft", " bsd 2 clause", " bsd 3 clause", " bsd 4 clause")
+GATE = (
+    "licen", "gpl", " cc by", " cc0 ", "creative commons", "creativecommons", "public domain", "copyleft", " bsd 2 clause", " bsd 3 clause", " bsd 4 clause",
+    "permission is hereby granted", "redistribution and use in source", "permission to use copy modify", "this program is free software", "this library is free software",
+    "without any express or implied warranty", "subject to the terms of the mozilla", "boost org",
+)
 
 # Families of licenses. (label, written names, short forms, versions)
 FAMILIES = [
@@ -81,7 +86,19 @@ SINGLE = [
     ("bsd-3-clause", "(?:modified|new|revised|3 clause|three clause) bsd licen[cs]e|bsd 3 clause(?: licen[cs]e)?", 0.9),
     ("bsd-4-clause", "(?:original|4 clause|four clause) bsd licen[cs]e|bsd 4 clause(?: licen[cs]e)?", 0.9),
     ("bsd", "bsd(?: style)? licen[cs]e", 0.7),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy(?: of this software and associated documentation files)?(?: [^ ]+){0,400}? sublicense", 1.0),
+    # notices that stand in a file instead of a license's name
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", 1.0),
+    ("boost-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation", 1.0),
+    ("isc", "permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted", 1.0),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted(?: provided that the following conditions are met)?", 1.0),
+    ("zlib", "this software is provided as is without any express or implied warranty(?: in no event will the authors be held liable)?", 0.8),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public licen[cs]e", 1.0),
+    ("agpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public licen[cs]e", 1.0),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public licen[cs]e", 1.0),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public licen[cs]e v ?2 0", 1.0),
+    ("apache-2.0", "licensed under the apache licen[cs]e version 2 0(?: the licen[cs]e)? you may not use this file except in compliance with the licen[cs]e", 1.0),
+    ("unlicense", "this is free and unencumbered software released into the public domain", 1.0),
+    ("boost-1.0", "(?:www )?boost org license 1 0 txt", 1.0),
     ("apache-2.0", "apache org licenses license 2 0", 1.0),
     ("mit", "opensource org licenses mit(?: license)?", 1.0),
     ("bsd-3-clause", "opensource org licenses bsd 3 clause", 1.0),
@@ -192,19 +209,61 @@ def words_joined(text: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(text, SEPARATORS, " ")), F.lit(" "))
 
 
+#: Characters that part words, and so stand in no text of words: before and after a match.
+BEFORE, AFTER = "\x01", "\x02"
+SPAN = "struct<start:int,stop:int>"
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with the value worked out once, also where body uses it inside a lambda."""
+    return F.transform(F.array(value), body)[0]
+
+
 def places(joined: Column, pattern: Column) -> Column:
-    """Array of (start, stop) in words, from 0, stop after the last, of all matches of a pattern."""
-    between, found = F.split(joined, pattern, -1), F.regexp_extract_all(joined, pattern, F.lit(0))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("out"))
+    """Array of (start, stop) in words, from 0, stop after the last, of all matches of a pattern.
+
+    Each match gets a mark before and after it, which end up on the word before it and
+    on its last word; their places among the words are its bounds.
+    """
+    marked = F.regexp_replace(joined, pattern, F.lit(f"{BEFORE}$0{AFTER}"))
+
+    def spans(words: Column) -> Column:
+        at = lambda mark: F.filter(F.transform(words, lambda w, i: F.when(F.contains(w, F.lit(mark)), i)), lambda i: i.isNotNull())
+        return F.zip_with(at(BEFORE), at(AFTER), lambda start, stop: F.struct(start.alias("start"), stop.alias("stop")))
+
+    return let(marked, lambda m: F.when(F.contains(m, F.lit(BEFORE)), let(F.split(m, " "), spans)).otherwise(F.array().cast(f"array<{SPAN}>")))
+
+
+#: Detections that are held against each other at a time.
+BLOCK = 512
+
+
+def suppressed(found: Column) -> Column:
+    """Of detections in order, those that no earlier one of as good a priority holds.
+
+    What is dropped lies within what dropped it, so the farthest end of all earlier
+    ones of each priority decides: in blocks, each with the ends that the blocks
+    before it reach.
+    """
+    none = F.array(*[F.lit(0)] * LEVELS)
+
+    def reach(ends: Column, x: Column) -> Column:
+        return F.transform(ends, lambda e, i: F.when(i + 1 >= x["priority"], F.greatest(e, -x["minus"])).otherwise(e))
+
+    def kept(before: Column, part: Column) -> Column:
+        zero = F.struct(before.alias("ends"), F.array().cast("array<boolean>").alias("out"))
+        step = lambda s, x: F.struct(reach(s["ends"], x).alias("ends"), F.concat(s["out"], F.array(F.element_at(s["ends"], x["priority"]) < -x["minus"])).alias("out"))
+        flags = F.aggregate(part, zero, step, lambda s: s["out"])
+        return let(flags, lambda ok: F.filter(F.transform(part, lambda x, i: F.when(ok[i], x)), lambda x: x.isNotNull()))
 
-    def step(state: Column, i: Column) -> Column:
-        # a match starts with the space before its first word
-        start = (state["at"] + spaces(F.element_at(between, i))).cast("int")
-        stop = (start + spaces(F.element_at(found, i))).cast("int")
-        return F.struct(stop.alias("at"), F.concat(state["out"], F.array(F.struct(start.alias("start"), stop.alias("stop")))).alias("out"))
+    def by_block(parts: Column) -> Column:
+        most = F.transform(parts, lambda p: F.aggregate(p, none, reach))
+        top = lambda a, b: F.zip_with(a, b, lambda x, y: F.greatest(x, y))
+        before = F.aggregate(most, F.array(none), lambda all_, m: F.concat(all_, F.array(top(F.element_at(all_, -1), m))))
+        return let(before, lambda ends: F.flatten(F.transform(parts, lambda p, i: kept(ends[i], p))))
 
-    some = F.aggregate(F.sequence(F.lit(1), F.size(found)), zero, step, lambda s: s["out"])
-    return F.when(F.size(found) > 0, some).otherwise(F.array().cast("array<struct<start:int,stop:int>>"))
+    blocks = F.sequence(F.lit(0), F.floor((F.size(found) - 1) / BLOCK).cast("int"))
+    return F.when(F.size(found) > 0, let(F.transform(blocks, lambda b: F.slice(found, b * BLOCK + 1, F.lit(BLOCK))), by_block))
 
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -223,56 +282,46 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     new = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections"]
     rest = docs.drop(*new)
+    loose, words, base_, same, keys, found_, n_words_, kept_ = common.fresh(rest, "_loose", "_words", "_base", "_same", "_keys", "_found", "_n_words", "_kept")
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     # lower() also turns a few other letters into a-z; it only opens the gate, and the words are made from A-Z alone
-    d = rest.withColumn("_loose", words_joined(F.lower(text)))
+    d = rest.withColumn(loose, words_joined(F.lower(text)))
     gate = F.lit(False)
     for g in GATE:
-        gate = gate | F.contains("_loose", F.lit(g))
-    d = d.withColumn("n_words", F.when(F.col("_loose") == "  ", 0).otherwise(spaces(F.col("_loose")) - 1).cast("long"))
-    d = d.withColumn("_words", F.when(gate, words_joined(F.translate(text, upper, upper.lower())))).drop("_loose")
-    w = F.col("_words")
+        gate = gate | F.contains(loose, F.lit(g))
+    d = d.withColumn(n_words_, F.when(F.col(loose) == "  ", 0).otherwise(spaces(F.col(loose)) - 1).cast("long"))
+    d = d.withColumn(words, F.when(gate, words_joined(F.translate(text, upper, upper.lower())))).drop(loose)
+    w = F.col(words)
 
     def stands(phrase: str) -> Column:
         return F.transform(places(w, F.lit(f" {phrase}(?= )")), lambda x: F.struct(x["start"].alias("start"), F.lit(BASE[phrase]).alias("label")))
 
     hits = F.flatten(F.array(*map(stands, BASE)))
-    d = d.withColumn("_base", F.when(w.isNotNull(), hits))
-    same = F.replace(w, F.lit("licence"), F.lit("license"))  # as many words
-    d = d.withColumn("_same", F.when(w.isNotNull(), same))
-    present = F.filter(keywords, lambda k: F.contains("_same", k))
-    d = d.withColumn("_keys", F.when(w.isNotNull(), present))
+    d = d.withColumn(base_, F.when(w.isNotNull(), hits))
+    d = d.withColumn(same, F.when(w.isNotNull(), F.replace(w, F.lit("licence"), F.lit("license"))))  # as many words
+    present = F.filter(keywords, lambda k: F.contains(same, k))
+    d = d.withColumn(keys, F.when(w.isNotNull(), present))
     # keys are the argument and not in the lambda, where they would be worked out for each rule
-    tried = F.flatten(F.transform("_keys", lambda k: F.element_at(table, k)))
+    tried = F.flatten(F.transform(keys, lambda k: F.element_at(table, k)))
     found = F.flatten(
-        F.transform(tried, lambda r: F.transform(places(F.col("_same"), r["pattern"]), lambda x: F.struct(x["start"].alias("start"), (-x["stop"]).alias("minus"), r["priority"].alias("priority"), r["label"].alias("label"), r["score"].alias("score"))))
+        F.transform(tried, lambda r: F.transform(places(F.col(same), r["pattern"]), lambda x: F.struct(x["start"].alias("start"), (-x["stop"]).alias("minus"), r["priority"].alias("priority"), r["label"].alias("label"), r["score"].alias("score"))))
     )
-    d = d.withColumn("_found", F.when(w.isNotNull(), F.array_sort(F.array_distinct(found))))
-    item = "struct<start:int,stop:int,label:string,priority:int,score:double>"
-    # ends: the farthest end so far of each priority and better
-    zero = F.struct(F.array(*[F.lit(0)] * LEVELS).alias("ends"), F.array().cast(f"array<{item}>").alias("out"))
-
-    def keep(state: Column, x: Column) -> Column:
-        stop = -x["minus"]
-        inside = F.element_at(state["ends"], x["priority"]) >= stop
-        ends = F.transform(state["ends"], lambda e, i: F.when(i + 1 >= x["priority"], F.greatest(e, stop)).otherwise(e))
-        here = F.struct(x["start"].alias("start"), stop.alias("stop"), x["label"].alias("label"), x["priority"].alias("priority"), x["score"].alias("score"))
-        return F.when(inside, state).otherwise(F.struct(ends.alias("ends"), F.concat(state["out"], F.array(here)).alias("out")))
-
-    none = F.array().cast(f"array<{item}>")
-    d = d.withColumn("detections", F.coalesce(F.when(F.size("_found") > 0, F.aggregate("_found", zero, keep, lambda s: s["out"])), none))
-    starts, base = F.transform("_base", lambda x: x["start"]), F.coalesce(F.transform("_base", lambda x: x["label"]), F.array().cast("array<string>"))
-    own = F.transform("detections", lambda x: x["label"])
+    d = d.withColumn(found_, F.when(w.isNotNull(), F.array_sort(found)))
+    d = d.withColumn(kept_, suppressed(F.col(found_)))  # of equal ones the first holds the others
+    none = F.array().cast("array<struct<start:int,stop:int,label:string,priority:int,score:double>>")
+    own = F.transform(kept_, lambda x: F.struct(x["start"].alias("start"), (-x["minus"]).alias("stop"), x["label"].alias("label"), x["priority"].alias("priority"), x["score"].alias("score")))
+    starts, base = F.transform(base_, lambda x: x["start"]), F.coalesce(F.transform(base_, lambda x: x["label"]), F.array().cast("array<string>"))
+    labels = F.coalesce(F.transform(kept_, lambda x: x["label"]), F.array().cast("array<string>"))
     return d.select(
         *rest.columns,
-        "n_words",
-        F.coalesce(F.size("_base"), F.lit(0)).cast("long").alias("n_base"),
+        F.col(n_words_).alias("n_words"),
+        F.coalesce(F.size(base_), F.lit(0)).cast("long").alias("n_base"),
         F.array_min(starts).cast("long").alias("first_word"),
         F.array_max(starts).cast("long").alias("last_word"),
         F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_distinct(F.concat(base, own))), ",").alias("labels"),
-        F.when(F.size(base) > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform("detections", lambda x: x["score"])), F.lit(0.0))).alias("score"),
-        "detections",
+        F.array_join(F.array_sort(F.array_distinct(F.concat(base, labels))), ",").alias("labels"),
+        F.when(F.size(base) > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform(kept_, lambda x: x["score"])), F.lit(0.0))).alias("score"),
+        F.coalesce(own, none).alias("detections"),
     )
 
 
