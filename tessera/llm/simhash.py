@@ -5,17 +5,20 @@
 3. A pair that differs in at most 4 of 64 bits agrees on at least two of six bands
    of bits; each fingerprint goes to the 15 shards of its pairs of bands. No pair
    is lost, and a shard's key has about 21 bits.
-4. Each shard becomes a BK-tree: children keyed by their distance to the parent; a
-   search follows only edges within the radius of its own distance. Searches run
-   in groups: all fingerprints that must enter a child go down together, as numpy
-   vectors. A subtree whose members already are in the searchers' component is
-   left, as no link there is new. What comes out is a star per component of a
-   shard (a row per member at most), never the pairs.
-5. Stars meet in a distributed connected-components loop (large star, small star).
+4. Each shard becomes a BK-tree from its first member on: children keyed by their
+   distance to the parent; a search follows only edges within the radius of its own
+   distance. Searches run in groups: all fingerprints that must enter a child go down
+   together, as numpy vectors. A subtree whose members already are in the searchers'
+   component is left, as no link there is new. What comes out is a star per
+   component of a shard (a row per member at most), never the pairs.
+5. Stars meet in a distributed connected-components loop (large star, small star). Its
+   tables are cut before each join, so that a join's hot key can be split.
 
 A tree holds a shard of fingerprints and never leaves its task: broadcasting trees,
-as the method has it, would send every fingerprint to every executor, which grows
-with the corpus, so the searchers come to the trees through the shards' shuffle.
+as the method has it, would gather every fingerprint on the driver and send it to
+every executor, which grows with the corpus, so the searchers come to the trees
+through the shards' shuffle. Trees of a shard take its task's memory: 8 bytes for
+each distinct fingerprint that shares two bands, and as much for its component.
 """
 
 from __future__ import annotations
@@ -35,8 +38,6 @@ RADIUS = 4
 SEED = 42
 #: (first bit, bits) of the bands; two of six stay equal if four bits differ at most.
 BANDS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
-#: Members of a node that are compared directly.
-LEAF = 48
 
 
 def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
@@ -101,20 +102,13 @@ class BKTree:
                     return []
         if len(members) == 1 and not len(searchers):
             return []
-        if len(members) <= LEAF:
-            for k, m in enumerate(members):
-                rest = np.concatenate((members[k + 1 :], searchers))
-                near = rest[np.bitwise_count(self.fps[rest] ^ self.fps[m]) <= self.radius]
-                if len(near):
-                    self._link(m, near)
-            return []
         pivot, rest = members[0], members[1:]
         dm, ds = np.bitwise_count(self.fps[rest] ^ self.fps[pivot]), np.bitwise_count(self.fps[searchers] ^ self.fps[pivot])
         near = np.concatenate((rest[dm <= self.radius], searchers[ds <= self.radius]))
         if len(near):
             self._link(pivot, near)
-        out, edges = [], np.unique(dm)
-        for d in edges:
+        out = []
+        for d in np.unique(dm):
             # a pair of two children is met once: the child farther out searches the nearer one
             outer = (dm > d) & (dm <= d + self.radius)
             inner = np.abs(ds.astype(np.int64) - int(d)) <= self.radius
@@ -162,20 +156,21 @@ def links(distinct: DataFrame, fp_col: str = "fp") -> DataFrame:
     return rows.mapInArrow(_stars, "u long, v long").distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """(node, root): connected components of (u, v), by alternating large and small stars.
 
-    Each round keeps at most one row per edge; it ends when a round changes nothing.
+    Each round keeps at most one row per edge; it ends when a round changes nothing,
+    after about the logarithm of the longest path's length.
     """
     edges = common.cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
     before = None
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = common.cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         # every node keeps its own least neighbour
-        large = large.unionByName(low.filter("u > m").select("u", F.col("m").alias("v"))).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = common.cut(large.unionByName(low.filter("u > m").select("u", F.col("m").alias("v"))).distinct())
+        low = common.cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
         edges = common.cut(small.distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -197,10 +192,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fps = common.cut(fingerprints(docs, id_col, text_col, words))
     distinct = common.cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(distinct))
-    joined = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    joined = common.cut(joined)
-    least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = joined.join(least, "root").select(F.col("fp").alias("named_fp"), "component_id")
+    joined = common.cut(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    least = common.cut(joined.groupBy("root").agg(F.min("least").alias("component_id")))
+    named = common.cut(joined.join(least, "root").select(F.col("fp").alias("named_fp"), "component_id"))
     return fps.join(named, fps.fp == named.named_fp).select("doc_id", "fp", "component_id")
 
 
@@ -211,12 +205,17 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     with a null id cannot be named and all stay.
     """
     found = near_duplicates(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, words)
-    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    first = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
-    named = docs.join(kept, F.col(id_col) == F.col("_kept")).withColumn("_n", first).filter("_n = 1").select(*docs.columns)
+    named = one_of_each(docs, found.filter("doc_id = component_id").select("doc_id"), id_col, text_col)
     return named.unionByName(docs.filter(F.col(id_col).isNull()))
 
 
+def one_of_each(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The row of `docs` with the least text for each id of `kept`, a table of one column; the columns of `docs`."""
+    own, n = common.fresh(docs, "_kept", "_n")
+    first = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
+    return docs.join(kept.toDF(own).distinct(), F.col(id_col) == F.col(own)).withColumn(n, first).filter(F.col(n) == 1).select(*docs.columns)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(common.table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
