@@ -1,11 +1,14 @@
 """Mixing sources to target weights (DataFrame functions only).
 
 Every document gets a hash-random key. Within each source the keys are cut into
-ranges by their leading hex digits; the words of each range are summed, a running
-sum over the ranges gives where each range starts, and a running sum inside a
-range (a bounded number of rows) gives where each document starts. A source's
-budget is then cut at an exact word: whole passes ("epochs") first, then documents
-in key order until the rest of the budget is spent.
+ranges by their leading hex digits; the words of each range are summed, running
+sums over the ranges, in two levels, give where each range starts, and a running
+sum inside a range (a bounded number of rows) gives where each document starts. A
+source's budget is then cut at an exact word: whole passes ("epochs") first, then
+documents in key order until the rest of the budget is spent.
+
+Rows of one source, id and size have one key; they are one row with a count until
+their places are known, so an id that a third of all rows share makes no long range.
 
 The ranges are an expression of the key and not of Spark's partitions, so that
 results are the same on every run, after a lost executor, and for any number of
@@ -35,7 +38,9 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: tuple[int, int] = (3, 2)
     the others by weight until none is above. That is a water level: in the order
     of cap/weight, the first k sources are full and the level of the rest is what
     remains over their weight. Integers up to the last division.
-    The table has one row for each source, so its windows are small.
+    The table has one row for each source, and its windows are one task: sources are
+    counted in thousands, at most some millions. Finer parts, such as a host name for
+    each page, are to be grouped into sources first.
     """
     by_source = Window.orderBy(F.col("source").asc_nulls_last())
     n = F.row_number().over(by_source) - 1
@@ -88,16 +93,23 @@ def _mix_sized(sized: DataFrame, weights, share, cap: int, range_rows: int) -> D
     ranged = sized.withColumn("key_range", F.substring("mix_key", 1, digits))
     sums = common.cut(ranged.groupBy("source", "key_range").agg(F.sum("size").alias("range_size")))
     plan = targets(sums.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, share, cap)
-    starts = sums.select(
-        F.col("source").alias("range_source"),
-        F.col("key_range").alias("range_key"),
-        (F.sum("range_size").over(Window.partitionBy("source").orderBy("key_range")) - F.col("range_size")).alias("range_start"),
-    )
+    # where each range starts: a running sum over coarse ranges, and one over the ranges of each
+    fine = sums.withColumn("coarse", F.substring("key_range", 1, digits // 2))
+    by_coarse = Window.partitionBy("source").orderBy("coarse")
+    coarse = fine.groupBy("source", "coarse").agg(F.sum("range_size").alias("coarse_size"))
+    coarse = coarse.select(F.col("source").alias("coarse_source"), F.col("coarse").alias("coarse_key"), (F.sum("coarse_size").over(by_coarse) - F.col("coarse_size")).alias("coarse_start"))
+    by_range = Window.partitionBy("source", "coarse").orderBy("key_range")
+    starts = fine.withColumn("inner_start", F.sum("range_size").over(by_range) - F.col("range_size"))
+    starts = starts.join(coarse, F.col("source").eqNullSafe(F.col("coarse_source")) & (F.col("coarse") == F.col("coarse_key")))
+    starts = starts.select(F.col("source").alias("range_source"), F.col("key_range").alias("range_key"), (F.col("coarse_start") + F.col("inner_start")).alias("range_start"))
     plan = plan.withColumnRenamed("source", "plan_source")
     starts = starts.join(plan, F.col("range_source").eqNullSafe(F.col("plan_source"))).drop("plan_source")
+    equal = ranged.groupBy("source", "key_range", "mix_key", "doc_id", "size").agg(F.count("*").alias("rows"))
     inside = Window.partitionBy("source", "key_range").orderBy("mix_key", F.col("doc_id").asc_nulls_last(), "size")
-    placed = ranged.withColumn("inside", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+    all_ = F.col("size") * F.col("rows")
+    placed = equal.withColumn("first", F.sum(all_).over(inside.rowsBetween(Window.unboundedPreceding, 0)) - all_)
     placed = placed.join(starts, F.col("source").eqNullSafe(F.col("range_source")) & (F.col("key_range") == F.col("range_key")))
+    placed = placed.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1))).withColumn("inside", F.col("first") + F.col("nth") * F.col("size"))
     budget = F.floor("target")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     rest = budget - epochs * F.col("source_size") - F.col("range_start") - F.col("inside")
@@ -115,19 +127,22 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     A document that the budget cuts counts as taken if at least half of it is. What
     is decided of a source is a number of passes and the last place of its order that
     goes once more, so each row is decided where it lies: the documents are joined
-    to one row for each source and not moved by key.
+    to one row for each source and not moved by key. Rows of one id and size are decided
+    alike. A null or empty text is never taken.
     """
     place = lambda key, doc_id, size: F.struct(key.alias("k"), doc_id.isNull().alias("n"), doc_id.alias("d"), size.alias("s"))
     m = mix(docs, id_col, text_col, source_col, seed, **options)
     part = F.col("taken") - F.col("epochs") * F.col("size")
     again = F.when((2 * part >= F.col("size")) & (part > 0), place(F.col("mix_key"), F.col("doc_id"), F.col("size")))
-    plan = common.cut(m.groupBy(F.col("source").alias("_source")).agg(F.max("epochs").alias("_epochs"), F.max(again).alias("_last")))
+    source, epochs, last, copies, copy = common.fresh(docs, "_source", "_epochs", "_last", "_copies", "_copy")
+    plan = common.cut(m.groupBy(F.col("source").alias(source)).agg(F.max("epochs").alias(epochs), F.max(again).alias(last)))
     if plan.count() <= BROADCAST_SOURCES:  # checked; beyond it the join is left to Spark
         plan = F.broadcast(plan)
     own = place(_key(F.col(id_col), seed), F.col(id_col), common.n_words(F.col(text_col)))
-    joined = docs.join(plan, F.col(source_col).eqNullSafe(F.col("_source")))
-    copies = F.when(own["s"] > 0, F.col("_epochs") + F.coalesce(own <= F.col("_last"), F.lit(False)).cast("long")).otherwise(0)
-    return joined.withColumn("_copies", copies).filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    joined = docs.join(plan, F.col(source_col).eqNullSafe(F.col(source)))
+    times = F.when(own["s"] > 0, F.col(epochs) + F.coalesce(own <= F.col(last), F.lit(False)).cast("long")).otherwise(0)
+    taken = joined.withColumn(copies, times).filter(F.col(copies) > 0)
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
