@@ -1,13 +1,15 @@
 """Language identification with a linear-chain conditional random field over words.
 
 Words are runs of letters. A word's emission scores come from hashed features
-(affixes, all byte trigrams, the word itself as a lexicon entry); transitions
+(affixes and all trigrams of its letters, the word itself as a lexicon entry); transitions
 between the languages of neighbouring words are learned with them, on windows of
 which half are spliced from two languages, so that code-switched text is labelled
 word by word. Forward-backward gives each word's marginals; a document's language
 is the one with the largest expected share of its words.
 
-Fitting: about FIT_DOCS rows of known language, none held out, reach the driver;
+Fitting: about FIT_DOCS rows of known language, none held out, reach the driver, as
+many of each language as there are, up to an equal share of them, and
+WINDOWS_A_DOC windows of WINDOW words spread over each are learned from;
 the model has BUCKETS rows of one weight per language and is broadcast (a few MB).
 Scoring is one pass of Arrow batches, without a shuffle; whole texts are read, in
 groups of GROUP_CHARS characters, and the cache of word scores is bounded.
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 from . import common
 
 FIT_DOCS = 3000
+MOST_LANGS = 500
 #: Documents longer than this are not fitted on (they are scored whole).
 FIT_CHARS = 20_000
 BUCKETS = 1 << 17
@@ -50,12 +53,16 @@ def words_of(text: str) -> list[str]:
 
 def feature_pieces(word: str) -> Iterator[list[int]]:
     """Hashed features: whole word, affixes of one to three letters, all trigrams, PIECE of them at a time."""
-    w = word.encode()
-    edged = b"<" + w + b">"
-    found = [crc32(w, 1), crc32(edged[:2], 2), crc32(edged[:3], 2), crc32(edged[:4], 2), crc32(edged[-2:], 3), crc32(edged[-3:], 3), crc32(edged[-4:], 3)]
+    w, edged = word.encode(), f"<{word}>"
+    found = [crc32(w, 1)]
+    for n in (2, 3, 4):
+        found += [crc32(edged[:n].encode(), 2), crc32(edged[-n:].encode(), 3)]
     last = len(edged) - 2
+    narrow = len(w) == len(word)  # ASCII: letters are bytes
+    edged = f"<{word}>".encode() if narrow else edged
     for lo in range(0, last, PIECE):
-        yield found + [crc32(edged[i : i + 3], 4) for i in range(lo, min(lo + PIECE, last))]
+        places = range(lo, min(lo + PIECE, last))
+        yield found + ([crc32(edged[i : i + 3], 4) for i in places] if narrow else [crc32(edged[i : i + 3].encode(), 4) for i in places])
         found = []
 
 
@@ -243,10 +250,23 @@ def grouped(batch: pa.RecordBatch, at: int, limit: int = GROUP_CHARS, rows: int
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_docs: int = FIT_DOCS) -> Crf | None:
-    """A model of about `fit_docs` rows (never over twice that) with a language and words that are not held out."""
+    """A model of about `fit_docs` rows (never over twice that) with a language and words that are not held out.
+
+    Of more than MOST_LANGS values of the language the most frequent ones are learned.
+    """
     known = docs.filter(F.col(lang_col).isNotNull() & ~common.is_held_out(F.col(id_col))).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    rows = common.sample_rows(known.filter(F.length("text") <= FIT_CHARS), "doc_id", fit_docs, known.count())
-    return Crf.fit([(r.text, r.lang) for r in sorted(rows, key=lambda r: (r.doc_id is None, r.doc_id or 0, r.text))])
+    known = known.filter(F.length("text") <= FIT_CHARS)
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()}
+    if not sizes:
+        return None
+    left, langs, parts, share = fit_docs, len(sizes), 1 << 30, {}
+    for lang, n in sorted(sizes.items(), key=lambda x: x[1]):  # what small languages leave goes to the larger ones
+        want = min(n, max(left // langs, 1))
+        share[lang], left, langs = parts if want == n else int(parts * want / n), left - want, langs - 1
+    bound = F.element_at(F.create_map(*[F.lit(x) for kv in share.items() for x in kv]), F.col("lang"))
+    chosen = known.filter(F.pmod(F.xxhash64(F.lit("fit"), F.col("doc_id")), F.lit(parts)) < bound)
+    rows = chosen.limit(2 * fit_docs + MOST_LANGS).collect()
+    return Crf.fit([(r.text, r.lang) for r in sorted(rows, key=lambda r: (r.doc_id is None, r.doc_id or 0, r.text, r.lang))])
 
 
 def identify(docs: DataFrame, crf: Crf | None, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
