@@ -260,7 +260,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, fit_rows:
     known = labels.filter(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull() & ~common.is_held_out(F.col("doc_id"))).select("doc_id", F.col(label_col).alias("label")).distinct()
     top = [common.thinned(known.filter(F.col("label") == v), "doc_id", fit_rows) for v in (0, 1)]
     # two numbers in each of about 2 x fit_rows rows: bounded, so it can go to every task
-    rows = docs.select("doc_id", "text").filter(F.length("text") <= fit_chars).join(F.broadcast(top[0].unionByName(top[1])), "doc_id").select("text", "label").collect()
+    rows = docs.select("doc_id", "text").filter(F.length("text") <= fit_chars).join(F.broadcast(top[0].unionByName(top[1])), "doc_id").select("text", "label").limit(4 * fit_rows).collect()  # an id may repeat
     return sorted((r.text, r.label) for r in rows)
 
 
