@@ -1,14 +1,24 @@
 """Approximate nearest neighbours by inner product: a hierarchical k-means tree, best bin first.
 
 Largest inner product becomes least distance by one component more, which brings
-all vectors to the length of the longest. The tree is fitted on about FIT_ROWS
-vectors, never over twice that (so it has a bounded size and can be broadcast); every vector is indexed.
+all vectors to the length of the longest. The tree is fitted on a sample that grows
+with the vectors, one in SAMPLE_EVERY and never over MOST_FIT (so its size is bounded
+and it can be broadcast): leaves keep their size until then. Every vector is indexed.
 A search keeps a priority queue of branches by distance to their centres and opens
-leaves until the calibrated number is reached: the least number at which sample
-queries, held against brute force over all rows, find TARGET of their neighbours.
-Queries meet the leaves they opened in a shuffle on (leaf, block); large leaves and
-many queries are cut into blocks. Equal vectors are one point that carries its
+leaves until the calibrated number is reached (the least number at which sample
+queries, held against brute force over all rows, find TARGET of their neighbours)
+and the opened leaves hold enough vectors.
+
+Neighbouring leaves lie together in cells of about CELL_ROWS vectors; a leaf that is
+larger is dealt over several. A query goes to each cell once, with the leaves that it
+opened there. A cell that many queries open is copied for every PART_QUERIES of them,
+so a group is bounded on both sides. Equal vectors are one point that carries its
 smallest ids, so a vector that a third of the rows share costs what one does.
+
+Rows compared for a query are the opened leaves' rows. On clustered vectors few leaves
+hold the neighbours at any size; on vectors without any structure, where the nearest
+are hardly nearer than the rest, recall needs a fixed share of all leaves, and the
+work then grows with rows times queries whatever the index.
 """
 
 from __future__ import annotations
@@ -17,7 +27,6 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,12 +34,15 @@ from pyspark.sql import functions as F
 from . import common
 
 K = 20
-FIT_ROWS = 8192
+#: Vectors that the tree is fitted on: one in so many, between these bounds.
+SAMPLE_EVERY, LEAST_FIT, MOST_FIT = 8, 8192, 131_072
 BRANCHES = 8
 LEAF_SAMPLE = 32
 CALIBRATION_QUERIES = 128
 TARGET = 0.97
-BLOCK_ROWS = 4096
+CELL_ROWS, PART_QUERIES = 4096, 16_384
+#: Cells up to which their table goes to every task (a row has two numbers).
+BROADCAST_CELLS = 200_000
 
 
 class Tree:
@@ -49,7 +61,7 @@ class Tree:
         return np.column_stack((x, np.sqrt(np.maximum(self.longest**2 - (x * x).sum(1), 0))))
 
     def _grow(self, x: np.ndarray) -> int:
-        if len(x) <= LEAF_SAMPLE and self.centres or len(np.unique(x, axis=0)) < 2:
+        if len(x) <= LEAF_SAMPLE or (x == x[0]).all():
             if not self.centres:  # a tree of one leaf
                 self.centres.append(x[:1] if len(x) else np.zeros((1, x.shape[1])))
                 self.children.append(np.array([-1]))
@@ -84,14 +96,15 @@ class Tree:
                 node[at] = self.children[n][distances(x[at], self.centres[n]).argmin(1)]
         return -1 - node
 
-    def best_leaves(self, query: np.ndarray, most: int) -> list[int]:
-        """Leaves in best-bin-first order."""
+    def best_leaves(self, query: np.ndarray, most: int, sizes: dict[int, int] | None = None, least: int = 0) -> list[int]:
+        """Leaves in best-bin-first order: `most` of them, and more until they hold `least` points by `sizes`."""
         q = np.append(query * (self.longest / np.linalg.norm(query)), 0.0)
-        queue, found = [(0.0, 0)], []
-        while queue and len(found) < most:
+        queue, found, held = [(0.0, 0)], [], 0
+        while queue and (len(found) < most or held < least):
             _, n = heapq.heappop(queue)
             if n < 0:
                 found.append(-1 - n)
+                held += sizes.get(-1 - n, 0) if sizes else 0
                 continue
             d = ((self.centres[n] - q) ** 2).sum(1)
             for item in zip(d.tolist(), self.children[n].tolist(), strict=True):
@@ -115,16 +128,24 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(len(column), -1)
 
 
-def _top(scores: np.ndarray, ids: list, own: np.ndarray, k: int) -> Iterator[tuple[int, float, int]]:
-    """(query's place, score, id): each query's k best, ties to smaller ids; ids: some for each point."""
-    for i, row in enumerate(scores):
-        if len(row) > k + 1:
-            edge = np.partition(row, -(k + 1))[-(k + 1)]
-            at = np.flatnonzero(row >= edge)
-        else:
-            at = np.arange(len(row))
-        found = sorted((-row[j], x) for j in at for x in ids[j] if x != own[i])
-        yield from ((i, -s, x) for s, x in found[:k])
+def _top(scores: np.ndarray, ids: np.ndarray, sizes: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query's place, score, id) of each query's k best, ties to smaller ids.
+
+    scores: queries by points, -inf where a query does not look; ids: of all points in turn, `sizes` each; own: the queries' ids.
+    """
+    most = min(k + 1, scores.shape[1])
+    edge = np.partition(scores, -most, axis=1)[:, -most]
+    who, point = np.nonzero((scores >= edge[:, None]) & (scores > -np.inf))
+    n, starts = sizes[point], (np.cumsum(sizes) - sizes)[point]
+    who, score = np.repeat(who, n), np.repeat(scores[who, point], n)
+    found = ids[np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    other = found != own[who]
+    who, score, found = who[other], score[other], found[other]
+    order = np.lexsort((found, -score, who))
+    who, score, found = who[order], score[order], found[order]
+    first = np.searchsorted(who, who, "left")
+    best = np.arange(len(who)) - first < k
+    return who[best], score[best], found[best]
 
 
 def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, target: float = TARGET) -> DataFrame:
@@ -135,8 +156,8 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
     part, nor do vectors of another than the most common length (ties: the longer).
     A query's own row, and any row of the same id, is no candidate; rows that
     repeat are candidates each, a repeated query is asked once. Fewer candidates
-    than k: all that the search reaches, and with one leaf all there are. An empty
-    table gives an empty result. Extra columns are not read.
+    than k: all there are, as leaves are opened until they hold k. An empty table
+    gives an empty result. Extra columns are not read.
     """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -148,9 +169,11 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
     first = Window.partitionBy("v").orderBy("vec_id")
     points = rows.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     points = common.cut(points)
-    longest = points.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()[0] ** 0.5
-    sample = common.sample_rows(points.select("v", F.xxhash64("v").alias("h")), "h", FIT_ROWS)
-    tree = Tree(np.array(sorted(r.v for r in sample)), longest)
+    n_points, longest = points.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)) ** 0.5).first()
+    fit_rows = min(max(LEAST_FIT, n_points // SAMPLE_EVERY), MOST_FIT)
+    hashed, total = points.select("v", F.xxhash64("v").alias("h")), n_points
+    sample = _matrix(common.thinned(hashed, "h", fit_rows, total).select("v").limit(2 * fit_rows).toArrow().column(0).combine_chunks())
+    tree = Tree(sample[np.lexsort(sample.T)], longest)
     shared = spark.sparkContext.broadcast(tree)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,44 +182,74 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
                 yield pa.RecordBatch.from_arrays([pa.array(shared.value.leaf_of(_matrix(b.column(0))).astype(np.int32)), *b.columns], names=["leaf", "v", "ids"])
 
     index = common.cut(points.mapInArrow(place, "leaf int, v array<double>, ids array<long>"))
-    asked = common.cut(valid(queries, id_col, vector_col).filter(F.size("v") == sizes["d"]).select(F.col("vec_id").alias("query_id"), "v").distinct())
-    n_asked = asked.count()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asked = common.cut(valid(queries, id_col, vector_col).filter(F.size("v") == sizes["d"]).select(F.col("vec_id").alias("query_id"), "v").distinct().repartition(parts, "query_id"))
     visits = _calibrated(index, asked, tree, k, target)
-    leaf_blocks = {r["leaf"]: -(-r["count"] // BLOCK_ROWS) for r in index.groupBy("leaf").count().collect()}  # a row per leaf of the tree
-    groups = -(-n_asked * visits // max(tree.leaves, 1) // BLOCK_ROWS) + 1
+    held = {r["leaf"]: r["count"] for r in index.groupBy("leaf").count().collect()}  # a row per leaf of the tree
+    cells = _cells(held)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = ([], [], [])
+            who, cell, opened = [], [], []
             for i, q in enumerate(_matrix(b.column(1)) if b.num_rows else ()):
-                for leaf in shared.value.best_leaves(q, visits):
-                    for block in range(leaf_blocks.get(leaf, 0)):
-                        out[0].append(leaf)
-                        out[1].append(block)
-                        out[2].append(i)
-            at = pa.array(out[2], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()), b.column(0).take(at), b.column(1).take(at)], names=["leaf", "block", "query_id", "v"])
-
-    routed = asked.mapInArrow(route, "leaf int, block int, query_id long, v array<double>").withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int"))
-    blocks = F.create_map(*[F.lit(x) for kv in leaf_blocks.items() for x in kv])
-    stored = index.withColumn("block", F.pmod(F.xxhash64("v"), F.element_at(blocks, F.col("leaf")).cast("long")).cast("int"))
-    stored = stored.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-
-    def scan(_, asks: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        out: list = []
-        if len(asks) and len(held):
-            x, ids, own = np.stack(held["v"].to_numpy()).T.copy(), held["ids"].tolist(), asks["query_id"].to_numpy()
-            for lo in range(0, len(asks), 256):
-                s = np.stack(asks["v"].to_numpy()[lo : lo + 256]) @ x
-                out += [(own[lo + i], vec, score) for i, score, vec in _top(s, ids, own[lo : lo + 256], k)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    keys = ("leaf", "block", "part")
-    found = routed.groupBy(*keys).cogroup(stored.groupBy(*keys)).applyInPandas(scan, "query_id long, vec_id long, score double")
+                by_cell: dict[int, list[int]] = {}
+                for leaf in shared.value.best_leaves(q, visits, held, k + 1):
+                    first, n = cells.get(leaf, (0, 0))
+                    for c in range(first, first + n):
+                        by_cell.setdefault(c, []).append(leaf)
+                who += [i] * len(by_cell)
+                cell += by_cell.keys()
+                opened += by_cell.values()
+            at = pa.array(who, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(opened, pa.list_(pa.int32())), b.column(0).take(at), b.column(1).take(at)], names=["cell", "leaves", "query_id", "v"])
+
+    routed = common.cut(asked.mapInArrow(route, "cell int, leaves array<int>, query_id long, v array<double>"))
+    opened = routed.groupBy("cell").agg(F.ceil(F.count("*") / PART_QUERIES).cast("int").alias("parts"))
+    if sum(n for _, n in cells.values()) <= BROADCAST_CELLS:  # checked; beyond it the joins are left to Spark
+        opened = F.broadcast(opened)
+    asks = routed.join(opened, "cell").select("cell", F.pmod(F.xxhash64("query_id"), F.col("parts").cast("long")).cast("int").alias("part"), "query_id", "v", "leaves")
+    where = F.broadcast(spark.createDataFrame([(leaf, *c) for leaf, c in cells.items()], "leaf int, first int, n int"))  # a row per leaf of the tree
+    stored = index.join(where, "leaf").withColumn("cell", (F.col("first") + F.pmod(F.xxhash64("v"), F.col("n").cast("long"))).cast("int"))
+    stored = stored.join(opened, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "leaf", "v", "ids")
+
+    def scan(asks: pa.Table, held: pa.Table) -> pa.Table:
+        out: list = [(np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))]
+        if asks.num_rows and held.num_rows:
+            x, ids = _matrix(held.column("v").combine_chunks()).T.copy(), held.column("ids").combine_chunks()
+            flat, n_ids = ids.flatten().to_numpy(), ids.value_lengths().to_numpy().astype(np.int64)
+            leaves, leaf_at = np.unique(held.column("leaf").to_numpy(), return_inverse=True)
+            own, q, looks = asks.column("query_id").to_numpy(), _matrix(asks.column("v").combine_chunks()), asks.column("leaves").combine_chunks()
+            for lo in range(0, len(own), 256):
+                hi = min(lo + 256, len(own))
+                part = looks.slice(lo, hi - lo)
+                open_ = np.zeros((hi - lo, len(leaves) + 1), bool)
+                which = part.flatten().to_numpy()
+                at = np.minimum(np.searchsorted(leaves, which), len(leaves) - 1)
+                open_[np.repeat(np.arange(hi - lo), part.value_lengths().to_numpy()), np.where(leaves[at] == which, at, len(leaves))] = True
+                scores = np.where(open_[:, leaf_at], q[lo:hi] @ x, -np.inf)
+                who, score, vec = _top(scores, flat, n_ids, own[lo:hi], k)
+                out.append((own[lo:hi][who], score, vec))
+        who, score, vec = map(np.concatenate, zip(*out, strict=True))
+        return pa.table({"query_id": who, "vec_id": vec, "score": score})
+
+    keys = ("cell", "part")
+    found = asks.groupBy(*keys).cogroup(stored.groupBy(*keys)).applyInArrow(scan, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.select("query_id", rank.alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)
 
 
+def _cells(held: dict[int, int]) -> dict[int, tuple[int, int]]:
+    """Leaf: (its first cell, cells that it is dealt over). Leaves next to each other in the tree share a cell until it is full."""
+    out, cell, rows = {}, 0, 0
+    for leaf in sorted(held):
+        if rows and rows + held[leaf] > CELL_ROWS:
+            cell, rows = cell + 1, 0
+        n = -(-held[leaf] // CELL_ROWS)
+        out[leaf] = cell, n
+        cell, rows = (cell + n, 0) if n > 1 else (cell, rows + held[leaf])
+    return out
+
+
 def _calibrated(index: DataFrame, asked: DataFrame, tree: Tree, k: int, target: float) -> int:
     """Leaves to open, from sample queries held against brute force over the whole index."""
     rows = sorted(common.sample_rows(asked, "query_id", CALIBRATION_QUERIES))
