@@ -81,7 +81,12 @@ def thinned(df: DataFrame, key: str, n: int, total: int | None = None) -> DataFr
 
 def sample_rows(df: DataFrame, key: str, n: int, total: int | None = None) -> list:
     """About `n` rows of `df` on the driver, never over 2 `n`; `n` is a documented parameter of each operator."""
-    return thinned(df, key, n, total).limit(2 * n).collect()
+    return first_rows(thinned(df, key, n, total), 2 * n).collect()
+
+
+def first_rows(df: DataFrame, n: int) -> DataFrame:
+    """`df`, or the same `n` rows of it on every run if it has more (as where an id repeats)."""
+    return df.orderBy(F.xxhash64(*df.columns)).limit(n)
 
 
 def wider(schema: T.StructType, **kinds: str) -> T.StructType:

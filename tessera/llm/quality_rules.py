@@ -88,7 +88,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> boostin
     known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~common.is_held_out(F.col("doc_id"))).select("doc_id", "quality")
     chosen = common.thinned(known.distinct(), "doc_id", fit_rows)
     # about fit_rows rows of two numbers: bounded, so it can go to every task
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text").mapInArrow(_features, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality int, f array<double>").limit(2 * fit_rows).collect()  # an id may repeat
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
+    rows = rows.mapInArrow(_features, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality int, f array<double>")
+    rows = common.first_rows(rows, 2 * fit_rows).collect()
     if len({r.quality for r in rows}) < 2:
         return None
     rows.sort(key=lambda r: (r.doc_id, r.quality, r.f))
