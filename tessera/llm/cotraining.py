@@ -1,8 +1,9 @@
 """Quality classifier by co-training two views of a document.
 
-Text view: the make-up of the whole text (pairs of neighbouring character classes,
-repeats, distinct words). Metadata view: source, language, declared length and line
-layout. Each view has its own classifier; over ROUNDS, each labels the documents of
+Text view: the whole text's words (their shares by hash) and make-up (pairs of
+neighbouring character classes, repeats, distinct words and lines). Metadata view:
+source, language and declared length, nothing that is read from the text. Each view
+has its own classifier; over ROUNDS, each labels the documents of
 an unlabelled pool that it is sure of, and they join the *other* view's training
 rows. At the end each view is calibrated on labelled rows kept aside, the calibrated
 views are combined there by a logistic model, and every document is scored.
@@ -35,7 +36,7 @@ PER_ROUND = 300
 THRESHOLD = 0.5
 #: Labelled rows kept aside for calibration: one in so many.
 ASIDE = 4
-SOURCE_BUCKETS, LANG_BUCKETS = 32, 8
+SOURCE_BUCKETS, LANG_BUCKETS, WORD_BUCKETS = 32, 8, 64
 
 # Classes of bytes: 0 lower, 1 upper, 2 digit, 3 space, 4 line end, 5 sentence marks, 6 dashes and quotes, 7 symbols, 8 exclaiming, 9 beyond ASCII
 CLASSES = np.full(256, 7, np.uint8)
@@ -50,23 +51,22 @@ def text_view(text: str | None) -> np.ndarray:
     pairs = np.bincount(codes[:-1] * KINDS + codes[1:], minlength=KINDS * KINDS) / max(len(b) - 1, 1)
     words, lines = b.split(), [x for x in b.split(b"\n") if x.strip()]
     n, kinds = max(len(words), 1), len(set(words))
-    return np.concatenate((pairs, [np.log1p(len(words)), len(b) / n, kinds / n, 1 - len(set(lines)) / max(len(lines), 1)]))
+    hashes = np.fromiter(map(crc32, map(bytes.lower, words)), np.uint32, len(words))
+    by_word = np.bincount(hashes % WORD_BUCKETS, minlength=WORD_BUCKETS) / n
+    return np.concatenate((pairs, by_word, [np.log1p(len(words)), len(b) / n, kinds / n, 1 - len(set(lines)) / max(len(lines), 1), len(words) / max(len(lines), 1)]))
 
 
-def metadata_view(text: str | None, source: str | None, lang: str | None, n_chars: int | None) -> np.ndarray:
-    text = text or ""
-    lines = text.count("\n") + 1
-    out = np.zeros(SOURCE_BUCKETS + LANG_BUCKETS + 5)
+def metadata_view(source: str | None, lang: str | None, n_chars: int | None) -> np.ndarray:
+    out = np.zeros(SOURCE_BUCKETS + LANG_BUCKETS + 4)
     out[crc32((source or "").encode()) % SOURCE_BUCKETS] = 1
     out[SOURCE_BUCKETS + crc32((lang or "").encode()) % LANG_BUCKETS] = 1
-    longest = max(map(len, text.split("\n")))
-    out[-5:] = np.log1p(max(n_chars or 0, 0)), np.log1p(lines), np.log1p(len(text) / lines), longest / max(len(text), 1), n_chars is None
+    out[-4:] = np.log1p(max(n_chars or 0, 0)), n_chars is None, source is None, lang is None
     return out
 
 
 def _views(b: pa.RecordBatch, text: int, source: int, lang: int, chars: int) -> tuple[np.ndarray, np.ndarray]:
     rows = list(zip(*(b.column(i).to_pylist() for i in (text, source, lang, chars)), strict=True))
-    return np.array([text_view(r[0]) for r in rows]), np.array([metadata_view(*r) for r in rows])
+    return np.array([text_view(r[0]) for r in rows]), np.array([metadata_view(*r[1:]) for r in rows])
 
 
 def _sigmoid(x):
@@ -135,8 +135,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, pool_rows:
     # two numbers in each of about fit_rows rows: bounded, so it can go to every task
     chosen = F.broadcast(common.thinned(known, "doc_id", fit_rows))
     pooled = common.thinned(docs.filter(~common.is_held_out(F.col("doc_id"))), "doc_id", pool_rows)
-    rows = _featured(docs.join(chosen, "doc_id").select("doc_id", "label", *COLUMNS)).limit(2 * fit_rows).collect()
-    free = _featured(pooled.join(chosen, "doc_id", "left_anti").select("doc_id", F.lit(-1).alias("label"), *COLUMNS)).limit(2 * pool_rows).collect()
+    rows = common.first_rows(_featured(docs.join(chosen, "doc_id").select("doc_id", "label", *COLUMNS)), 2 * fit_rows).collect()
+    free = common.first_rows(_featured(pooled.join(chosen, "doc_id", "left_anti").select("doc_id", F.lit(-1).alias("label"), *COLUMNS)), 2 * pool_rows).collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r.label, crc32(str(r.doc_id).encode()), r.a))  # both classes are spread over the rows kept aside
