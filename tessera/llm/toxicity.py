@@ -4,9 +4,15 @@ The lexicon is a short list of English insults and what labelled rows teach: wor
 and word beginnings that are common in toxic documents and all but absent from
 clean ones. It lies in a trie. A word that may be near a term (it shares the first
 or the last half of one) becomes a Levenshtein automaton, and both are walked
-together, so that misspelled terms match. Each match is seen in its window of
-words: other matches and words of address raise it, quotation marks around it lower
-it. A logistic model over such counts, fitted on the same rows, gives the score.
+together, so that terms with one letter wrong, too much, left out or swapped with
+its neighbour match; letters parted by dots or stars (i.d.i.o.t) are read as a word.
+A misspelling weighs less than the term, and counts only if it is no ordinary word
+of clean documents, and for terms whose neighbours are rare there.
+
+Each match is scored in its window of words: other matches and words of address
+raise it, quotation marks around it lower it to a tenth. A logistic model over the
+best, the sum and the rate of these scores, none of which may lower the result, and
+fitted on the same rows, gives a document's score.
 
 Fitting: about FIT_ROWS labelled rows of each class, none held out, reach the
 driver. Scoring: one pass of Arrow batches over whole texts, no shuffle; the cache
@@ -38,30 +44,41 @@ THRESHOLD = 0.7
 #: there, and if chance would seldom make such counts (log-likelihood ratio).
 LEAST_SHARE, LEAST_DOCS, LEAST_LIFT, LEAST_RATIO = 0.01, 4, 5, 20
 #: Weight of a seed that the labelled rows do not have; bounds of all weights (log of the lift).
-SEED_WEIGHT, LEAST_WEIGHT, MOST_WEIGHT, NEAR_SHARE = 4.0, 0.5, 5.0, 0.7
+SEED_WEIGHT, LEAST_WEIGHT, MOST_WEIGHT = 4.0, 0.5, 5.0
 STEMS = (4, 5, 6)
-#: Terms that share four letters and are taken for forms of one stem.
-FAMILY = 4
+#: What a misspelled seed and a misspelled learned term weigh of the term; letters that a term has then at least; share of
+#: clean documents in which misspellings of it may be met (in documents that the ordinary words were not taken from).
+NEAR_SHARE, LEARNED_SHARE, NEAR_LETTERS, NEAR_RATE = 0.7, 0.35, 5, 0.001
+#: A match's score grows by so much for each other match in its window, up to four, and with a word of address there; what is left inside quotation marks.
+PER_MATCH, PER_ADDRESS, QUOTED = 0.15, 0.3, 0.1
 
 # English insults, and words of address.
 SEEDS = "clown crap degenerate disgusting dumb filthy garbage idiot imbecile jerk loser moron pathetic scum scumbag stupid trash vermin worthless".split()
 ADDRESS = frozenset("you your yours youre u ur du dich dein deine ihr euch tu toi ton te vous votre usted tú ti su ustedes vosotros".split())
 
-WORD = re.compile(r"[^\W_]+(?:[@$*][^\W_]+)*")
-QUOTES = re.compile(r"[\"“”„«»‘’]")
+#: Letters that single marks part are one word.
+WORD = re.compile(r"(?<![^\W_])(?:[^\W_][.\-_*]){2,}[^\W_](?![^\W_])|[^\W_]+(?:[@$*][^\W_]+)*")
+PARTED = re.compile(r"(?:[^\W_][.\-_*]){2,}[^\W_]")
+#: From a mark before a word to one after a word, within a line.
+QUOTES = re.compile(r"(?:(?<=[\s(\[])|^)[\"“„«‘](?=\S)[^\n\"“”„«»]{1,200}?(?<=\S)[\"”“»’](?=$|[\s.,;:!?)\]])", re.M)
+
+
+def words_of(lower: str) -> list[str]:
+    return [w if w.isalnum() else re.sub(r"[.\-_*]", "", w) if PARTED.fullmatch(w) else w for w in WORD.findall(lower)]
 
 
 class Trie:
-    """Terms with a weight; a term that ends in `*` is a beginning and matches any word that starts so."""
-
-    def __init__(self, weights: dict[str, float]):
-        self.weights, terms = weights, list(weights)
-        families = Counter(t[:4] for t in terms)
-        #: Edits that a term forgives: none for short words and beginnings, nor where many terms are forms of one stem,
-        #: as one form's neighbours are then ordinary words.
-        self.edits = {t: int(not t.endswith("*") and len(t) >= 5 and families[t[:4]] < FAMILY) for t in terms}
+    """Terms with a weight; a term that ends in `*` is a beginning and matches any word that starts so.
+
+    near: terms that forgive an edit; all whole ones of NEAR_LETTERS letters, if not
+    given. ordinary: words that are no misspelling.
+    """
+
+    def __init__(self, weights: dict[str, float], near: frozenset[str] | None = None, ordinary: frozenset[str] = frozenset()):
+        self.weights, terms, self.ordinary = weights, list(weights), ordinary
+        self.near = frozenset(t for t in terms if not t.endswith("*") and len(t) >= NEAR_LETTERS) if near is None else near
         self.next: list[dict[str, int]] = [{}]
-        self.term: list[str | None] = [None]
+        self.term: list[tuple[str, ...]] = [()]  # the term that ends at a node, and the beginning
         self.terms = sorted(terms)
         for t in self.terms:
             node = 0
@@ -69,17 +86,20 @@ class Trie:
                 if ch not in self.next[node]:
                     self.next[node][ch] = len(self.next)
                     self.next.append({})
-                    self.term.append(None)
+                    self.term.append(())
                 node = self.next[node][ch]
-            if self.term[node] is None or t.endswith("*"):
-                self.term[node] = t
-        # what a word must start or end with, by its length: an edit leaves the first or the last half of a term whole
+            self.term[node] += (t,)
+        # what a word must start or end with, by its length: an edit leaves the first or the last half of a term whole, or swaps across the middle
         self.stems = tuple(t[:-1] for t in self.terms if t.endswith("*"))
         whole = [t for t in self.terms if not t.endswith("*")]
         self.ends: dict[int, tuple[tuple[str, ...], tuple[str, ...]]] = {}
         for n in {len(t) + d for t in whole for d in (-1, 0, 1)}:
-            near = [t for t in whole if abs(len(t) - n) <= self.edits[t]]
-            self.ends[n] = tuple({t[: len(t) // 2] if self.edits[t] else t for t in near}), tuple({t[len(t) // 2 :] for t in near if self.edits[t]})
+            forgiving = [t for t in whole if t in self.near and abs(len(t) - n) <= 1]
+            heads = {t for t in whole if len(t) == n} | {t[: len(t) // 2] for t in forgiving}
+            for t in forgiving:
+                h = len(t) // 2
+                heads.add(t[: h - 1] + t[h] + t[h - 1] + t[h + 1 :])
+            self.ends[n] = tuple(heads), tuple({t[len(t) // 2 :] for t in forgiving})
 
     def match(self, word: str) -> tuple[str, int] | None:
         """(term, edits) of the nearest term, ties to the greater weight."""
@@ -90,121 +110,152 @@ class Trie:
         found, stack = None, [(0, machine.start())]
         while stack:
             node, state = stack.pop()
-            term = self.term[node]
-            if term is not None:
+            for term in self.term[node]:
                 d = machine.distance(state, term.endswith("*"))
-                if d is not None and d <= self.edits[term] and (found is None or (d, -self.weights[term], term) < found):
+                if d is not None and d <= (term in self.near) and (found is None or (d, -self.weights[term], term) < found):
                     found = d, -self.weights[term], term
             for ch, child in self.next[node].items():
                 if after := machine.step(state, ch):
                     stack.append((child, after))
-        return found and (found[2], found[0])
+        if found is None or found[0] and word in self.ordinary:
+            return None
+        return found[2], found[0]
 
 
 class LevenshteinAutomaton:
-    """Accepts what is within `most` edits of a word. A state: {place in the word: least edits so far}."""
+    """Accepts what is within `most` edits of a word; a swap of neighbours is one. A state: {(place in the word, whether amid a swap): least edits so far}."""
 
     def __init__(self, word: str, most: int = 1):
         self.word, self.most = word, most
 
-    def start(self) -> dict[int, int]:
-        return {i: i for i in range(min(self.most, len(self.word)) + 1)}
-
-    def step(self, state: dict[int, int], ch: str) -> dict[int, int]:
-        out: dict[int, int] = {}
-        for i, e in sorted(state.items()):
-            moves = [(i + 1, e if i < len(self.word) and self.word[i] == ch else e + 1), (i, e + 1)]
-            for j, cost in moves:
-                if j <= len(self.word) and cost <= self.most and cost < out.get(j, self.most + 1):
-                    out[j] = cost
-        for i in sorted(out):  # letters of the word that are left out
-            for j in range(i + 1, min(len(self.word), i + self.most - out[i]) + 1):
-                out[j] = min(out.get(j, self.most + 1), out[i] + j - i)
+    def start(self) -> dict[tuple[int, bool], int]:
+        return {(i, False): i for i in range(min(self.most, len(self.word)) + 1)}
+
+    def step(self, state: dict[tuple[int, bool], int], ch: str) -> dict[tuple[int, bool], int]:
+        out: dict[tuple[int, bool], int] = {}
+        word, n = self.word, len(self.word)
+        for (i, swapping), e in sorted(state.items()):
+            if swapping:
+                moves = [((i + 2, False), e)] if word[i] == ch else []
+            else:
+                moves = [((i + 1, False), e if i < n and word[i] == ch else e + 1), ((i, False), e + 1)]
+                if i + 1 < n and word[i + 1] == ch:
+                    moves.append(((i, True), e + 1))
+            for at, cost in moves:
+                if at[0] <= n and cost <= self.most and cost < out.get(at, self.most + 1):
+                    out[at] = cost
+        for i in sorted(i for i, swapping in out if not swapping):  # letters of the word that are left out
+            for j in range(i + 1, min(n, i + self.most - out[i, False]) + 1):
+                out[j, False] = min(out.get((j, False), self.most + 1), out[i, False] + j - i)
         return out
 
-    def distance(self, state: dict[int, int], beginning: bool) -> int | None:
+    def distance(self, state: dict[tuple[int, bool], int], beginning: bool) -> int | None:
         """Edits at the end of a term; of a beginning, the rest of the word is free."""
-        return min(state.values(), default=None) if beginning else state.get(len(self.word))
+        if beginning:
+            return min((e for (_, swapping), e in state.items() if not swapping), default=None)
+        return state.get((len(self.word), False))
 
 
-FEATURES = ("best", "total", "near", "rate", "densest", "addressed", "quoted")
+FEATURES = ("best", "total", "rate")
 
 
 class Scorer:
-    """Terms with weights, and the logistic model's weights: intercept first, then FEATURES."""
+    """A trie of terms with weights, and the logistic model's weights: intercept first, then FEATURES."""
 
-    def __init__(self, terms: dict[str, float], weights: np.ndarray | None = None):
-        self.trie = Trie(terms)
-        self.weights = np.array([-5.0, 1.0, 1.0, 0.2, 0.3, 0.3, 0.3, -2.0]) if weights is None else weights
+    def __init__(self, trie: Trie, weights: np.ndarray | None = None):
+        self.trie = trie
+        self.weights = np.array([-4.0, 0.8, 0.8, 0.3]) if weights is None else weights
         self.known: set[str] = set()
         self.hits: dict[str, tuple[int, float]] = {}
 
     def __reduce__(self):
-        return Scorer, (self.trie.weights, self.weights)
+        return Scorer, (self.trie, self.weights)
 
     def look_up(self, words: set[str]) -> None:
         if len(self.known) > CACHED_WORDS:
             self.known, self.hits = set(), {}
         for w in words - self.known:
             if found := self.trie.match(w):
-                self.hits[w] = found[1], self.trie.weights[found[0]] * (NEAR_SHARE if found[1] else 1)
+                self.hits[w] = found[1], self.trie.weights[found[0]] * (1 if not found[1] else NEAR_SHARE if found[0] in SEEDS else LEARNED_SHARE)
         self.known |= words
 
-    def matches(self, text: str) -> list[tuple[int, int, int, str, int]]:
-        """(word's number, start, end, word, edits) of each match in a text."""
+    def matches(self, text: str) -> list[tuple[int, int, int, str, int, float]]:
+        """(word's number, start, end, word, edits, score in its window) of each match in a text."""
         lower = text.lower()
-        self.look_up(set(WORD.findall(lower)))
-        return [(i, m.start(), m.end(), m[0], self.hits[m[0]][0]) for i, m in enumerate(WORD.finditer(lower)) if m[0] in self.hits]
+        words = words_of(lower)
+        self.look_up(set(words))
+        at = [i for i, w in enumerate(words) if w in self.hits]
+        spots = {i: (m.start(), m.end()) for i, m in enumerate(WORD.finditer(lower))} if at else {}
+        return [(i, *spots[i], words[i], self.hits[words[i]][0], x) for i, x in zip(at, self._scores(lower, words, at), strict=True)]
+
+    def _quoted(self, lower: str, words: list[str]) -> set[int]:
+        """Numbers of the matches inside quotation marks."""
+        spans = [m.span() for m in QUOTES.finditer(lower)]
+        if not spans:
+            return set()
+        starts = [a for a, _ in spans]
+        inside = lambda at: (k := bisect(starts, at)) > 0 and at < spans[k - 1][1]
+        return {i for i, m in enumerate(WORD.finditer(lower)) if words[i] in self.hits and inside(m.start())}
+
+    def _scores(self, lower: str, words: list[str], at: list[int]) -> list[float]:
+        """The matches' scores in their windows."""
+        quoted, out = self._quoted(lower, words) if at else set(), []
+        for i in at:
+            near = bisect(at, i + WINDOW) - bisect(at, i - WINDOW - 1) - 1
+            addressed = not ADDRESS.isdisjoint(words[max(0, i - WINDOW) : i + WINDOW + 1])
+            out.append(self.hits[words[i]][1] * (QUOTED if i in quoted else 1 + PER_MATCH * min(near, 4) + PER_ADDRESS * addressed))
+        return out
 
     def features(self, text: str | None, words: list[str] | None = None) -> list[float]:
         lower = (text or "").lower()
         if words is None:
-            words = WORD.findall(lower)
+            words = words_of(lower)
             self.look_up(set(words))
         if not self.hits or self.hits.keys().isdisjoint(words):
             return [0.0] * len(FEATURES)
-        at = [i for i, w in enumerate(words) if w in self.hits]
-        marks = [m.start() for m in QUOTES.finditer(lower)]
-        quoted = set()
-        if marks:
-            for i, m in enumerate(WORD.finditer(lower)):
-                if m[0] in self.hits:
-                    k = bisect(marks, m.start())
-                    if k % 2 and k < len(marks) and marks[k] - marks[k - 1] <= 200:
-                        quoted.add(i)
-        open_ = [i for i in at if i not in quoted]
-        exact = [self.hits[words[i]][1] for i in open_ if not self.hits[words[i]][0]]
-        near = [self.hits[words[i]][1] for i in open_ if self.hits[words[i]][0]]
-        densest = addressed = 0.0
-        for i in open_:
-            around = at[bisect(at, i - 1) : bisect(at, i + WINDOW)]
-            densest = max(densest, sum(self.hits[words[j]][1] for j in around))
-            addressed += not ADDRESS.isdisjoint(words[max(0, i - WINDOW) : i + WINDOW + 1])
-        total = sum(exact) + sum(near)
-        return [
-            max(exact, default=0.0), np.log1p(total), max(near, default=0.0), np.log1p(1000 * total / len(words)),
-            np.log1p(densest), addressed / max(len(open_), 1), len(quoted) / len(at),
-        ]
+        scores = self._scores(lower, words, [i for i, w in enumerate(words) if w in self.hits])
+        total = sum(scores)
+        return [max(scores), np.log1p(total), np.log1p(1000 * total / len(words))]
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(scores, features) of whole texts."""
-        words = [WORD.findall(t.lower()) if t else [] for t in texts]
+        words = [words_of(t.lower()) if t else [] for t in texts]
         self.look_up(set().union(*words))
         x = np.array([self.features(t, w) for t, w in zip(texts, words, strict=True)])
         return 1 / (1 + np.exp(-(self.weights[0] + x @ self.weights[1:]))), x
 
 
+def forgiving(weights: dict[str, float], docs: list[tuple[set[str], bool]]) -> Trie:
+    """The trie of terms with what their misspellings may be, learned from documents (words, toxic).
+
+    Ordinary words are those that clean documents have and toxic ones do not have much
+    more often. A term forgives an edit if its misspellings beyond the ordinary words
+    of one half of the clean documents are rare in the other half.
+    """
+    clean = [w for w, toxic in docs if not toxic]
+    n1, n0 = max(len(docs) - len(clean), 1), max(len(clean), 1)
+    count = {t: Counter(w for words, toxic in docs if toxic == t for w in words) for t in (True, False)}
+    trie = Trie(weights)
+    found = {w: hit for w in count[False] if (hit := trie.match(w)) and hit[1]}
+    half = {w for words in clean[::2] for w in words}
+    met = Counter(t for words in clean[1::2] for t in {found[w][0] for w in words if w in found and w not in half})
+    near = frozenset(t for t in trie.near if met[t] <= NEAR_RATE * len(clean[1::2]))
+    ordinary = frozenset(w for w in found if count[True][w] * n0 < LEAST_LIFT * count[False][w] * n1)
+    return Trie(weights, near, ordinary)
+
+
 def fit(rows: list[tuple[str, int]], seeds: list[str] = SEEDS) -> Scorer:
     """rows: (text, 1 if toxic). Without both classes: the seeds and fixed weights."""
     unique = {}
     for text, toxic in sorted(rows):  # one of each group of copies, by the least hash of five words
-        w = WORD.findall(text.lower())
-        unique[min((crc32(" ".join(w[i : i + 5]).encode()) for i in range(max(1, len(w) - 4))), default=0), toxic] = w, toxic
-    docs = list(unique.values())
+        w = words_of(text.lower())
+        unique[min((crc32(" ".join(w[i : i + 5]).encode()) for i in range(max(1, len(w) - 4))), default=0), toxic] = w, toxic, text
+    texts = [t for _, _, t in unique.values()]
+    docs = [(w, toxic) for w, toxic, _ in unique.values()]
     n1 = sum(t for _, t in docs)
     n0 = len(docs) - n1
     if not n1 or not n0:
-        return Scorer(dict.fromkeys(seeds, SEED_WEIGHT))
+        return Scorer(Trie(dict.fromkeys(seeds, SEED_WEIGHT)))
     count = {True: Counter(), False: Counter()}
     ways: dict[str, set[str]] = {}
     for words, toxic in docs:
@@ -231,16 +282,29 @@ def fit(rows: list[tuple[str, int]], seeds: list[str] = SEEDS) -> Scorer:
     stems = {t for t in strong if t.endswith("*") and len(ways[t]) >= 4}
     # of nested beginnings the longer one only where it tells clearly more
     stems = {t for t in stems if not any(t[:n] + "*" in stems and weight(t) < weight(t[:n] + "*") + 0.7 for n in STEMS if n < len(t) - 1)}
-    learned = {t for t in strong if not t.endswith("*") and not any(t[:n] + "*" in stems and weight(t) < weight(t[:n] + "*") + 0.7 for n in STEMS)}
+    learned = {t for t in strong if not t.endswith("*")}  # those with a learned beginning too: their misspellings may miss it
     terms = {t: weight(t) for t in stems | learned} | {t: SEED_WEIGHT for t in seeds if not count[True][t] and not count[False][t]}
     terms |= {t: weight(t) for t in seeds if count[True][t] and weight(t) > LEAST_WEIGHT}
-    scorer = Scorer(terms)
-    x = np.array([scorer.features(" ".join(w), w) if scorer.look_up(set(w)) is None else 0 for w, _ in docs])
-    return Scorer(terms, logistic(x, np.array([t for _, t in docs], float)))
+    trie = forgiving(terms, [(set(w), bool(toxic)) for w, toxic in docs])
+    _, x = Scorer(trie).score(texts)
+    return Scorer(trie, logistic(x, np.array([t for _, t in docs], float), signs=np.ones(len(FEATURES))))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.1, rounds: int = 30, balanced: bool = True) -> np.ndarray:
-    """Weights, intercept first, by Newton steps; balanced: both classes weigh the same."""
+def logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.1, rounds: int = 30, balanced: bool = True, signs: np.ndarray | None = None) -> np.ndarray:
+    """Weights, intercept first, by Newton steps; balanced: both classes weigh the same.
+
+    signs: for each feature 1 (its weight is not below 0), -1 or 0 (free); a weight
+    that would go to the wrong side is 0, the one farthest off first.
+    """
+    if signs is not None:
+        use = np.ones(x.shape[1], bool)
+        while True:
+            w = np.zeros(x.shape[1] + 1)
+            w[np.append(True, use)] = logistic(x[:, use], y, l2, rounds, balanced)
+            wrong = w[1:] * signs
+            if wrong.min(initial=0) >= 0:
+                return w
+            use[wrong.argmin()] = False
     x = np.column_stack((np.ones(len(x)), x))
     w, weight = np.zeros(x.shape[1]), np.ones(len(y))
     if balanced:
@@ -260,17 +324,17 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, fit_rows:
     known = labels.filter(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull() & ~common.is_held_out(F.col("doc_id"))).select("doc_id", F.col(label_col).alias("label")).distinct()
     top = [common.thinned(known.filter(F.col("label") == v), "doc_id", fit_rows) for v in (0, 1)]
     # two numbers in each of about 2 x fit_rows rows: bounded, so it can go to every task
-    rows = docs.select("doc_id", "text").filter(F.length("text") <= fit_chars).join(F.broadcast(top[0].unionByName(top[1])), "doc_id").select("text", "label").limit(4 * fit_rows).collect()  # an id may repeat
-    return sorted((r.text, r.label) for r in rows)
+    rows = docs.select("doc_id", "text").filter(F.length("text") <= fit_chars).join(F.broadcast(top[0].unionByName(top[1])), "doc_id").select("text", "label")
+    return sorted((r.text, r.label) for r in common.first_rows(rows, 4 * fit_rows).collect())
 
 
 def score_toxicity(docs: DataFrame, scorer: Scorer, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """`docs` with toxicity (0 to 1), predicted (0 or 1), n_toxic_terms_log, quoted_share; columns of these names are replaced.
+    """`docs` with toxicity (0 to 1), predicted (0 or 1) and toxic_best, the best match's score; columns of these names are replaced.
 
     Every row stays, repeated ones too. Null and empty texts, and those without a
     match, get the model's base score.
     """
-    new = {"toxicity": "double", "predicted": "int", "quoted_share": "double"}
+    new = {"toxicity": "double", "predicted": "int", "toxic_best": "double"}
     rest = docs.drop(*new)
     at, shared = rest.columns.index(text_col), docs.sparkSession.sparkContext.broadcast(scorer)
 
@@ -279,7 +343,7 @@ def score_toxicity(docs: DataFrame, scorer: Scorer, text_col: str = "text", thre
         for b in batches:
             for part, texts in grouped(b, at):
                 score, x = own.score(texts)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(x[:, -1])], names=[*b.schema.names, *new])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(x[:, 0])], names=[*b.schema.names, *new])
 
     return rest.mapInArrow(run, common.wider(rest.schema, **new))
 
@@ -288,4 +352,4 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     scorer = fit(training_rows(docs, common.table(spark, sf_dir, "labels"), "toxic", FIT_ROWS))
     scored = score_toxicity(docs.select("doc_id", common.is_held_out(F.col("doc_id")).alias("held_out"), "text"), scorer)
-    return scored.select("doc_id", "held_out", F.col("toxicity").alias("score"), "predicted", "quoted_share")
+    return scored.select("doc_id", "held_out", F.col("toxicity").alias("score"), "predicted", "toxic_best")

@@ -228,7 +228,8 @@ def test_toxicity_held_out_and_spellings(spark, corpus):
     assert len(got) == docs.count() and all(0 <= r.toxicity <= 1 for r in got)
     held = [r for r in got if (r.doc_id or 0) >= 100 and common.held_out_id(r.doc_id)]
     assert all(r.predicted == toxic[r.doc_id] for r in held)
-    assert {w for w in ("idiot", "idoit", "idi0t", "idiott", "diot", "stupd") if scorer.trie.match(w)} == {"idiot", "idi0t", "idiott", "diot", "stupd"}
+    found = ("idiot", "idoit", "idi0t", "idiott", "diot", "stupd", "stupdi", "sutpid")
+    assert {w for w in (*found, "idea", "stop", "iidoitt") if scorer.trie.match(w)} == set(found)
     plain, quoted = scorer.score(["you are an idiot, they went on", 'the word "idiot" is old, they went on'])[0]
     assert plain > quoted
     assert toxicity.fit([]).trie.terms == sorted(toxicity.SEEDS)
@@ -236,13 +237,16 @@ def test_toxicity_held_out_and_spellings(spark, corpus):
 
 @pytest.mark.parametrize("seed", range(2))
 def test_automaton_matches_edit_distance(seed):
-    def distance(a, b):
-        row = list(range(len(b) + 1))
+    def distance(a, b):  # with swaps of neighbours
+        rows = [list(range(len(b) + 1))]
         for i, x in enumerate(a, 1):
-            row, old = [i], row
+            row = [i]
             for j, y in enumerate(b, 1):
-                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
-        return row[-1]
+                row.append(min(rows[-1][j] + 1, row[-1] + 1, rows[-1][j - 1] + (x != y)))
+                if i > 1 and j > 1 and x == b[j - 2] and y == a[i - 2]:
+                    row[-1] = min(row[-1], rows[-2][j - 2] + 1)
+            rows.append(row)
+        return rows[-1][-1]
 
     rng = random.Random(seed)
     terms = ["".join(rng.choices("abcdef", k=rng.randint(5, 8))) for _ in range(12)]
@@ -250,7 +254,10 @@ def test_automaton_matches_edit_distance(seed):
     for _ in range(300):
         w = list(rng.choice(terms))
         for _ in range(rng.randint(0, 3)):
-            w[rng.randrange(len(w))] = rng.choice(["", "a", "b", "cd"])
+            k = rng.randrange(len(w))
+            w[k] = rng.choice(["", "a", "b", "cd"])
+            if rng.random() < 0.3:
+                w[k - 1], w[k] = w[k], w[k - 1]
         w = "".join(w)
         best = min(distance(w, t) for t in terms)
         assert (trie.match(w) or (None, 2))[1] == min(best, 2)
