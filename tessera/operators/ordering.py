@@ -24,29 +24,63 @@ def levels(pat: DataFrame, root: int) -> DataFrame:
         seen = cut(seen.union(front))
 
 
+def components(pat: DataFrame) -> DataFrame:
+    """(node, comp): the least node that each node hangs together with.
+
+    Every node takes the least label of its neighbours and then the label of its
+    label, so that the rounds are about the logarithm of the longest path.
+    """
+    edges = cut(pat.filter("row <> col").select("row", "col").union(pat.filter("row <> col").select("col", "row")).distinct())
+    own = cut(pat.select(F.col("row").alias("node")).union(pat.select("col")).distinct().withColumn("comp", F.col("node")))
+    before = None
+    while True:
+        near = edges.join(own, F.col("row") == F.col("node")).select(F.col("col").alias("node"), "comp")
+        # a label hears of lower labels that its members have met, too
+        heard = near.join(own.select("node", F.col("comp").alias("_l")), "node").select(F.col("_l").alias("node"), "comp")
+        least = own.unionByName(near).unionByName(heard).groupBy("node").agg(F.min("comp").alias("comp"))
+        least = cut(least)
+        up = least.select(F.col("node").alias("_n"), F.col("comp").alias("_c"))
+        own = cut(least.join(up, F.col("comp") == F.col("_n"), "left").select("node", F.least("comp", F.coalesce("_c", "comp")).alias("comp")))
+        now = own.agg(F.sum(F.col("comp").cast("decimal(38,0)"))).first()[0]
+        if now == before:
+            return own
+        before = now
+
+
 def rcm(pat: DataFrame, root: int = 0) -> DataFrame:
     """(old, new): reverse Cuthill-McKee by level sets from a root.
 
     The neighbours of a level follow in the order of (their first parent, their id);
     when nothing is left to reach, the least unvisited node starts anew. At the end
-    the order is reversed. Each round is a join with the frontier.
+    the order is reversed. All components advance together, each in its own range of
+    places (the root's first, then by their least node), so the rounds are the levels
+    of the deepest one. Each round is a join with the frontier.
     """
     edges = cut(pat.filter("row <> col").select("row", "col").distinct())
-    nodes = cut(pat.select(F.col("row").alias("node")).union(pat.select("col")).distinct())
-    n = nodes.count()
-    seen = cut(nodes.filter(F.col("node") == root).withColumn("visit", F.lit(0).cast("long")))
-    front, done = seen, seen.count()
-    while done < n:
-        new = front.join(edges, F.col("node") == F.col("row")).groupBy("col").agg(F.min("visit").alias("parent"))
-        new = new.select(F.col("col").alias("node"), "parent").join(seen, "node", "left_anti")
-        # place: rank of (parent, node), counted by parent first
-        starts = prefix_sum(new.groupBy("parent").agg(F.count("*").alias("n")), "parent", F.col("n"), "start").select("parent", "start")
+    comps = components(pat)
+    n = comps.count()
+    first = F.max(F.col("node") == root)
+    starts = comps.groupBy("comp").agg(F.count("*").alias("n"), first.alias("has"))
+    starts = cut(starts.withColumn("rank", F.when(F.col("has"), F.lit(-1).cast("long")).otherwise(F.col("comp"))))
+    starts = cut(prefix_sum(starts, "rank", F.col("n"), "place").select("comp", "place", F.when(F.col("has"), F.lit(root)).otherwise(F.col("comp")).alias("node")))
+    seen = cut(starts.select("node", "comp", F.col("place").cast("long").alias("visit")))
+    done = cut(starts.select("comp", (F.col("place") + 1).alias("next")))
+    front = seen
+    while True:
+        new = front.join(edges, F.col("node") == F.col("row")).groupBy("col", "comp").agg(F.min("visit").alias("parent"))
+        new = cut(new.select(F.col("col").alias("node"), "comp", "parent").join(seen.select("node"), "node", "left_anti"))
+        if not new.take(1):
+            break
+        # place: rank of (parent, node) inside the component; parents are in the order of components, so one sum serves all
+        by_parent = cut(new.groupBy("parent", "comp").agg(F.count("*").alias("n")))
+        sums = cut(prefix_sum(by_parent, "parent", F.col("n"), "start"))
+        base = sums.groupBy(F.col("comp").alias("_c")).agg(F.min("start").alias("base"), F.sum("n").alias("size"))
         inside = F.row_number().over(Window.partitionBy("parent").orderBy("node")) - 1
-        front = cut(new.withColumn("_in", inside).join(starts, "parent").select("node", (F.col("start") + F.col("_in") + done).cast("long").alias("visit")))
-        if not (size := front.count()):
-            front = cut(nodes.join(seen, "node", "left_anti").agg(F.min("node").alias("node")).withColumn("visit", F.lit(done).cast("long")))
-            size = 1
-        seen, done = cut(seen.union(front)), done + size
+        placed = new.withColumn("_in", inside).join(sums.select("parent", "start"), "parent").join(base, F.col("comp") == F.col("_c"))
+        placed = placed.join(done, "comp")
+        front = cut(placed.select("node", "comp", (F.col("next") + F.col("start") - F.col("base") + F.col("_in")).cast("long").alias("visit")))
+        done = cut(done.join(base, F.col("comp") == F.col("_c"), "left").select("comp", (F.col("next") + F.coalesce("size", F.lit(0))).alias("next")))
+        seen = cut(seen.union(front))
     return seen.select(F.col("node").alias("old"), (n - 1 - F.col("visit")).alias("new"))
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,15 +17,25 @@ from tessera.functions import dense
 from tessera.operators import sparsity, vectors
 from tessera.session import cut
 
-#: Unknowns of the largest system that is solved in one task.
+#: Unknowns of the largest system that is solved densely in one task.
 DIRECT_LIMIT = 6000
+#: Numbers that `banded` may hold: unknowns times bandwidth.
+BAND_LIMIT = 1 << 27
+
+
+class NotConvergedError(RuntimeError):
+    """An iteration that ran out of rounds: `rounds`, `residual` (as a share of the first one) and the last iterate `x`."""
+
+    def __init__(self, rounds: int, residual: float, x: DataFrame):
+        super().__init__(f"residual {residual:.3g} of the first one after {rounds} rounds")
+        self.rounds, self.residual, self.x = rounds, residual, x
 
 
 def direct(mat: DataFrame, rhs: DataFrame, limit: int = DIRECT_LIMIT) -> DataFrame:
     """(dof, val) by dense elimination with pivoting in one task; raises beyond `limit` unknowns."""
     n = rhs.count()
     if n > limit:
-        raise ValueError(f"{n} unknowns; direct() takes {limit} at most, use cg() or gmres()")
+        raise ValueError(f"{n} unknowns; direct() takes {limit} at most, use banded(), cg() or gmres()")
     rows = mat.select("row", "col", "val").unionByName(rhs.select(F.col("dof").alias("row"), F.lit(-1).cast("long").alias("col"), "val"))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -39,6 +50,35 @@ def direct(mat: DataFrame, rhs: DataFrame, limit: int = DIRECT_LIMIT) -> DataFra
     return rows.groupBy(F.lit(0).alias("g")).applyInPandas(solve, "dof long, val double")
 
 
+def banded(mat: DataFrame, rhs: DataFrame, limit: int = BAND_LIMIT) -> DataFrame:
+    """(dof, val) by block elimination over the band of a Cuthill-McKee order, in one task.
+
+    The unknowns are cut into blocks as wide as the band, so that the matrix has
+    blocks beside its diagonal only; pivots are sought inside a block. Memory is
+    unknowns times bandwidth, which is checked against `limit`; the entries must fit
+    the task too. Raises LinAlgError if a block is singular.
+    """
+    rows = mat.select("row", "col", "val").unionByName(rhs.select(F.col("dof").alias("row"), F.lit(-1).cast("long").alias("col"), "val"))
+
+    def solve(whole: pa.Table) -> pa.Table:
+        r, c, v = (whole.column(k).to_numpy() for k in ("row", "col", "val"))
+        of = c == -1
+        dofs = np.unique(r[of])
+        b = np.zeros(len(dofs))
+        np.add.at(b, np.searchsorted(dofs, r[of]), v[of])
+        i, j, v = np.searchsorted(dofs, r[~of]), np.searchsorted(dofs, c[~of]), v[~of]
+        place = dense.band_order(i, j, len(dofs))
+        i, j = place[i], place[j]
+        width = max(1, int(np.abs(i - j).max(initial=0)))
+        if width * len(dofs) > limit:
+            raise ValueError(f"{len(dofs)} unknowns with a bandwidth of {width}; use cg() or gmres()")
+        ordered = np.empty(len(b))
+        ordered[place] = b
+        return pa.table({"dof": dofs, "val": dense.block_solve(i, j, v, ordered, width)[place]})
+
+    return rows.groupBy(F.lit(0).alias("g")).applyInArrow(solve, "dof long, val double")
+
+
 def residual(mat: DataFrame, x: DataFrame, rhs: DataFrame) -> DataFrame:
     """(dof, val): A x - b."""
     return vectors.add(sparsity.spmv(mat, x), vectors.scale(rhs, -1.0))
@@ -110,31 +150,38 @@ def ilu_preconditioner(mat: DataFrame, levels: DataFrame):
     return lambda r: backward(forward(r))
 
 
-def cg(mat: DataFrame, rhs: DataFrame, precondition=None, tol: float = 1e-10, max_rounds: int = 500) -> DataFrame:
-    """(dof, val) by preconditioned conjugate gradients for a symmetric positive matrix; stops at |r| < tol |r0|."""
+def cg(mat: DataFrame, rhs: DataFrame, precondition=None, tol: float = 1e-10, max_rounds: int = 500, history: list | None = None) -> DataFrame:
+    """(dof, val) by preconditioned conjugate gradients for a symmetric positive matrix; stops at |r| < tol |r0|.
+
+    Raises NotConvergedError after max_rounds. history: gets (round, |r|) of each round.
+    """
     precondition = precondition or jacobi(mat)
     mat = cut(mat.select("row", "col", "val"))
     x, r = vectors.fill(rhs.select("dof")), cut(rhs.select("dof", "val"))
     z = cut(precondition(r))
     p, rz, first = z, vectors.dot(r, z), vectors.norm(r)
-    for _ in range(max_rounds):
-        if first == 0 or rz == 0:
-            break
+    if first == 0 or rz == 0:
+        return x
+    for k in range(1, max_rounds + 1):
         ap = cut(sparsity.spmv(mat, p))
         alpha = rz / vectors.dot(p, ap)
         x, r = cut(vectors.axpy(alpha, p, x)), cut(vectors.axpy(-alpha, ap, r))
-        if vectors.norm(r) < tol * first:
-            break
+        now = vectors.norm(r)
+        if history is not None:
+            history.append((k, now))
+        if now < tol * first:
+            return x
         z = cut(precondition(r))
         rz, before = vectors.dot(r, z), rz
         p = cut(vectors.axpy(rz / before, p, z))
-    return x
+    raise NotConvergedError(max_rounds, now / first, x)
 
 
-def gmres(mat: DataFrame, rhs: DataFrame, precondition=None, restart: int = 30, tol: float = 1e-10, max_cycles: int = 20) -> DataFrame:
+def gmres(mat: DataFrame, rhs: DataFrame, precondition=None, restart: int = 30, tol: float = 1e-10, max_cycles: int = 20, history: list | None = None) -> DataFrame:
     """(dof, val) by restarted GMRES, preconditioned from the left; stops at |M^-1 r| < tol |M^-1 b|.
 
     The basis vectors stay tables; the small Hessenberg matrix is on the driver.
+    Raises NotConvergedError after max_cycles. history: gets (round, |M^-1 r|) of each round.
     """
     precondition = precondition or (lambda r: r)
     mat = cut(mat.select("row", "col", "val"))
@@ -142,11 +189,12 @@ def gmres(mat: DataFrame, rhs: DataFrame, precondition=None, restart: int = 30,
     scale = vectors.norm(cut(precondition(rhs.select("dof", "val"))))
     if scale == 0:
         return x
+    rounds = 0
     for _ in range(max_cycles):
         r = cut(precondition(vectors.scale(residual(mat, x, rhs), -1.0)))
         beta = vectors.norm(r)
         if beta < tol * scale:
-            break
+            return x
         basis, h = [cut(vectors.scale(r, 1 / beta))], np.zeros((restart + 1, restart))
         size = 0
         for j in range(restart):
@@ -156,6 +204,9 @@ def gmres(mat: DataFrame, rhs: DataFrame, precondition=None, restart: int = 30,
                 w = cut(vectors.axpy(-h[i, j], basis[i], w))
             h[j + 1, j], size = vectors.norm(w), j + 1
             y, rest = _least(h, size, beta)
+            rounds += 1
+            if history is not None:
+                history.append((rounds, rest))
             if rest < tol * scale or h[j + 1, j] < 1e-14 * beta:
                 break
             basis.append(cut(vectors.scale(w, 1 / h[j + 1, j])))
@@ -163,8 +214,10 @@ def gmres(mat: DataFrame, rhs: DataFrame, precondition=None, restart: int = 30,
             x = vectors.axpy(c, v, x)
         x = cut(x)
         if rest < tol * scale:
-            break
-    return x
+            return x
+    if (last := vectors.norm(cut(precondition(residual(mat, x, rhs))))) < tol * scale:
+        return x
+    raise NotConvergedError(rounds, last / scale, x)
 
 
 def _least(h: np.ndarray, size: int, beta: float) -> tuple[np.ndarray, float]:

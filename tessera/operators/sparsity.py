@@ -26,17 +26,18 @@ def pattern(elem_nodes: DataFrame) -> DataFrame:
 
 def csr_offsets(pat: DataFrame) -> DataFrame:
     """(row, n, offset): entries of each row, and of all rows before it."""
-    return prefix_sum(pat.groupBy("row").agg(F.count("*").alias("n")), "row", F.col("n"), "offset")
+    return prefix_sum(cut(pat.groupBy("row").agg(F.count("*").alias("n"))), "row", F.col("n"), "offset")
 
 
 def indexed(pat: DataFrame) -> DataFrame:
-    """(row, col, idx): the place of each entry in row-major order, from 0."""
+    """(row, col, idx): the place of each entry in row-major order, from 0. `pat` is read three times."""
     inside = F.row_number().over(Window.partitionBy("row").orderBy("col")) - 1
     return pat.withColumn("_in", inside).join(csr_offsets(pat).select("row", "offset"), "row").select("row", "col", (F.col("offset") + F.col("_in")).cast("long").alias("idx"))
 
 
 def transpose_map(pat: DataFrame) -> DataFrame:
     """(row, col, idx, tidx): the place in row-major and in column-major order."""
+    pat = cut(pat)  # instead of working it out for each number
     flipped = indexed(pat.select(F.col("col").alias("row"), F.col("row").alias("col")))
     flipped = flipped.select(F.col("col").alias("row"), F.col("row").alias("col"), F.col("idx").alias("tidx"))
     return indexed(pat).join(flipped, ["row", "col"])
@@ -47,6 +48,7 @@ def elem_index_map(elem_nodes: DataFrame, pat: DataFrame, perm: DataFrame | None
     nodes = elem_nodes.select("elem", "lnode", "node")
     if perm is not None:
         nodes = nodes.join(perm, F.col("node") == F.col("old")).select("elem", "lnode", F.col("new").alias("node"))
+    pat = cut(pat)
     packed = nodes.groupBy("elem").agg(F.collect_list(F.struct("lnode", "node")).alias("ns"))
     pairs = packed.select("elem", F.explode("ns").alias("a"), "ns").select("elem", "a", F.explode("ns").alias("b"))
     pairs = pairs.select("elem", F.col("a.lnode").alias("n"), F.col("b.lnode").alias("m"), F.col("a.node").alias("row"), F.col("b.node").alias("col"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.prefix import prefix_sum
+from tessera.operators.sparsity import pattern
 
 # Local nodes of the edges and faces of each element type.
 EDGES = {
@@ -34,7 +35,8 @@ def combined(meshes: dict[str, DataFrame]) -> DataFrame:
     for etype in (t for t in TYPE_ORDER if t in meshes):
         m = meshes[etype].select((F.col("elem") + offset).alias("elem"), F.lit(etype).alias("etype"), "lnode", "node")
         out = m if out is None else out.unionByName(m)
-        offset += (meshes[etype].agg(F.max("elem")).first()[0] or -1) + 1
+        last = meshes[etype].agg(F.max("elem")).first()[0]
+        offset += 0 if last is None else last + 1
     return out
 
 
@@ -100,8 +102,7 @@ def boundary(face_table: DataFrame, tagged: DataFrame) -> DataFrame:
 
 def element_graph(mesh: DataFrame, with_diagonal: bool = True) -> DataFrame:
     """(row, col): vertices that share an element."""
-    packed = mesh.groupBy("elem").agg(F.collect_set("node").alias("ns"))
-    pairs = packed.select(F.explode("ns").alias("row"), "ns").select("row", F.explode("ns").alias("col")).distinct()
+    pairs = pattern(mesh)
     return pairs if with_diagonal else pairs.filter("row <> col")
 
 

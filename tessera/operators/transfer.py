@@ -123,8 +123,14 @@ def _spread(rows: list, pdf: pd.DataFrame, at: np.ndarray, f: np.ndarray) -> Non
         rows += [(n["s"], *v) for n, v in zip(pdf["ns"].iloc[i], forces.tolist(), strict=True)]
 
 
+def _summed(parts: DataFrame, s_points: DataFrame) -> DataFrame:
+    """Sums by point, for every s point: 0 for those that no a point leans on."""
+    none = s_points.select("id", *[F.lit(0.0).alias(c) for c in "xyz"])
+    return parts.unionByName(none).groupBy("id").agg(*[F.sum(c).alias(c) for c in "xyz"])
+
+
 def linear_loads(table: DataFrame, s_points: DataFrame, a_points: DataFrame, fa: DataFrame) -> DataFrame:
-    """(id, x, y, z): loads on the s points, by the transposes of the same operators; work and total load are kept."""
+    """(id, x, y, z): loads on all s points, by the transposes of the same operators; work and total load are kept."""
     loads = fa.select(F.col("id").alias("a"), F.array("x", "y", "z").alias("fa"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -136,7 +142,7 @@ def linear_loads(table: DataFrame, s_points: DataFrame, a_points: DataFrame, fa:
             yield pd.DataFrame(rows, columns=["id", "x", "y", "z"])
 
     parts = _packed(table, s_points, a_points).join(loads, "a").mapInPandas(run, "id long, x double, y double, z double")
-    return parts.groupBy("id").agg(*[F.sum(c).alias(c) for c in "xyz"])
+    return _summed(parts, s_points)
 
 
 def _rotated(w, x0, u):
@@ -189,7 +195,7 @@ def loads(table: DataFrame, s_points: DataFrame, a_points: DataFrame, us: DataFr
             yield pd.DataFrame(rows, columns=["id", "x", "y", "z"])
 
     parts = _packed(table, s_points, a_points, us).join(forces, "a").mapInPandas(run, "id long, x double, y double, z double")
-    return parts.groupBy("id").agg(*[F.sum(c).alias(c) for c in "xyz"])
+    return _summed(parts, s_points)
 
 
 def deformed(points: DataFrame, moves: DataFrame) -> DataFrame:

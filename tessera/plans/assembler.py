@@ -118,10 +118,10 @@ class Assembler:
         return each.select((F.col("node") * self.dofs + F.col("d")).alias("dof"), F.lit(0.0).alias("val"))
 
     def solve(self, loads: DataFrame, how: str = "direct", **options) -> DataFrame:
-        """(dof, val) with K u = f and held dofs zero; how: direct, cg or gmres."""
+        """(dof, val) with K u = f and held dofs zero; how: direct, banded, cg or gmres."""
         k = sparsity.constrain(self.matrix(), self.bcs)
         f = vectors.constrain(vectors.add(self.zero_vector(), loads), self.bcs)
-        return {"direct": solvers.direct, "cg": solvers.cg, "gmres": solvers.gmres}[how](k, f, **options)
+        return {"direct": solvers.direct, "banded": solvers.banded, "cg": solvers.cg, "gmres": solvers.gmres}[how](k, f, **options)
 
 
 def uniform_material(elems: DataFrame, E: float, nu: float, thick: float, t_offset: float = 0.0) -> DataFrame:  # noqa: N803

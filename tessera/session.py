@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Used on a local master without such a folder.
 FALLBACK_CHECKPOINTS = "/tmp/checkpoints/tessera"
 
 
@@ -22,5 +23,8 @@ def cut(df: DataFrame) -> DataFrame:
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or FALLBACK_CHECKPOINTS)
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or FALLBACK_CHECKPOINTS)
     return df.checkpoint(eager=True)

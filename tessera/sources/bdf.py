@@ -1,8 +1,8 @@
 """Bulk data files (GRID, element and SPC cards) as tables.
 
 A file is read whole, as one row, because its lines have an order that cards
-depend on; lines become rows with their number. Many files give many rows; numbers
-and cards are kept apart by file.
+depend on; lines become rows with their number. A model is one file; a folder of
+several is refused, as their lines would run into each other.
 """
 
 from __future__ import annotations
@@ -47,8 +47,11 @@ class BulkDataError(ValueError):
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, line): at most 81 characters of each line."""
-    text = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"\r\n?", "\n").alias("value"))
+    """(line_no, line): at most 81 characters of each line of one file; raises if the path holds several."""
+    files = spark.read.text(path, wholetext=True)
+    if (n := files.count()) > 1:
+        raise BulkDataError(f"{path} holds {n} files; read them one by one")
+    text = files.select(F.regexp_replace("value", r"\r\n?", "\n").alias("value"))
     text = text.select(F.split(F.regexp_replace("value", r"\n$", ""), "\n").alias("ls"))
     return text.select(F.posexplode("ls").alias("line_no", "line")).select("line_no", F.substring("line", 1, LINE).alias("line"))
 
@@ -154,8 +157,9 @@ def read(spark: SparkSession, path: str) -> BulkData:
     nodes = dense_index(raw_nodes, "file_id", "node")
     ids = nodes.select("file_id", "node").distinct()
     # ties of repeated element ids go by line
-    order = raw_elems.withColumn("key", F.col("file_id") * 2**24 + F.col("line_no"))
-    numbered = cut(dense_index(order, "key", "elem"))
+    last = raw_elems.agg(F.max("line_no")).first()[0] or 0
+    order = dense_index(raw_elems, "file_id", "_rank").withColumn("_order", F.col("_rank") * (last + 1) + F.col("line_no"))
+    numbered = cut(dense_index(order, "_order", "elem").drop("_rank"))
     spots = F.lit(None).cast("array<int>")
     for name, spot in NODE_ORDER.items():
         spots = F.when(F.col("etype") == name, F.array(*map(F.lit, spot))).otherwise(spots)
