@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Used only where the session names no shared folder, as in tests.
+#: Used only on a local master whose session names no shared folder, as in tests.
 FALLBACK_CHECKPOINTS = "/tmp/checkpoints/tessera"
 
 #: Characters that part words for the contracts on documents: space and \t..\r.
@@ -23,7 +23,10 @@ def checkpoint_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which all executors share; one of our own only where none is set."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or FALLBACK_CHECKPOINTS)
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or FALLBACK_CHECKPOINTS)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
