@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import arrays
 from tessera.functions.prefix import dense_index
-from tessera.operators import ordering, solvers, sparsity, topology, transfer, vectors
+from tessera.operators import ordering, sparsity, topology, transfer, vectors
 from tessera.plans import pipelines
 from tessera.sources import bdf, generators, sinks
 from tessera.streaming.scatter import scatter_add_stream
@@ -162,10 +162,10 @@ def vec_add(spark, d):
     return vectors.add(node_values(spark, d), table(spark, d, "supplier").select(F.col("s_suppkey").alias("dof"), F.col("s_nationkey").alias("val")))
 
 
-@query(f"SELECT sum(val * s_nationkey)::BIGINT AS dot FROM ({NODE_VALUES}) v JOIN supplier ON s_suppkey = dof")
+@query(f"SELECT sum(val * s_nationkey)::DOUBLE AS dot FROM ({NODE_VALUES}) v JOIN supplier ON s_suppkey = dof")
 def vec_dot(spark, d):
-    other = table(spark, d, "supplier").select(F.col("s_suppkey").alias("dof"), F.col("s_nationkey").alias("b"))
-    return node_values(spark, d).join(other, "dof").agg(F.sum(F.col("val") * F.col("b")).alias("dot"))
+    other = table(spark, d, "supplier").select(F.col("s_suppkey").alias("dof"), F.col("s_nationkey").alias("val"))
+    return spark.createDataFrame([(float(vectors.dot(node_values(spark, d), other)),)], "dot double")
 
 
 @query(f"SELECT dof, val - 3 * s_nationkey AS val FROM ({NODE_VALUES}) v JOIN supplier ON s_suppkey = dof")
@@ -201,10 +201,15 @@ def bsr_blocks(spark, d):
     return back.groupBy(key[0].alias("brow"), key[1].alias("bcol")).agg(F.count("*").alias("n"), F.sum(F.col("val").cast("long") * weight.cast("long")).alias("checksum"))
 
 
-@query(f'SELECT q1.new AS "row", q2.new AS col, v AS val FROM (SELECT l_suppkey AS r, s2 AS c, sum(q)::BIGINT AS v FROM (SELECT l_suppkey, l_suppkey AS s2, l_quantity::BIGINT AS q FROM lineitem) z GROUP BY 1, 2) m JOIN ({PERM}) q1 ON q1.old = r JOIN ({PERM}) q2 ON q2.old = c')
+@query(f"""SELECT q1.new AS "row", q2.new AS col, n AS val FROM (SELECT a.node AS r, b.node AS c, count(*) * 100 + min(a.node) AS n FROM ({ELEMENTS}) a JOIN ({ELEMENTS}) b USING (elem) GROUP BY 1, 2) m
+JOIN ({PERM}) q1 ON q1.old = r JOIN ({PERM}) q2 ON q2.old = c""")
 def apply_perm(spark, d):
-    diag = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("row"), F.col("l_suppkey").alias("col")).agg(F.sum(F.col("l_quantity").cast("long")).alias("val"))
-    return sparsity.apply_perm(diag, perm(spark, d))
+    """Suppliers by suppliers: the orders that they share, told apart by row, so that the matrix is not symmetric."""
+    kinds = elements(spark, d).select("elem", "node").distinct()
+    packed = kinds.groupBy("elem").agg(F.collect_list("node").alias("ns"))
+    pairs = packed.select(F.explode("ns").alias("row"), "ns").select("row", F.explode("ns").alias("col"))
+    shared = pairs.groupBy("row", "col").agg((F.count("*") * 100 + F.col("row")).alias("val"))
+    return sparsity.apply_perm(shared, perm(spark, d))
 
 
 @query(f'SELECT r AS "row", c AS col FROM ({PATTERN}) p UNION SELECT s_suppkey, s_suppkey FROM supplier UNION SELECT c, r FROM ({PATTERN}) p2')
@@ -233,8 +238,8 @@ def _chains(spark, d) -> DataFrame:
 
 @query(f"SELECT DISTINCT lo, hi FROM ({EDGES}) e")
 def unique_edges(spark, d):
-    e = _chains(spark, d).select(F.array_sort("verts").alias("v"))
-    return e.select(F.col("v")[0].alias("lo"), F.col("v")[1].alias("hi")).distinct()
+    numbered = topology._numbered(_chains(spark, d), "edge")
+    return numbered.groupBy("edge").agg(F.first("key").alias("v")).select(F.col("v")[0].alias("lo"), F.col("v")[1].alias("hi"))
 
 
 @query(f"SELECT elem, part, dense_rank() OVER (ORDER BY f) - 1 AS edge FROM (SELECT elem, part, min(elem * 16 + part) OVER (PARTITION BY lo, hi) AS f FROM ({EDGES}) e) x")
@@ -263,9 +268,12 @@ def remap_ids(spark, d):
     return table(spark, d, "customer").select(F.col("c_custkey").alias("file_id")).join(ids, F.col("file_id") == F.col("o_custkey"), "left").select("file_id", "idx")
 
 
-@query("SELECT c_custkey AS file_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey * 2 AS file_id FROM customer WHERE c_custkey * 2 NOT IN (SELECT c_custkey FROM customer)")
 def remap_miss(spark, d):
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("file_id")).join(table(spark, d, "orders"), F.col("file_id") == F.col("o_custkey"), "left_anti")
+    """Ids that no node has: every second one of twice the customers' keys."""
+    keys = dense_index(table(spark, d, "customer").select("c_custkey"), "c_custkey", "idx")
+    asked = table(spark, d, "customer").select((F.col("c_custkey") * 2).alias("file_id"))
+    return asked.join(keys, F.col("file_id") == F.col("c_custkey"), "left").filter("idx is null").select("file_id")
 
 
 @query("SELECT node, dof FROM (SELECT o_orderkey AS node, unnest(string_split(o_orderkey::VARCHAR, ''))::INT - 1 AS dof FROM orders) x WHERE dof BETWEEN 0 AND 7")
@@ -289,9 +297,6 @@ def fixed_width_cards(spark, d):
     return bdf._node_cards(cards).select("file_id", "x", "y", "z")
 
 
-@query("SELECT s_nationkey AS comp, arg_min(s_name, s_suppkey) AS etype FROM supplier GROUP BY 1")
-def comp_first_type(spark, d):
-    return table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("comp")).agg(F.min_by("s_name", "s_suppkey").alias("etype"))
 
 
 GRAPH = "SELECT DISTINCT a.s_suppkey AS r, b.s_suppkey AS c FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey OR abs(a.s_suppkey - b.s_suppkey) = 7"
@@ -384,12 +389,6 @@ def weighted_cov(spark, d):
     return t.groupBy("a").agg(F.round(m(x * x) - F.pow(m(x), 2), 6).alias("xx"), F.round(m(x * y) - m(x) * m(y), 6).alias("xy"), F.round(m(y * y) - F.pow(m(y), 2), 6).alias("yy"))
 
 
-@query("""WITH p AS (SELECT event_id, (event_id % 7) / 3.5 - 1 AS xi, (event_id % 11) / 5.5 - 1 AS eta FROM events)
-SELECT event_id, round((1 - xi) * (1 - eta) / 4, 9) AS n0, round((1 + xi) * (1 - eta) / 4, 9) AS n1, round((1 - xi) * (1 + eta) / 4, 9) AS n2, round((1 + xi) * (1 + eta) / 4, 9) AS n3 FROM p""")
-def shape_weights(spark, d):
-    xi, eta = (F.col("event_id") % 7) / 3.5 - 1, (F.col("event_id") % 11) / 5.5 - 1
-    a, b = F.array(1 - xi, 1 + xi), F.array(1 - eta, 1 + eta)
-    return table(spark, d, "events").select("event_id", *[F.round(a[i % 2] * b[i // 2] / 4, 9).alias(f"n{i}") for i in range(4)])
 
 
 @query("SELECT l_orderkey AS elem, list_sort(list(DISTINCT l_suppkey % 50 - 5) FILTER (l_suppkey % 50 - 5 >= 0))::VARCHAR AS ids FROM lineitem GROUP BY 1 HAVING count(*) FILTER (l_suppkey % 50 - 5 >= 0) > 0")
@@ -451,10 +450,4 @@ def plate_vtk(spark, d):
     return sinks.vtk_lines(m.nodes, m.elem_nodes)
 
 
-@query(f"SELECT DISTINCT r AS dof, 1.0::DOUBLE AS val FROM ({GRAPH}) g WHERE r <> c")
-def supplier_cg(spark, d):
-    """Conjugate gradients on the graph Laplacian plus identity, whose rows sum to 1."""
-    g = small_graph(spark, d).filter("row <> col").withColumn("val", F.lit(-1.0))
-    diag = g.groupBy("row").agg(F.count("*").alias("n")).select("row", F.col("row").alias("col"), (F.col("n") + 1.0).alias("val"))
-    rhs = diag.select(F.col("row").alias("dof"), F.lit(1.0).alias("val"))
-    return solvers.cg(g.unionByName(diag), rhs, precondition=lambda r: r, tol=1e-8).withColumn("val", F.round("val", 6))
+from tessera.plans import mesh_queries  # noqa: E402, F401  registers its queries
