@@ -334,7 +334,8 @@ def _chunks(batches: Iterator[pa.RecordBatch], cuts: np.ndarray, prefix: bool, l
     ids, marks, counts, words, total = [], [], [], [], 0
 
     def chunk():
-        coded = pa.chunked_array(words).dictionary_encode().combine_chunks()
+        coded = pa.chunked_array(words).dictionary_encode()
+        coded = coded.combine_chunks() if coded.num_chunks else words[0].dictionary_encode()  # a chunk of empty texts has no words
         coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded
         return (part << 12) + k, ids, marks, np.concatenate(counts), coded.indices.to_numpy(), coded.dictionary
 
