@@ -145,9 +145,30 @@ def ilu(mat: DataFrame, levels: DataFrame, limit: int = DIRECT_LIMIT) -> tuple[D
 
 
 def ilu_preconditioner(mat: DataFrame, levels: DataFrame):
+    """A function r -> x with L U x = r.
+
+    The factors fit one task (see `ilu`), so both are applied in one: an application
+    is one job, however many levels of dependencies the factors have. Rows that r
+    lacks count as 0; raises ZeroDivisionError if a diagonal entry is missing or 0.
+    """
     lo, up = ilu(mat, levels)
-    forward, backward = triangular(lo, lower=True, unit=True), triangular(up, lower=False, unit=False)
-    return lambda r: backward(forward(r))
+    factors = cut(lo.filter("row > col").unionByName(up))
+
+    def solve(whole: pa.Table) -> pa.Table:
+        r, c, v = (whole.column(k).to_numpy() for k in ("row", "col", "val"))
+        of = c == -1
+        dofs = np.unique(r[~of])
+        own = of & np.isin(r, dofs)
+        b = np.zeros(len(dofs))
+        b[np.searchsorted(dofs, r[own])] = v[own]
+        x = dense.substituted(np.searchsorted(dofs, r[~of]), np.searchsorted(dofs, c[~of]), v[~of], b)
+        return pa.table({"dof": dofs, "val": x})
+
+    def apply(r: DataFrame) -> DataFrame:
+        rows = factors.unionByName(r.select(F.col("dof").alias("row"), F.lit(-1).cast("long").alias("col"), "val"))
+        return rows.groupBy(F.lit(0).alias("g")).applyInArrow(solve, "dof long, val double")
+
+    return apply
 
 
 def cg(mat: DataFrame, rhs: DataFrame, precondition=None, tol: float = 1e-10, max_rounds: int = 500, history: list | None = None) -> DataFrame:

@@ -153,3 +153,16 @@ def test_argmax_and_relative_error(spark):
     v = spark.createDataFrame([(0, 3.0), (1, -4.0), (2, 4.0)], "dof long, val double")
     assert tuple(vectors.argmax_abs(v).first()) == (1, -4.0)
     assert vectors.rel_error(v, v).first().rel_error == 0
+
+
+def test_factors_applied_in_one_task():
+    rng = np.random.default_rng(4)
+    full = np.where(rng.random((30, 30)) < 0.3, rng.normal(size=(30, 30)), 0) + 5 * np.eye(30)
+    i, j = np.nonzero(full)
+    mixed = rng.permutation(len(i))
+    b = rng.normal(size=30)
+    want = np.linalg.solve((np.tril(full, -1) + np.eye(30)) @ np.triu(full), b)
+    assert np.allclose(dense.substituted(i[mixed], j[mixed], full[i, j][mixed], b), want)
+    off = i != j
+    with pytest.raises(ZeroDivisionError):
+        dense.substituted(i[off], j[off], full[i, j][off], b)
