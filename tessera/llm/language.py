@@ -265,7 +265,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         share[lang], left, langs = parts if want == n else int(parts * want / n), left - want, langs - 1
     bound = F.element_at(F.create_map(*[F.lit(x) for kv in share.items() for x in kv]), F.col("lang"))
     chosen = known.filter(F.pmod(F.xxhash64(F.lit("fit"), F.col("doc_id")), F.lit(parts)) < bound)
-    rows = chosen.limit(2 * fit_docs + MOST_LANGS).collect()
+    rows = common.first_rows(chosen, 2 * fit_docs + MOST_LANGS).collect()
     return Crf.fit([(r.text, r.lang) for r in sorted(rows, key=lambda r: (r.doc_id is None, r.doc_id or 0, r.text, r.lang))])
 
 
