@@ -12,6 +12,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from tessera.functions import dense
 from tessera.operators import sparsity, vectors
@@ -171,76 +172,107 @@ def ilu_preconditioner(mat: DataFrame, levels: DataFrame):
     return apply
 
 
+def _kept(mat: DataFrame) -> DataFrame:
+    """The matrix once by its columns, so that products of later rounds move the vector only; the caller unpersists it."""
+    parts = int(mat.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(mat.select("row", "col", "val")).repartition(parts, "col").persist(StorageLevel.DISK_ONLY)
+
+
 def cg(mat: DataFrame, rhs: DataFrame, precondition=None, tol: float = 1e-10, max_rounds: int = 500, history: list | None = None) -> DataFrame:
     """(dof, val) by preconditioned conjugate gradients for a symmetric positive matrix; stops at |r| < tol |r0|.
 
-    Raises NotConvergedError after max_rounds. history: gets (round, |r|) of each round.
+    All vectors are columns of one table (dof, x, r, u, p, s). With u = M^-1 r and w = A u,
+    both scalars of a round come from (r, u), (w, u) of one aggregate: A p and p obey
+    s = w + beta s, p = u + beta p. A round is one product, one write and that aggregate.
+    Without `precondition`, M is the diagonal. Raises NotConvergedError after max_rounds.
+    history: gets (round, |r|) of each round.
     """
-    precondition = precondition or jacobi(mat)
-    mat = cut(mat.select("row", "col", "val"))
-    x, r = vectors.fill(rhs.select("dof")), cut(rhs.select("dof", "val"))
-    z = cut(precondition(r))
-    p, rz, first = z, vectors.dot(r, z), vectors.norm(r)
-    if first == 0 or rz == 0:
-        return x
-    for k in range(1, max_rounds + 1):
-        ap = cut(sparsity.spmv(mat, p))
-        alpha = rz / vectors.dot(p, ap)
-        x, r = cut(vectors.axpy(alpha, p, x)), cut(vectors.axpy(-alpha, ap, r))
-        now = vectors.norm(r)
-        if history is not None:
-            history.append((k, now))
-        if now < tol * first:
-            return x
-        z = cut(precondition(r))
-        rz, before = vectors.dot(r, z), rz
-        p = cut(vectors.axpy(rz / before, p, z))
-    raise NotConvergedError(max_rounds, now / first, x)
+    kept = _kept(mat)
+    try:
+        start = rhs.select("dof", F.lit(0.0).alias("x"), F.col("val").alias("r"), F.lit(0.0).alias("p"), F.lit(0.0).alias("s"))
+        if precondition is None:
+            diag = mat.filter("row = col").select(F.col("row").alias("dof"), F.col("val").alias("m"))
+            start = start.join(diag, "dof", "left")
+        state, first, before, alpha, now = cut(start), None, None, 1.0, 0.0
+        for k in range(max_rounds + 1):
+            if precondition is None:
+                state = state.withColumn("u", F.col("r") / F.col("m"))
+            else:
+                state = state.join(precondition(state.select("dof", F.col("r").alias("val"))).select("dof", F.col("val").alias("u")), "dof")
+            state = cut(state) if precondition else state
+            product = sparsity.spmv(kept, state.select("dof", F.col("u").alias("val"))).select("dof", F.col("val").alias("w"))
+            state = cut(state.join(product, "dof", "left").fillna(0.0, ["w"]))
+            gamma, delta, size = state.agg(*[F.coalesce(F.sum(F.col(a) * F.col(b)), F.lit(0.0)) for a, b in ("ru", "wu", "rr")]).first()
+            now = size**0.5
+            first = now if first is None else first
+            if history is not None and k:
+                history.append((k, now))
+            if now == 0 or gamma == 0 or now < tol * first:
+                return state.select("dof", F.col("x").alias("val"))
+            beta = 0.0 if before is None else gamma / before
+            alpha = gamma / (delta - beta * gamma / alpha)
+            before = gamma
+            p, s = F.col("u") + beta * F.col("p"), F.col("w") + beta * F.col("s")
+            state = state.withColumns({"p": p, "s": s}).withColumns({"x": F.col("x") + alpha * F.col("p"), "r": F.col("r") - alpha * F.col("s")}).drop("u", "w")
+    finally:
+        kept.unpersist()
+    raise NotConvergedError(max_rounds, now / first, state.select("dof", F.col("x").alias("val")))
 
 
 def gmres(mat: DataFrame, rhs: DataFrame, precondition=None, restart: int = 30, tol: float = 1e-10, max_cycles: int = 20, history: list | None = None) -> DataFrame:
     """(dof, val) by restarted GMRES, preconditioned from the left; stops at |M^-1 r| < tol |M^-1 b|.
 
-    The basis vectors stay tables; the small Hessenberg matrix is on the driver.
-    Raises NotConvergedError after max_cycles. history: gets (round, |M^-1 r|) of each round.
+    The basis is an array column `v` of one table, so a new vector is made orthogonal to
+    all earlier ones by two aggregates (classical Gram-Schmidt, done twice), whatever
+    their number. The small Hessenberg matrix is on the driver. Raises
+    NotConvergedError after max_cycles. history: gets (round, |M^-1 r|) of each round.
     """
     precondition = precondition or (lambda r: r)
-    mat = cut(mat.select("row", "col", "val"))
-    x = vectors.fill(rhs.select("dof"))
-    scale = vectors.norm(cut(precondition(rhs.select("dof", "val"))))
-    if scale == 0:
-        return x
-    rounds = 0
-    for _ in range(max_cycles):
-        r = cut(precondition(vectors.scale(residual(mat, x, rhs), -1.0)))
-        beta = vectors.norm(r)
-        if beta < tol * scale:
+    kept = _kept(mat)
+    try:
+        x, scale, rounds, last = vectors.fill(rhs.select("dof")), None, 0, 0.0
+        for _ in range(max_cycles):
+            r = cut(precondition(vectors.scale(residual(kept, x, rhs), -1.0)))
+            beta = vectors.norm(r)
+            scale = beta if scale is None else scale  # of x = 0: that of b
+            last = beta
+            if scale == 0 or beta < tol * scale:
+                return x
+            basis = r.select("dof", F.array(F.col("val") / beta).alias("v"))
+            h = np.zeros((restart + 1, restart))
+            for j in range(restart):
+                w = precondition(sparsity.spmv(kept, basis.select("dof", F.element_at("v", -1).alias("val")))).select("dof", F.col("val").alias("w"))
+                both = cut(basis.join(w, "dof", "left").fillna(0.0, ["w"]))
+                for _again in range(2):
+                    size, dots = _dots(both, j + 1)
+                    h[: j + 1, j] += dots
+                    both = both.withColumn("w", F.col("w") - F.aggregate(F.zip_with("v", F.array(*map(F.lit, dots.tolist())), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b))
+                # what the second pass takes off is small, so the rest's norm follows from the one before it
+                h[j + 1, j] = max(size - dots @ dots, 0.0) ** 0.5
+                y, rest = _least(h, j + 1, beta)
+                rounds += 1
+                if history is not None:
+                    history.append((rounds, rest))
+                if rest < tol * scale or h[j + 1, j] < 1e-14 * beta:
+                    break
+                basis = both.select("dof", F.concat("v", F.array(F.col("w") / float(h[j + 1, j]))).alias("v"))
+            steps = F.zip_with(F.slice("v", 1, len(y)), F.array(*map(F.lit, y.tolist())), lambda a, b: a * b)
+            step = both.select("dof", F.aggregate(steps, F.lit(0.0), lambda a, b: a + b).alias("step"))
+            x = cut(x.join(step, "dof", "left").select("dof", (F.col("val") + F.coalesce("step", F.lit(0.0))).alias("val")))
+        if (last := vectors.norm(cut(precondition(residual(kept, x, rhs))))) < tol * scale:
             return x
-        basis, h = [cut(vectors.scale(r, 1 / beta))], np.zeros((restart + 1, restart))
-        size = 0
-        for j in range(restart):
-            w = cut(precondition(sparsity.spmv(mat, basis[j])))
-            for i in range(j + 1):
-                h[i, j] = vectors.dot(w, basis[i])
-                w = cut(vectors.axpy(-h[i, j], basis[i], w))
-            h[j + 1, j], size = vectors.norm(w), j + 1
-            y, rest = _least(h, size, beta)
-            rounds += 1
-            if history is not None:
-                history.append((rounds, rest))
-            if rest < tol * scale or h[j + 1, j] < 1e-14 * beta:
-                break
-            basis.append(cut(vectors.scale(w, 1 / h[j + 1, j])))
-        for c, v in zip(y.tolist(), basis, strict=False):
-            x = vectors.axpy(c, v, x)
-        x = cut(x)
-        if rest < tol * scale:
-            return x
-    if (last := vectors.norm(cut(precondition(residual(mat, x, rhs))))) < tol * scale:
-        return x
+    finally:
+        kept.unpersist()
     raise NotConvergedError(rounds, last / scale, x)
 
 
+def _dots(both: DataFrame, n: int) -> tuple[float, np.ndarray]:
+    """The product of w with itself, and those with the n vectors of v: one aggregate, of the same code whatever n."""
+    parts = both.select("w", F.posexplode(F.concat("v", F.array("w"))).alias("i", "x")).groupBy("i").agg(F.sum(F.col("w") * F.col("x")).alias("dot"))
+    found = {r.i: r.dot for r in parts.collect()}
+    return found.get(n, 0.0), np.array([found.get(i, 0.0) for i in range(n)])
+
+
 def _least(h: np.ndarray, size: int, beta: float) -> tuple[np.ndarray, float]:
     e = np.zeros(size + 1)
     e[0] = beta

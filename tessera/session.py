@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used on a local master without such a folder.
+#: Used only on a local master whose session names no shared folder, as in tests.
 FALLBACK_CHECKPOINTS = "/tmp/checkpoints/tessera"
 
 
@@ -15,16 +17,24 @@ def get_session(app: str = "tessera", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder (spark.checkpoint.dir) and go on from there.
-
-    Loops call this each round, so that plans stay short and a lost executor costs
-    a read and not a replay.
-    """
-    sc = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share; one of our own only where none is set."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = sc.getConf().get("spark.checkpoint.dir")
         if not folder and not sc.master.split("[")[0] == "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or FALLBACK_CHECKPOINTS)
-    return df.checkpoint(eager=True)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write `df` to the shared checkpoint folder (spark.checkpoint.dir) and go on from the written rows.
+
+    Loops call this each round: plans stay short, a lost executor costs a read and not a
+    replay, and the optimiser's sizes are those of the files. `df.checkpoint()` would
+    carry on the estimate of the plan behind it, which grows with every join of every round.
+    """
+    path = f"{checkpoint_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

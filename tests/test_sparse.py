@@ -8,6 +8,7 @@ import pytest
 from tessera.functions import dense
 from tessera.functions.prefix import dense_index, prefix_sum
 from tessera.operators import ordering, solvers, sparsity, vectors
+from tessera.session import cut
 from pyspark.sql import functions as F
 
 A = np.array([[3.0, 2, 0, 4], [2, 6, 6, 0], [0, 6, 11, 0], [4, 0, 0, 18]])
@@ -166,3 +167,32 @@ def test_factors_applied_in_one_task():
     off = i != j
     with pytest.raises(ZeroDivisionError):
         dense.substituted(i[off], j[off], full[i, j][off], b)
+
+
+def test_cut_has_the_size_of_its_rows(spark):
+    """After 30 rounds of joins the optimiser still knows the size of the written rows."""
+    x = cut(spark.range(50).select(F.col("id").alias("k"), F.lit(1.0).alias("v")))
+    for _ in range(30):
+        x = cut(x.join(x.select("k", F.col("v").alias("w")), "k").select("k", (F.col("v") + 0 * F.col("w")).alias("v")))
+    assert x._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 64
+    assert x.agg(F.sum("v")).first()[0] == 50
+
+
+@pytest.mark.parametrize("n", [3_000, 100_000])
+def test_components_of_long_paths_settle(spark, n):
+    ids = spark.range(n - 1)
+    got = ordering.components(ids.select(F.col("id").alias("row"), (F.col("id") + 1).alias("col")))
+    assert got.filter("comp = 0").count() == got.count() == n
+
+
+def test_krylov_loops_on_larger_systems(spark):
+    """A random positive matrix, and one without symmetry, against numpy; the residuals fall below the bound."""
+    rng = np.random.default_rng(5)
+    a = np.where(rng.random((60, 60)) < 0.1, rng.normal(size=(60, 60)), 0)
+    spd, b = a @ a.T + 5 * np.eye(60), rng.normal(size=60)
+    seen = []
+    assert np.allclose(values(solvers.cg(matrix(spark, spd), vector(spark, b), history=seen)), np.linalg.solve(spd, b), atol=1e-7)
+    assert seen[-1][1] < 1e-9 * np.linalg.norm(b) * 10
+    odd = a + 6 * np.eye(60)
+    got = solvers.gmres(matrix(spark, odd), vector(spark, b), restart=12)
+    assert np.allclose(values(got), np.linalg.solve(odd, b), atol=1e-7)
