@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Used only on a local master whose session names no shared folder, as in tests.
-FALLBACK_CHECKPOINTS = "/tmp/checkpoints/tessera"
+from tessera.session import checkpoint_folder, cut  # noqa: F401  (used by the operators as common.cut)
 
 #: Characters that part words for the contracts on documents: space and \t..\r.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -19,28 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; one of our own only where none is set."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder and not sc.master.split("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(folder or FALLBACK_CHECKPOINTS)
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and read it from there.
-
-    The folder is the one in spark.checkpoint.dir; the lineage behind it is
-    dropped, so that a lost executor costs no recomputation and every later
-    reader sees the same rows.
-    """
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def is_held_out(doc_id: Column) -> Column:
     """True on rows whose labels no model may see: crc32(doc_id as text) mod 3 is 1. A null id: false."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))

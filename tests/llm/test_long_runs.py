@@ -23,6 +23,6 @@ def test_all_trigrams_of_a_long_run_count():
 def test_scores_of_a_word_are_the_sum_over_all_its_features():
     weights = np.random.default_rng(1).normal(size=(language.BUCKETS, 3))
     words = ["a", "kurz", "ä" * 200 + "bcd" + "e" * 300, "".join(random.Random(2).choices("abcdefgh", k=2 * language.PIECE + 5)), "z"]
-    assert [len(language.features(w)) for w in words] == [7 + len(w.encode()) for w in words]
+    assert [len(language.features(w)) for w in words] == [7 + len(w) for w in words]
     want = [weights[np.array(language.features(w)) & (language.BUCKETS - 1)].sum(0) for w in words]
     assert np.allclose(language.gathered(weights, words), want)
