@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cotraining, extraction, language, licenses, mixing, neighbours, pieces, quality_rules, simhash, toxicity
+from . import chat, cotraining, extraction, language, licenses, mixing, neighbours, periodic, pieces, quality_rules, simhash, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,8 +15,11 @@ QUERIES = {
     "op8_licenses": licenses.op8_licenses,
     "op9_cotraining": cotraining.op9_cotraining,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op11_periodic_runs": periodic.op11_periodic_runs,
+    "op12_chat_formatting": chat.op12_chat_formatting,
 }
 
 SQL = {
     "op2_mixing": mixing.OP2_SQL,
+    "op12_chat_formatting": chat.OP12_SQL,
 }
