@@ -5,43 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows in a bucket of keys on average, at most.
+from tessera.session import cut
+
+#: Rows in a range of keys on average, at most; a table of no more is one window.
 BUCKET_ROWS = 50_000
 
 
-def prefix_sum(df: DataFrame, key: str, value: Column, out: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Sum of `value` over the rows with a smaller `key` (a whole number without repeats), as `out`.
+def prefix_sum(df: DataFrame, key: str | list[str], value: Column, out: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Sum of `value` over the rows with a smaller `key` (columns of any kind that sorts, without repeats), as `out`.
 
-    Keys are cut into ranges by quantiles, so that uneven keys fill them evenly; the
-    sums of the ranges (a small table) are summed in order, and rows only inside
-    their range. `df` is read several times: cut it first if it is dear.
+    Spark deals the rows into ranges of keys; each row is written with the number of
+    its range, so that the ranges stay what they are whatever is run again. The sums of
+    the ranges (a row each) are summed in order, and rows only inside their range.
+    `df` is read several times: cut it first if it is dear.
     """
+    keys = [key] if isinstance(key, str) else list(key)
     n = df.count()
     if n <= bucket_rows:
-        w = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+        w = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn("_v", value).withColumn(out, F.sum("_v").over(w) - F.col("_v")).drop("_v")
-    buckets = n // bucket_rows + 1
-    edges = df.select(F.col(key).cast("double").alias("k")).approxQuantile("k", [i / buckets for i in range(1, buckets)], 0.2 / buckets)
-    # the number of edges at or below a key, by halving: the edges are one sorted constant
-    edges = sorted(set(edges))
-    ranged = df.withColumn("_v", value).withColumn("_range", _place(F.col(key).cast("double"), edges))
-    inside = Window.partitionBy("_range").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    ranged = cut(df.withColumn("_v", value).repartitionByRange(n // bucket_rows + 1, *keys).withColumn("_range", F.spark_partition_id()))
     sums = ranged.groupBy(F.col("_range").alias("_r")).agg(F.sum("_v").alias("_t"))
     sums = sums.withColumn("_start", F.sum("_t").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_t")).drop("_t")
+    inside = Window.partitionBy("_range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
     placed = ranged.withColumn("_in", F.sum("_v").over(inside) - F.col("_v")).join(F.broadcast(sums), F.col("_range") == F.col("_r"))  # a row for each range
     return placed.withColumn(out, F.col("_start") + F.col("_in")).drop("_v", "_range", "_r", "_start", "_in")
 
 
-def _place(value: Column, edges: list[float], lo: int = 0, hi: int | None = None) -> Column:
-    """How many of the sorted edges are not over the value, as nested comparisons (the logarithm of their number for each row)."""
-    hi = len(edges) if hi is None else hi
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(value >= edges[mid], _place(value, edges, mid + 1, hi)).otherwise(_place(value, edges, lo, mid))
-
-
 def dense_index(df: DataFrame, key: str, out: str) -> DataFrame:
-    """Rows with `out`: the rank from 0 of their `key` (a whole number, it may repeat) among its distinct values."""
+    """Rows with `out`: the rank from 0 of their `key` (it may repeat) among its distinct values."""
     ranks = prefix_sum(df.select(F.col(key).alias("_key")).distinct(), "_key", F.lit(1).cast("long"), out)
     return df.join(ranks, F.col(key) == F.col("_key")).drop("_key")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import arrays, shell
-from tessera.operators import ordering, solvers, sparsity, topology, transfer, vectors
+from tessera.operators import elimination, ordering, solvers, sparsity, topology, transfer, vectors
 from tessera.plans import pipelines
 from tessera.plans.assembler import Assembler, triangle_kernel, uniform_material
 from tessera.plans.queries import A_POINTS, GRAPH, NODE_VALUES, PATTERN, POINTS, _clouds, node_values, pattern, query, small_graph, table
@@ -444,6 +444,22 @@ def solve_gmres_ilu(spark, d):
     return _answer(solvers.gmres(mat, rhs, solvers.ilu_preconditioner(mat, cut(sparsity.iluk(mat.select("row", "col"), 1))), tol=1e-9))
 
 
+@query(ANSWER)
+def solve_multifrontal(spark, d):
+    mat, rhs, _ = _system(spark, d)
+    return _answer(elimination.multifrontal(mat, rhs))
+
+
+@query(f"SELECT count(DISTINCT r) AS n, 0::BIGINT AS lowest, count(DISTINCT r) - 1 AS highest, true AS less_fill FROM ({GRAPH}) g")
+def minimum_degree_fill(spark, d):
+    """The order's places, and that it fills in no more than reverse Cuthill-McKee does."""
+    pat = cut(small_graph(spark, d))
+    perm = cut(elimination.minimum_degree(pat))
+    fill = lambda p: sparsity.iluk(sparsity.apply_perm(pat, p), None).agg(F.count("*").alias("n"))
+    both = fill(perm).withColumnRenamed("n", "own").crossJoin(fill(cut(ordering.rcm(pat, pat.agg(F.min("row")).first()[0]))))  # one row each
+    return perm.agg(F.countDistinct("new").alias("n"), F.min("new").alias("lowest"), F.max("new").alias("highest")).crossJoin(both.select((F.col("own") <= F.col("n")).alias("less_fill")))
+
+
 @query(ANSWER)
 def solve_triangular(spark, d):
     """The lower triangle of the same matrix."""
