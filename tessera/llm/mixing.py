@@ -26,6 +26,8 @@ from . import common
 WEIGHTS = (5, 2, 1)
 #: Rows that a range of keys holds on average, at most.
 RANGE_ROWS = 1_000
+#: Equal rows (one source, id and size) that are made into rows again at once.
+REPEATS = 10_000
 #: Sources up to which their table goes to every task (a row has about 100 bytes).
 BROADCAST_SOURCES = 50_000
 
@@ -86,7 +88,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return _mix_sized(sized, weights, share, cap, range_rows)
 
 
-def _mix_sized(sized: DataFrame, weights, share, cap: int, range_rows: int) -> DataFrame:
+def _mix_sized(sized: DataFrame, weights, share, cap: int, range_rows: int, block: int = REPEATS) -> DataFrame:
     digits, rows = 0, sized.count()
     while rows > range_rows * 16**digits:
         digits += 1
@@ -109,7 +111,12 @@ def _mix_sized(sized: DataFrame, weights, share, cap: int, range_rows: int) -> D
     all_ = F.col("size") * F.col("rows")
     placed = equal.withColumn("first", F.sum(all_).over(inside.rowsBetween(Window.unboundedPreceding, 0)) - all_)
     placed = placed.join(starts, F.col("source").eqNullSafe(F.col("range_source")) & (F.col("key_range") == F.col("range_key")))
-    placed = placed.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1))).withColumn("inside", F.col("first") + F.col("nth") * F.col("size"))
+    # equal rows in blocks of bounded length, dealt over the tasks before they become rows
+    starts_at = F.sequence(F.lit(0).cast("long"), F.col("rows") - 1, F.lit(block).cast("long"))
+    few = placed.filter(F.col("rows") <= block).withColumn("from", F.lit(0).cast("long"))
+    many = placed.filter(F.col("rows") > block).withColumn("from", F.explode(starts_at)).repartition("mix_key", "from")
+    last = F.least(F.col("from") + block, F.col("rows")) - 1
+    placed = few.unionByName(many).withColumn("nth", F.explode(F.sequence("from", last))).withColumn("inside", F.col("first") + F.col("nth") * F.col("size"))
     budget = F.floor("target")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     rest = budget - epochs * F.col("source_size") - F.col("range_start") - F.col("inside")

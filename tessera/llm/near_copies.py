@@ -1,10 +1,13 @@
 """Near-duplicates by the share of common shingles: five words, Jaccard 0.8 or more.
 
-The pipeline's stage. Two texts of Jaccard 0.8 differ in about 10 of 64 SimHash bits,
-and in 17 now and then; no bands of 64 bits find that radius without comparing nearly
-all pairs. So candidates come from MinHash bands, and every link is checked exactly.
-
-1. Texts of equal shingle sets are one row (`node`, a 64-bit hash of the set).
+The pipeline's stage. Candidates are what SimHash links through its BK-trees over shards
+(simhash.links, fingerprints of five words). Two texts of Jaccard 0.8 differ in about 10
+of 64 SimHash bits, though, and in 17 now and then; no bands of 64 bits find that radius
+without comparing nearly all pairs. So MinHash bands add candidates that the trees'
+radius leaves out, and every link of either kind is checked exactly.
+
+1. Texts of equal shingle sets are one row (`node`, a 64-bit hash of the set), with the
+   SimHash fingerprint of its least text; BK-trees link nodes within simhash.RADIUS bits.
 2. BANDS bands of ROWS MinHash values; nodes that share a band are candidates. A pair
    of Jaccard exactly 0.8 shares none with a probability of (1 - 0.8^6)^40 = 5e-6, and
    more similar pairs with less. A band links its nodes to the least of them, never in pairs.
@@ -103,21 +106,23 @@ def linked(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, node, keys) for every row. A null text counts as empty."""
+    """(doc_id, node, fp, keys) for every row. A null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, keys = [], []
+            nodes, fps, keys = [], [], []
             for t in b.column(1):
-                found = shingles(t.as_py() or b"")
+                text = t.as_py() or b""
+                found = shingles(text)
                 nodes.append(node_of(found))
+                fps.append(simhash.fingerprint(text, WORDS))
                 keys.append(band_keys(found))
             flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(nodes) + 1) * BANDS, pa.int32()), pa.array(flat, pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), lists], names=["doc_id", "node", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), lists], names=["doc_id", "node", "fp", "keys"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, node long, keys array<long>")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, node long, fp long, keys array<long>")
 
 
 def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,11 +155,16 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     and all stay. An empty table gives an empty one.
     """
     some = docs.filter(F.col(id_col).isNotNull())
-    distinct = common.cut(sketches(some, id_col, text_col).groupBy("node").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys")))
+    distinct = common.cut(sketches(some, id_col, text_col).groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.first("keys").alias("keys")))
     rows = distinct.select(F.explode("keys").alias("key"), "node")
-    heads = rows.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    edges = rows.join(heads, "key").filter("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v")).distinct()
-    found = common.cut(simhash.components(edges))  # without the roots themselves
+    first = rows.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    edges = rows.join(first, "key").filter("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v")).distinct()
+    named = common.cut(distinct.groupBy("fp").agg(F.min("node").alias("node")))
+    trees = simhash.links(named.select("fp"))
+    of = lambda end: named.select(F.col("fp").alias(end), F.col("node").alias(f"{end}_node"))
+    trees = trees.join(of("u"), "u").join(of("v"), "v").select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
+    equal = distinct.select("fp", F.col("node").alias("u")).join(named.select("fp", F.col("node").alias("v")), "fp").filter("u <> v").select("u", "v")
+    found = common.cut(simhash.components(edges.unionByName(trees).unionByName(equal)))  # without the roots themselves
     found = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
     large = common.cut(found.groupBy("root").agg(F.count("*").alias("members")).filter(F.col("members") > BLOCK))
     if large.count() <= BROADCAST_ROOTS:  # checked; beyond it the join is left to Spark
@@ -168,6 +178,6 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = candidates.join(some.select(F.col(id_col).alias("least"), F.col(text_col).cast("binary").alias("text")), "least").select("root", "node", "text")
     links = texts.repartition("root").sortWithinPartitions("root").mapInArrow(_checked, "node long, head long")
     linked_to = simhash.components(links.select(F.col("node").alias("u"), F.col("head").alias("v")))
-    named = distinct.select("node", "least").join(linked_to, "node", "left").select(F.coalesce("root", "node").alias("head"), "least")
-    kept = named.groupBy("head").agg(F.min("least").alias("doc_id")).select("doc_id")
+    heads = distinct.select("node", "least").join(linked_to, "node", "left").select(F.coalesce("root", "node").alias("head"), "least")
+    kept = heads.groupBy("head").agg(F.min("least").alias("doc_id")).select("doc_id")
     return simhash.one_of_each(docs, kept, id_col, text_col).unionByName(docs.filter(F.col(id_col).isNull()))

@@ -76,3 +76,18 @@ def test_repeated_and_null_ids(spark):
     rows = [(1, "b"), (1, "a"), (2, "a"), (None, "a"), (None, "a"), (3, "c")]
     got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, DOC), "").collect()
     assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, "a"), (0, "a"), (1, "a"), (3, "c")]
+
+
+def test_trees_and_bands_both_propose(spark, monkeypatch):
+    """Without bands, pairs within the trees' radius are still found; the exact check holds for both."""
+    rng = random.Random(4)
+    rows = []
+    for at in range(0, 20, 2):
+        words = [f"w{rng.randrange(5000)}" for _ in range(2000)]
+        rows += [(at, " ".join(words)), (at + 1, " ".join([*words[:-1], "other"]))]
+    monkeypatch.setattr(near_copies, "band_keys", lambda found: np.full(near_copies.BANDS, near_copies.node_of(found), np.int64))
+    docs = spark.createDataFrame(rows, DOC)
+    fps = {r.doc_id: r.fp for r in near_copies.sketches(docs, "doc_id", "text").collect()}
+    near = {at for at in range(0, 20, 2) if ((fps[at] ^ fps[at + 1]) & ((1 << 64) - 1)).bit_count() <= 4}
+    got = {r.doc_id for r in near_copies.deduplicated(docs).collect()}
+    assert near and got == set(range(20)) - {at + 1 for at in near}

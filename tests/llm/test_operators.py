@@ -73,6 +73,13 @@ def test_mix_matches_sql(spark, corpus, range_rows):
     assert got == duck_mix(rows)
 
 
+def test_mix_of_one_id_in_many_rows(spark):
+    rows = [(1, "a b c", "s")] * 25 + [(1, "a b", "s"), (2, "a", "s"), (3, "a b c d", "t")]
+    sized = spark.createDataFrame(rows, "doc_id long, text string, source string").select("doc_id", "source", mixing.common.n_words(F.col("text")).alias("size"), mixing._key(F.col("doc_id"), "m").alias("mix_key"))
+    whole, cut = (sorted(map(tuple, mixing._mix_sized(sized, mixing.WEIGHTS, (3, 2), 2, 1000, block=b).collect())) for b in (10_000, 7))
+    assert whole == cut and len(whole) == len(rows)
+
+
 def test_mix_shares_and_caps(spark):
     sizes = {"a": 100, "b": 1000, "c": 10}
     rows = [(i, " ".join(["w"] * n), None, s, None) for i, (s, n) in enumerate(sizes.items())]
