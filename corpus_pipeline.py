@@ -16,20 +16,22 @@ from tessera.llm import common, language, mixing, near_copies, pieces, quality_r
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the model (fitted on these documents' labels) tells with KEEP_SCORE of their words at least."""
-    found = language.identify(docs, language.fit(docs), pred_col="_lang", score_col="_score")
-    return found.filter((F.col("_lang") != language.UNKNOWN) & (F.col("_score") >= language.KEEP_SCORE)).select(*docs.columns)
+    pred, score = common.fresh(docs, "_lang", "_score")
+    found = language.identify(docs, language.fit(docs), pred_col=pred, score_col=score)
+    return found.filter((F.col(pred) != language.UNKNOWN) & (F.col(score) >= language.KEEP_SCORE)).select(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the trees."""
     forest = quality_rules.fit(docs, common.table(spark, sf_dir, "labels"))
-    clash = {c: f"_doc_{c}" for c in docs.columns if c in quality_rules.NEW}
+    held = [c for c in docs.columns if c.lower() in {n.lower() for n in quality_rules.NEW}]
+    clash = dict(zip(held, common.fresh(docs, *(f"_doc_{c}" for c in held)), strict=True))
     ruled = quality_rules.apply_rules(docs.withColumnsRenamed(clash), forest).filter("kept")
     return ruled.select(*[F.col(clash.get(c, c)).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five words, Jaccard 0.8 or more."""
+    """One document of each group of near-duplicates: SimHash trees and MinHash bands propose, Jaccard of five words of 0.8 or more decides."""
     return near_copies.deduplicated(docs)
 
 
