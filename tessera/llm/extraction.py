@@ -32,7 +32,7 @@ EPOCHS = 6
 def _place(kinds: frozenset[str], leaf: str, section: str, names: frozenset[str]) -> tuple[str, ...]:
     return (
         *("t:" + t for t in kinds), "leaf:" + leaf, "in:" + section, *("n:" + n for n in names),
-        *("in-n:" + section + n for n in names),
+        *("in-n:" + section + n for n in names), f"within:{section}:{not kinds.isdisjoint(('article', 'main'))}",
     )
 
 

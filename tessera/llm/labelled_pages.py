@@ -9,9 +9,11 @@ ADS = "ad ads advert advertisement banner promo sponsor sponsored".split()
 MENUS = "menu nav navbar navigation breadcrumb breadcrumbs topnav tabs".split()
 NOTICES = "cookie cookies notice consent alert popup newsletter subscribe gdpr".split()
 SIDES = "sidebar side widget related recommended popular trending more-links".split()
-COMMENTS = "comments comment-list commentlist discussion replies disqus".split()
+COMMENTS = "comments comment-list commentlist discussion replies disqus respond responses thread feedback".split()
 SHARES = "share social sharing share-buttons follow".split()
 MAINS = "content main-content post post-content article article-body entry entry-content story body-text text".split()
+#: The share of pages that have nothing but their article.
+BARE = 0.2
 SYLLABLES = "an ba ber ca con da de el en er fi ga ha in ka la le ma mi na no or pa ra re sa ta ti to un va wo ü é ó ß".split()
 
 
@@ -109,6 +111,8 @@ class Maker:
                 rows.append(a + " ".join(self.link(self.word()) for _ in range(3)) + z)
             else:
                 rows.append(f"<p>{self.kept(self.words(1, 5))}</p>")
+        if r.random() < 0.06:
+            rows.insert(r.randrange(1, len(rows) + 1), f"<button>{self.words(1, 3)}</button>")
         if r.random() < 0.12:
             rows.append(self.comments())
         body = "".join(rows)
@@ -125,8 +129,26 @@ class Maker:
             return a + body + z
         return f"<div>{body}</div>"
 
+    def bare(self) -> str:
+        """A page that is its article: few blocks, often one, with hardly a wrapper and nothing around it."""
+        r = self.r
+        text = lambda: self.kept(r.choice([self.prose(1, 3), self.prose(2, 9), self.words(1, 6), self.words(6, 40)]))
+        rows = [f"<h{r.randint(1, 3)}>{self.kept(self.words(1, 8))}</h1>"] if r.random() < 0.35 else []
+        for _ in range(r.choice([1, 1, 1, 2, 3, 5])):
+            lines = text()
+            kind = r.random()
+            if kind < 0.15:
+                lines = lines.replace(" ", "<br>", 1)
+            rows.append(f"<div>{lines}</div>" if 0.15 < kind < 0.3 else lines + r.choice(["<hr>", "<h2></h2>"]) if kind > 0.85 else f"<p>{lines}</p>")
+        body = "".join(rows)
+        a, z = r.choice([("", ""), ("", ""), ("<article>", "</article>"), ("<main>", "</main>"), ("<div>", "</div>"), ("<section>", "</section>"), (f'<div id="{self.word()}">', "</div>"), ("<main><article>", "</article></main>"), self.named(MAINS)])
+        head = f"<head><title>{self.words(2, 9)}</title></head>" if r.random() < 0.4 else ""
+        return r.choice([f"<!DOCTYPE html><html>{head}<body>{a}{body}{z}</body></html>", f"<html>{head}<body>{a}{body}{z}</body></html>", f"<body>{a}{body}{z}", a + body + z])
+
     def page(self) -> str:
         r = self.r
+        if r.random() < BARE:
+            return self.bare()
         some = lambda p, make: make() if r.random() < p else ""
         head = f"<head><meta charset=utf-8><title>{self.words(2, 9)}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head>"
         before = [some(0.35, self.header), some(0.8, self.menu), some(0.15, self.notice), some(0.35, self.ad), some(0.1, self.form), some(0.2, self.side)]
