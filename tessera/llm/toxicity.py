@@ -10,7 +10,8 @@ A misspelling weighs less than the term, and counts only if it is no ordinary wo
 of clean documents, and for terms whose neighbours are rare there.
 
 Each match is scored in its window of words: other matches and words of address
-raise it, quotation marks around it lower it to a tenth. A logistic model over the
+raise it; inside quotation marks, or where it is spoken about ("the word ...", "called
+me ..."), it is told and not said, and does not add to the document. A logistic model over the
 best, the sum and the rate of these scores, none of which may lower the result, and
 fitted on the same rows, gives a document's score.
 
@@ -49,8 +50,8 @@ STEMS = (4, 5, 6)
 #: What a misspelled seed and a misspelled learned term weigh of the term; letters that a term has then at least; share of
 #: clean documents in which misspellings of it may be met (in documents that the ordinary words were not taken from).
 NEAR_SHARE, LEARNED_SHARE, NEAR_LETTERS, NEAR_RATE = 0.7, 0.35, 5, 0.001
-#: A match's score grows by so much for each other match in its window, up to four, and with a word of address there; what is left inside quotation marks.
-PER_MATCH, PER_ADDRESS, QUOTED = 0.15, 0.3, 0.1
+#: A match's score grows by so much for each other match in its window, up to four, and with a word of address there; what is left of one that is quoted or spoken about.
+PER_MATCH, PER_ADDRESS, QUOTED = 0.15, 0.3, 0.01
 
 # English insults, and words of address.
 SEEDS = "clown crap degenerate disgusting dumb filthy garbage idiot imbecile jerk loser moron pathetic scum scumbag stupid trash vermin worthless".split()
@@ -59,8 +60,29 @@ ADDRESS = frozenset("you your yours youre u ur du dich dein deine ihr euch tu to
 #: Letters that single marks part are one word.
 WORD = re.compile(r"(?<![^\W_])(?:[^\W_][.\-_*]){2,}[^\W_](?![^\W_])|[^\W_]+(?:[@$*][^\W_]+)*")
 PARTED = re.compile(r"(?:[^\W_][.\-_*]){2,}[^\W_]")
-#: From a mark before a word to one after a word, within a line.
-QUOTES = re.compile(r"(?:(?<=[\s(\[])|^)[\"“„«‘](?=\S)[^\n\"“”„«»]{1,200}?(?<=\S)[\"”“»’](?=$|[\s.,;:!?)\]])", re.M)
+RUN = re.compile(r"(.)\1+")
+#: Marks that open a quotation and what closes it; straight ones open before a word and close after one.
+PAIRS = {"«": "»", "“": "”", "„": "“”", "‘": "’", "‹": "›"}
+MARK = re.compile("[«»“”„‘’‹›]|(?<![^\\s(\\[])[\"'](?=\\S)|(?<=\\S)[\"'](?![^\\s.,;:!?)\\]])|\n[ \t]*\n")
+# Words that tell that a term is spoken about or was said by somebody, shortly before it or right after it.
+REPORTING = frozenset("word words term called calls calling quote quoted slur wort begriff nannte nannten genannt beschimpft schimpfwort mot terme appelé appelée traité traitée insulte palabra término llamó llamaron llamado llamada insulto".split())
+MEANING = frozenset("means meant comes refers bedeutet heißt stammt signifie désigne vient significa viene".split())
+BEFORE, AFTER = 3, 2
+
+
+def quotations(lower: str) -> list[tuple[int, int]]:
+    """(start, end) of what stands between paired quotation marks, of any length, inside a paragraph; marks without a partner mean nothing."""
+    found, opened = [], None
+    for m in MARK.finditer(lower):
+        mark = m[0]
+        if mark[0] == "\n":
+            opened = None
+        elif opened is not None and mark in PAIRS.get(opened[0], opened[0]):
+            found.append((opened[1], m.start()))
+            opened = None
+        elif opened is None and (mark in PAIRS or mark in "\"'" and (not m.start() or not lower[m.start() - 1].isalnum())):
+            opened = mark, m.end()
+    return found
 
 
 def words_of(lower: str) -> list[str]:
@@ -171,11 +193,18 @@ class Scorer:
     def __reduce__(self):
         return Scorer, (self.trie, self.weights)
 
+    def _found(self, word: str) -> tuple[str, int] | None:
+        """(term, edits); a word with letters drawn out (stuuupid) is tried with each once, too, which is an edit."""
+        found = self.trie.match(word)
+        if found is None and (once := RUN.sub(r"\1", word)) != word and word not in self.trie.ordinary and (found := self.trie.match(once)):
+            found = found[0], max(1, found[1])
+        return found
+
     def look_up(self, words: set[str]) -> None:
         if len(self.known) > CACHED_WORDS:
             self.known, self.hits = set(), {}
         for w in words - self.known:
-            if found := self.trie.match(w):
+            if found := self._found(w):
                 self.hits[w] = found[1], self.trie.weights[found[0]] * (1 if not found[1] else NEAR_SHARE if found[0] in SEEDS else LEARNED_SHARE)
         self.known |= words
 
@@ -188,22 +217,26 @@ class Scorer:
         spots = {i: (m.start(), m.end()) for i, m in enumerate(WORD.finditer(lower))} if at else {}
         return [(i, *spots[i], words[i], self.hits[words[i]][0], x) for i, x in zip(at, self._scores(lower, words, at), strict=True)]
 
-    def _quoted(self, lower: str, words: list[str]) -> set[int]:
-        """Numbers of the matches inside quotation marks."""
-        spans = [m.span() for m in QUOTES.finditer(lower)]
-        if not spans:
-            return set()
-        starts = [a for a, _ in spans]
-        inside = lambda at: (k := bisect(starts, at)) > 0 and at < spans[k - 1][1]
-        return {i for i, m in enumerate(WORD.finditer(lower)) if words[i] in self.hits and inside(m.start())}
+    def _told(self, lower: str, words: list[str], at: list[int]) -> set[int]:
+        """Numbers of the matches that are quoted or spoken about."""
+        told = set()
+        for i in at:
+            if not REPORTING.isdisjoint(words[max(0, i - BEFORE) : i]) or not MEANING.isdisjoint(words[i + 1 : i + 1 + AFTER]):
+                told.add(i)
+        if spans := quotations(lower):
+            starts = [a for a, _ in spans]
+            inside = lambda at: (k := bisect(starts, at)) > 0 and at < spans[k - 1][1]
+            told |= {i for i, m in enumerate(WORD.finditer(lower)) if words[i] in self.hits and inside(m.start())}
+        return told
 
     def _scores(self, lower: str, words: list[str], at: list[int]) -> list[float]:
-        """The matches' scores in their windows."""
-        quoted, out = self._quoted(lower, words) if at else set(), []
+        """The matches' scores in their windows; of what is told, and not said, only QUOTED is left."""
+        told, out = self._told(lower, words, at) if at else set(), []
+        own = [i for i in at if i not in told]
         for i in at:
-            near = bisect(at, i + WINDOW) - bisect(at, i - WINDOW - 1) - 1
+            near = bisect(own, i + WINDOW) - bisect(own, i - WINDOW - 1) - 1
             addressed = not ADDRESS.isdisjoint(words[max(0, i - WINDOW) : i + WINDOW + 1])
-            out.append(self.hits[words[i]][1] * (QUOTED if i in quoted else 1 + PER_MATCH * min(near, 4) + PER_ADDRESS * addressed))
+            out.append(QUOTED if i in told else self.hits[words[i]][1] * (1 + PER_MATCH * min(near, 4) + PER_ADDRESS * addressed))
         return out
 
     def features(self, text: str | None, words: list[str] | None = None) -> list[float]:
@@ -214,7 +247,7 @@ class Scorer:
         if not self.hits or self.hits.keys().isdisjoint(words):
             return [0.0] * len(FEATURES)
         scores = self._scores(lower, words, [i for i, w in enumerate(words) if w in self.hits])
-        total = sum(scores)
+        total = sum(x for x in scores if x > QUOTED)
         return [max(scores), np.log1p(total), np.log1p(1000 * total / len(words))]
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
