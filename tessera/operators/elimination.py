@@ -7,13 +7,14 @@ is absorbed, and nodes whose whole neighbourhood is the new element go with it (
 supervariable). The elements with their absorptions are the assembly tree.
 
 `multifrontal` runs over that tree by levels: a front is a dense matrix of its pivots
-and border, one Arrow group, gathers its own entries and the updates of its children,
+and border; it gathers its own entries and the updates of its children,
 and hands its Schur complement to its parent. The tree's fronts of a level are
 independent, and no table or group holds more than one front's square.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -122,36 +123,55 @@ def ordered(tree: Tree) -> DataFrame:
     return prefix_sum(rows, ["round", "front", "late", "node"], F.lit(1).cast("long"), "new").select(F.col("node").alias("old"), "new")
 
 
-PACKED = "front long, part int, i array<long>, j array<long>, v array<double>, b array<double>"
 FACTOR = "front long, pivots array<long>, border array<long>, w array<double>, c array<double>, parent long, s array<double>, b array<double>"
 
 
-def _factor(whole: pa.Table) -> pa.Table:
-    """One front: its pivots and border (part 0), its own entries (1), right side (2) and the updates of its children (3)."""
-    parts, front = whole.column("part").to_pylist(), whole.column("front")[0].as_py()
-    at = {k: [r for r, p in enumerate(parts) if p == k] for k in range(4)}
-    lists = {k: whole.column(k) for k in ("i", "j", "v", "b")}
-    get = lambda k, r: lists[k][r].values.to_numpy(zero_copy_only=False)
-    pivots, border = get("i", at[0][0]), get("j", at[0][0])
+SENT = pa.schema([(k, pa.list_(pa.int64() if k in ("pivots", "border") else pa.float64()) if k not in ("front", "parent") else pa.int64()) for k in ("front", "pivots", "border", "w", "c", "parent", "s", "b")])
+
+
+def _factored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by front -> a row for each front; those of a front may span batches."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ids = b.column(0).to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)]
+        done = []
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            if held and held[-1].column(0)[0].as_py() != ids[lo]:
+                done.append(_front(held))
+                held = []
+            held.append(b.slice(lo, hi - lo))
+        if done:
+            yield pa.RecordBatch.from_pylist(done, SENT)
+    if held:
+        yield pa.RecordBatch.from_pylist([_front(held)], SENT)
+
+
+def _front(rows: list[pa.RecordBatch]) -> dict:
+    """One front: its pivots, border and parent (part 0), its own entries (1), right side (2) and the updates of its children (3)."""
+    parts: dict[int, list[list[np.ndarray]]] = {k: [] for k in range(4)}
+    for batch in rows:
+        kinds, lists = batch.column(1).to_pylist(), [batch.column(k) for k in range(2, 6)]
+        for r, kind in enumerate(kinds):
+            parts[kind].append([c[r].values.to_numpy(zero_copy_only=False) for c in lists])
+    ((pivots, border, _, parent),) = parts[0]
     p, ids = len(pivots), np.concatenate((pivots, border))
     order = np.argsort(ids)
     place = lambda x: order[np.searchsorted(ids[order], x)]
     f, b = np.zeros((len(ids), len(ids))), np.zeros(len(ids))
-    for r in at[1]:
-        np.add.at(f, (place(get("i", r)), place(get("j", r))), get("v", r))
-    for r in at[2]:
-        np.add.at(b, place(get("i", r)), get("b", r))
-    for r in at[3]:
-        k = place(get("i", r))
-        f[np.ix_(k, k)] += get("v", r).reshape(len(k), len(k))
-        b[k] += get("b", r)
+    for i, j, v, _ in parts[1]:
+        np.add.at(f, (place(i), place(j)), v)
+    for i, _, _, x in parts[2]:
+        np.add.at(b, place(i), x)
+    for i, _, v, x in parts[3]:
+        k = place(i)
+        f[np.ix_(k, k)] += v.reshape(len(k), len(k))
+        b[k] += x
     both = np.linalg.solve(f[:p, :p], np.column_stack((f[:p, p:], b[:p])))
     s, rest = f[p:, p:] - f[p:, :p] @ both[:, :-1], b[p:] - f[p:, :p] @ both[:, -1]
-    parent = whole.column("b")[at[0][0]].values
-    parent = int(parent[0].as_py()) if len(parent) else None
-    row = {"front": [front], "pivots": [pivots], "border": [border], "w": [both[:, :-1].ravel()], "c": [both[:, -1]], "parent": [parent], "s": [s.ravel()], "b": [rest]}
-    kinds = {"front": pa.int64(), "parent": pa.int64(), "pivots": pa.list_(pa.int64()), "border": pa.list_(pa.int64())}
-    return pa.table({k: pa.array(v, kinds.get(k, pa.list_(pa.float64()))) for k, v in row.items()})
+    return {"front": rows[0].column(0)[0].as_py(), "pivots": pivots, "border": border, "w": both[:, :-1].ravel(), "c": both[:, -1], "parent": int(parent[0]) if len(parent) else None, "s": s.ravel(), "b": rest}
 
 
 def multifrontal(mat: DataFrame, rhs: DataFrame, tree: Tree | None = None) -> DataFrame:
@@ -185,7 +205,7 @@ def multifrontal(mat: DataFrame, rhs: DataFrame, tree: Tree | None = None) -> Da
         if waiting is not None:
             here = tree.levels.filter(F.col("level") == level).select(F.col("front").alias("_f"))
             now = now.unionByName(waiting.join(here, F.col("front") == F.col("_f"), "left_semi"))
-        made = cut(now.groupBy("front").applyInArrow(_factor, FACTOR))
+        made = cut(now.repartition("front").sortWithinPartitions("front").mapInArrow(_factored, FACTOR))
         done.append(made.select("front", "pivots", "border", "w", "c"))
         sent = made.filter("parent is not null").select(F.col("parent").alias("front"), F.lit(3).alias("part"), F.col("border").alias("i"), none.alias("j"), F.col("s").alias("v"), "b")
         if waiting is not None:
