@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from tessera.functions import dense
-from tessera.operators import sparsity, vectors
+from tessera.operators import incomplete, sparsity, vectors
 from tessera.session import cut
 
 #: Unknowns of the largest system that is solved densely in one task.
@@ -128,48 +128,14 @@ def triangular(mat: DataFrame, lower: bool, unit: bool):
     return solve
 
 
-def ilu(mat: DataFrame, levels: DataFrame, limit: int = DIRECT_LIMIT) -> tuple[DataFrame, DataFrame]:
-    """(L, U) of the incomplete factorisation on the pattern of `levels` (row, col, ...), in one task."""
-    rows = cut(sparsity.merge_copy(levels, mat))
-    n = rows.agg(F.max("row")).first()[0] + 1
-    if n > limit:
-        raise ValueError(f"{n} rows; ilu() takes {limit} at most, use jacobi()")
-
-    def factor(pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, up = dense.ilu(pdf["row"].to_numpy(), pdf["col"].to_numpy(), pdf["val"].to_numpy(), n)
-        r, c = pdf["row"].to_numpy(), pdf["col"].to_numpy()
-        return pd.DataFrame({"row": r, "col": c, "val": np.where(r > c, lo[r, c], up[r, c])})
-
-    both = cut(rows.groupBy(F.lit(0).alias("g")).applyInPandas(factor, "row long, col long, val double"))
-    unit = both.select("row").distinct().select("row", F.col("row").alias("col"), F.lit(1.0).alias("val"))
-    return both.filter("row > col").unionByName(unit), both.filter("row <= col")
-
-
-def ilu_preconditioner(mat: DataFrame, levels: DataFrame):
-    """A function r -> x with L U x = r.
-
-    The factors fit one task (see `ilu`), so both are applied in one: an application
-    is one job, however many levels of dependencies the factors have. Rows that r
-    lacks count as 0; raises ZeroDivisionError if a diagonal entry is missing or 0.
-    """
-    lo, up = ilu(mat, levels)
-    factors = cut(lo.filter("row > col").unionByName(up))
-
-    def solve(whole: pa.Table) -> pa.Table:
-        r, c, v = (whole.column(k).to_numpy() for k in ("row", "col", "val"))
-        of = c == -1
-        dofs = np.unique(r[~of])
-        own = of & np.isin(r, dofs)
-        b = np.zeros(len(dofs))
-        b[np.searchsorted(dofs, r[own])] = v[own]
-        x = dense.substituted(np.searchsorted(dofs, r[~of]), np.searchsorted(dofs, c[~of]), v[~of], b)
-        return pa.table({"dof": dofs, "val": x})
+def ilu(mat: DataFrame, levels: DataFrame, block: int = incomplete.BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(L, U) of the incomplete factorisation on the pattern of `levels` (row, col, ...), by levels of block rows."""
+    return incomplete.split(incomplete.factors(mat, levels, block))
 
-    def apply(r: DataFrame) -> DataFrame:
-        rows = factors.unionByName(r.select(F.col("dof").alias("row"), F.lit(-1).cast("long").alias("col"), "val"))
-        return rows.groupBy(F.lit(0).alias("g")).applyInArrow(solve, "dof long, val double")
 
-    return apply
+def ilu_preconditioner(mat: DataFrame, levels: DataFrame, block: int = incomplete.BLOCK):
+    """A function r -> x with L U x = r; see `incomplete`. Rows that r lacks count as 0; raises ZeroDivisionError if a pivot is missing or 0."""
+    return incomplete.applied(incomplete.factors(mat, levels, block), block)
 
 
 def _kept(mat: DataFrame) -> DataFrame:
