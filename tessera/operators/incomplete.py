@@ -164,7 +164,7 @@ def applied(chunks: DataFrame, block: int = BLOCK) -> Callable[[DataFrame], Data
 
     def apply(r: DataFrame) -> DataFrame:
         for lower, levels, triangles, away in sides:
-            b, x = cut(r.select("dof", "val")), None
+            b, x = r if not lower or levels == 1 else cut(r.select("dof", "val")), None  # on the way up r is written already
             for level in range(levels):
                 left = b
                 if x is not None:

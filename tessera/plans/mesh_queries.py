@@ -1,7 +1,7 @@
 """Operators on generated meshes, files and systems, each with SQL that gives the same rows.
 
-Grids are made by the generators, so SQL states them in closed form; meshes of solids
-are orders with four lines, whose nodes are numbers of their suppliers. Answers of
+Grids are made by the generators, so SQL states them in closed form; they are fixtures for
+tests. Decks and meshes of solids are made from the tables: solids are orders with four lines, whose nodes are numbers of their suppliers. Answers of
 solvers are known beforehand: the right side is the matrix times whole numbers.
 """
 
@@ -19,8 +19,8 @@ from tessera.functions import arrays, shell
 from tessera.operators import elimination, ordering, solvers, sparsity, topology, transfer, vectors
 from tessera.plans import pipelines
 from tessera.plans.assembler import Assembler, triangle_kernel, uniform_material
-from tessera.plans.queries import A_POINTS, GRAPH, NODE_VALUES, PATTERN, POINTS, _clouds, node_values, pattern, query, small_graph, table
-from tessera.session import cut
+from tessera.plans.queries import A_POINTS, GRAPH, NODE_VALUES, PATTERN, POINTS, _clouds, fixture, node_values, pattern, query, small_graph, table
+from tessera.session import checkpoint_folder, cut
 from tessera.sources import bdf, generators, sinks, su2
 
 NX, NY = 12, 7
@@ -44,33 +44,33 @@ def file_of(spark: SparkSession, lines: DataFrame) -> str:
 # generators
 
 
-@query(f"SELECT node, ix::INT AS ix, iy::INT AS iy, round(ix * 2.0 / {NX}, 6) AS x, round(iy * 1.0 / {NY}, 6) AS y, 0.0::DOUBLE AS z FROM ({NODES}) n")
+@fixture(f"SELECT node, ix::INT AS ix, iy::INT AS iy, round(ix * 2.0 / {NX}, 6) AS x, round(iy * 1.0 / {NY}, 6) AS y, 0.0::DOUBLE AS z FROM ({NODES}) n")
 def plate_nodes(spark, d):
     return rounded(generators.plate_nodes(spark, NX, NY), "x", "y", "z")
 
 
-@query(f"SELECT elem, l::INT AS lnode, first + CASE l WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN {NX + 1} ELSE {NX + 2} END AS node FROM ({ELEMS}) e, (SELECT unnest(range(4)) AS l) k")
+@fixture(f"SELECT elem, l::INT AS lnode, first + CASE l WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN {NX + 1} ELSE {NX + 2} END AS node FROM ({ELEMS}) e, (SELECT unnest(range(4)) AS l) k")
 def plate_elements(spark, d):
     return generators.plate_elements(spark, NX, NY)
 
 
-@query(f"""SELECT DISTINCT node * 6 + d AS dof FROM ({NODES}) n, (SELECT unnest(range(6)) AS d) k
+@fixture(f"""SELECT DISTINCT node * 6 + d AS dof FROM ({NODES}) n, (SELECT unnest(range(6)) AS d) k
 WHERE (ix = 0 AND iy = 0) OR (iy = 0 AND d IN (1, 2)) OR (ix = 0 AND d IN (0, 2)) OR ((ix = {NX} OR iy = {NY}) AND d = 2)""")
 def plate_supports(spark, d):
     return generators.plate_bcs(generators.plate_nodes(spark, NX, NY), NX, NY)
 
 
-@query(f"SELECT node * 6 + d AS dof, CASE WHEN d = 2 THEN round(3 * sin(pi() * ix / {NX}) * sin(pi() * iy / {NY}) * 2.0 / {NX * NY}, 9) + 0.0 ELSE 0.0 END::DOUBLE AS val FROM ({NODES}) n, (SELECT unnest(range(6)) AS d) k")
+@fixture(f"SELECT node * 6 + d AS dof, CASE WHEN d = 2 THEN round(3 * sin(pi() * ix / {NX}) * sin(pi() * iy / {NY}) * 2.0 / {NX * NY}, 9) + 0.0 ELSE 0.0 END::DOUBLE AS val FROM ({NODES}) n, (SELECT unnest(range(6)) AS d) k")
 def plate_sine_load(spark, d):
     return rounded(generators.plate_loads(generators.plate_nodes(spark, NX, NY), 3.0, 2.0, 1.0, NX, NY), "val", digits=9)
 
 
-@query(f"SELECT ((({NX + 1}) // 2) + ({NX + 1}) * (({NY + 1}) // 2)) * 6 + 2 AS dof, 1.0::DOUBLE AS val")
+@fixture(f"SELECT ((({NX + 1}) // 2) + ({NX + 1}) * (({NY + 1}) // 2)) * 6 + 2 AS dof, 1.0::DOUBLE AS val")
 def point_load(spark, d):
     return generators.point_load(generators.plate_nodes(spark, NX, NY), NX + 1, NY + 1).select(F.col("dof").cast("int").alias("dof"), "val")
 
 
-@query(f"SELECT node * 6 + 2 AS dof, 10.0::DOUBLE AS val FROM ({NODES}) n")
+@fixture(f"SELECT node * 6 + 2 AS dof, 10.0::DOUBLE AS val FROM ({NODES}) n")
 def uniform_load(spark, d):
     return generators.uniform_load(generators.plate_nodes(spark, NX, NY), 10.0)
 
@@ -78,29 +78,29 @@ def uniform_load(spark, d):
 GRID = "SELECT i AS id, (i % 9) / 8.0 AS x, (i // 9) / 5.0 AS y FROM (SELECT unnest(range(54)) AS i) r"
 
 
-@query(f"SELECT id, round(x, 6) AS x, round(y, 6) AS y, round(-0.2 * sin(pi() * x) * sin(pi() * y), 6) + 0.0 AS z FROM ({GRID}) g")
+@fixture(f"SELECT id, round(x, 6) AS x, round(y, 6) AS y, round(-0.2 * sin(pi() * x) * sin(pi() * y), 6) + 0.0 AS z FROM ({GRID}) g")
 def grid_surface(spark, d):
     return rounded(generators.grid_points(spark, 9, 6, z0=-0.2), "x", "y", "z")
 
 
-@query(f"SELECT id, round(tan(radians(10)) * y, 6) AS x, round(tan(radians(10)) * x, 6) AS y, 0.0::DOUBLE AS z FROM ({GRID}) g")
+@fixture(f"SELECT id, round(tan(radians(10)) * y, 6) AS x, round(tan(radians(10)) * x, 6) AS y, 0.0::DOUBLE AS z FROM ({GRID}) g")
 def shear_field(spark, d):
     return rounded(generators.shear_field(generators.grid_points(spark, 9, 6), 20.0), "x", "y")
 
 
-@query(f"SELECT id, round(0.5 * sin(2 * pi() * x) * cos(pi() * y), 6) + 0.0 AS x, round(0.5 * cos(pi() * x) * sin(2 * pi() * y), 6) + 0.0 AS y, round(0.5 * sin(pi() * x) * sin(pi() * y), 6) + 0.0 AS z FROM ({GRID}) g")
+@fixture(f"SELECT id, round(0.5 * sin(2 * pi() * x) * cos(pi() * y), 6) + 0.0 AS x, round(0.5 * cos(pi() * x) * sin(2 * pi() * y), 6) + 0.0 AS y, round(0.5 * sin(pi() * x) * sin(pi() * y), 6) + 0.0 AS z FROM ({GRID}) g")
 def wavy_field(spark, d):
     return rounded(generators.wavy_field(generators.grid_points(spark, 9, 6), 0.5), "x", "y", "z")
 
 
-@query("SELECT e AS elem, 6::BIGINT AS n, 6::BIGINT AS kinds, true AS inside FROM (SELECT unnest(range(500)) AS e) r")
+@fixture("SELECT e AS elem, 6::BIGINT AS n, 6::BIGINT AS kinds, true AS inside FROM (SELECT unnest(range(500)) AS e) r")
 def random_connectivity(spark, d):
     """Each element has six distinct nodes of the range."""
     rows = generators.random_connectivity(spark, 500, 40, 6, seed=3)
     return rows.groupBy("elem").agg(F.count("*").alias("n"), F.countDistinct("node").alias("kinds"), F.min((F.col("node") >= 0) & (F.col("node") < 40)).alias("inside"))
 
 
-@query("SELECT i AS node, round(1.0345452 + 2.23123432 * (3 * i) + 0.323 * (3 * i) * (3 * i), 6) AS x, round(1.0345452 + 2.23123432 * (3 * i + 1) + 0.323 * (3 * i + 1) * (3 * i + 1), 6) AS y, round(1.0345452 + 2.23123432 * (3 * i + 2) + 0.323 * (3 * i + 2) * (3 * i + 2), 6) AS z FROM (SELECT unnest(range(4))::DOUBLE AS i0, unnest(range(4)) AS i) r")
+@fixture("SELECT i AS node, round(1.0345452 + 2.23123432 * (3 * i) + 0.323 * (3 * i) * (3 * i), 6) AS x, round(1.0345452 + 2.23123432 * (3 * i + 1) + 0.323 * (3 * i + 1) * (3 * i + 1), 6) AS y, round(1.0345452 + 2.23123432 * (3 * i + 2) + 0.323 * (3 * i + 2) * (3 * i + 2), 6) AS z FROM (SELECT unnest(range(4))::DOUBLE AS i0, unnest(range(4)) AS i) r")
 def one_element(spark, d):
     return rounded(generators.one_element(spark)[0], "x", "y", "z")
 
@@ -116,17 +116,17 @@ def _ring(spark: SparkSession) -> bdf.BulkData:
 RING = "SELECT i AS node, 4 + 6 * (i // 6) / 3.0 AS r, pi() / 2 * (i % 6) / 5.0 AS a FROM (SELECT unnest(range(24)) AS i) x"
 
 
-@query(f"SELECT node, round(r * cos(a), 6) + 0.0 AS x, round(r * sin(a), 6) + 0.0 AS y, 0.0::DOUBLE AS z FROM ({RING}) r")
+@fixture(f"SELECT node, round(r * cos(a), 6) + 0.0 AS x, round(r * sin(a), 6) + 0.0 AS y, 0.0::DOUBLE AS z FROM ({RING}) r")
 def ring_nodes(spark, d):
     return rounded(_ring(spark).nodes, "x", "y", "z").withColumn("node", F.col("node").cast("long"))
 
 
-@query("SELECT e AS elem, l::INT AS lnode, (e // 5) * 6 + e % 5 + CASE l WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 6 ELSE 7 END AS node FROM (SELECT unnest(range(15)) AS e) x, (SELECT unnest(range(4)) AS l) k")
+@fixture("SELECT e AS elem, l::INT AS lnode, (e // 5) * 6 + e % 5 + CASE l WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 6 ELSE 7 END AS node FROM (SELECT unnest(range(15)) AS e) x, (SELECT unnest(range(4)) AS l) k")
 def ring_elements(spark, d):
     return _ring(spark).elem_nodes.select(F.col("elem").cast("long").alias("elem"), F.col("lnode").cast("int").alias("lnode"), F.col("node").cast("long").alias("node"))
 
 
-@query("SELECT i * 6 + d AS dof FROM (SELECT unnest(range(6)) AS i) x, (SELECT unnest(range(6)) AS d) k")
+@fixture("SELECT i * 6 + d AS dof FROM (SELECT unnest(range(6)) AS i) x, (SELECT unnest(range(6)) AS d) k")
 def ring_supports(spark, d):
     return _ring(spark).bcs().select(F.col("dof").cast("long").alias("dof"))
 
@@ -152,33 +152,107 @@ def _cards(spark: SparkSession) -> bdf.BulkData:
     return bdf.read(spark, file_of(spark, spark.createDataFrame(list(enumerate(CARDS)), "at long, line string")))
 
 
-@query("SELECT * FROM (VALUES (0::BIGINT, 5.0::DOUBLE, 6.0::DOUBLE, 7.0::DOUBLE), (1, -1.0, 20.0, 0.4), (2, 0.0, 0.0, 0.0), (3, 1.0, 1.0, 1.0), (4, 1.5, 2.5, 3.5)) t(node, x, y, z)")
+@fixture("SELECT * FROM (VALUES (0::BIGINT, 5.0::DOUBLE, 6.0::DOUBLE, 7.0::DOUBLE), (1, -1.0, 20.0, 0.4), (2, 0.0, 0.0, 0.0), (3, 1.0, 1.0, 1.0), (4, 1.5, 2.5, 3.5)) t(node, x, y, z)")
 def card_nodes(spark, d):
     """Short, long and comma cards; a bulk that begins and ends within the file."""
     return _cards(spark).nodes.withColumn("node", F.col("node").cast("long"))
 
 
-@query("""SELECT * FROM (VALUES (0::BIGINT, 0::INT, 4::BIGINT), (0, 1, 0), (0, 2, 2), (1, 0, 1), (1, 1, 3), (2, 0, 0), (2, 1, 1), (2, 2, 3), (2, 3, 2)) t(elem, lnode, node)""")
+@fixture("""SELECT * FROM (VALUES (0::BIGINT, 0::INT, 4::BIGINT), (0, 1, 0), (0, 2, 2), (1, 0, 1), (1, 1, 3), (2, 0, 0), (2, 1, 1), (2, 2, 3), (2, 3, 2)) t(elem, lnode, node)""")
 def card_elements(spark, d):
     """Elements in the order of their ids, quads in tensor order, fields of 8 and 16."""
     return _cards(spark).elem_nodes.select(F.col("elem").cast("long").alias("elem"), F.col("lnode").cast("int").alias("lnode"), F.col("node").cast("long").alias("node"))
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 0::INT, 0.5::DOUBLE), (1, 1, 0.5), (1, 2, 0.5), (1, 5, 0.5), (2, 3, 2.0), (2, 4, 2.0)) t(node, dof, val)")
+@fixture("SELECT * FROM (VALUES (1::BIGINT, 0::INT, 0.5::DOUBLE), (1, 1, 0.5), (1, 2, 0.5), (1, 5, 0.5), (2, 3, 2.0), (2, 4, 2.0)) t(node, dof, val)")
 def card_constraints(spark, d):
     return _cards(spark).spc.withColumn("node", F.col("node").cast("long"))
 
 
-@query("SELECT * FROM (VALUES (0::INT, 'skin', 'CTRIA3'), (1, 'rib', 'CQUAD4')) t(comp, name, etype)")
+@fixture("SELECT * FROM (VALUES (0::INT, 'skin', 'CTRIA3'), (1, 'rib', 'CQUAD4')) t(comp, name, etype)")
 def card_components(spark, d):
     return _cards(spark).components.withColumn("comp", F.col("comp").cast("int"))
 
 
-@query("SELECT * FROM (VALUES ('PSHELL')) t(keyword)")
+@fixture("SELECT * FROM (VALUES ('PSHELL')) t(keyword)")
 def card_warnings(spark, d):
     return _cards(spark).warnings.select("keyword")
 
 
+# a deck of the tables, written in pieces and read in blocks
+
+DECK = """nodes AS (SELECT s_suppkey, s_nationkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS node FROM supplier),
+lines AS (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY 1, 2),
+sized AS (SELECT l_orderkey, count(*) AS n FROM lines GROUP BY 1 HAVING count(*) BETWEEN 2 AND 4 AND min(l_linenumber) = 1 AND max(l_linenumber) = count(*)),
+elems AS (SELECT l_orderkey, n, row_number() OVER (ORDER BY l_orderkey) - 1 AS elem FROM sized)"""
+KINDS = ((2, "CBAR"), (3, "CTRIA3"), (4, "CQUAD4"))
+
+
+def _deck(spark: SparkSession, d: str) -> bdf.BulkData:
+    """Suppliers as GRID* cards, orders of two to four lines as bars, triangles and quads (quads over two lines), SPC cards for the first nations, and a keyword that the reader does not know for each region."""
+    narrow, wide = (lambda v, n=n: F.lpad(v.cast("string"), n, " ") for n in (8, 16))
+    name = lambda v: F.rpad(F.lit(v), 8, " ")
+    real = lambda v: wide(F.concat(v.cast("string"), F.lit(".5")))
+    s, r = table(spark, d, "supplier"), table(spark, d, "region")
+    li = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("n"))
+    e = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "n"))).alias("ns"))
+    e = e.filter(F.size("ns").between(2, 4) & (F.col("ns")[0]["l_linenumber"] == 1) & (F.element_at("ns", -1)["l_linenumber"] == F.size("ns")))
+    at = lambda i: F.col("ns")[i]["n"] + 1
+    comp = F.col("l_orderkey") % 3 + 1
+    short = lambda kind, n: F.array(F.concat(name(kind), narrow(F.col("l_orderkey") + 1), narrow(comp), *[narrow(at(i)) for i in range(n)]))
+    quad = F.array(F.concat(name("CQUAD4*"), wide(F.col("l_orderkey") + 1), wide(comp), wide(at(0)), wide(at(1))), F.concat(name("*"), wide(at(2)), wide(at(3))))
+    ls = F.when(F.size("ns") == 2, short("CBAR", 2)).when(F.size("ns") == 3, short("CTRIA3", 3)).otherwise(quad)
+    rows = [
+        spark.createDataFrame([(0, i, t) for i, t in enumerate(["SOL 101", "BEGIN BULK"])], "part int, at long, line string"),
+        r.select(F.lit(1).alias("part"), F.col("r_regionkey").cast("long").alias("at"), F.concat(F.rpad(F.lit("$       Shell element data"), 41, " "), "r_name").alias("line")),
+        s.select(F.lit(2).alias("part"), F.col("s_suppkey").alias("at"), F.explode(F.array(
+            F.concat(name("GRID*"), wide(F.col("s_suppkey") + 1), wide(F.lit("")), real(F.col("s_nationkey")), real(F.col("s_suppkey") % 1000)), F.concat(name("*"), wide(F.lit("2.5-1"))))).alias("line")),
+        e.select(F.lit(3).alias("part"), F.col("l_orderkey").alias("at"), F.explode(ls).alias("line")),
+        s.filter("s_nationkey < 3").select(F.lit(4).alias("part"), F.col("s_suppkey").alias("at"), F.concat(name("SPC"), narrow(F.lit(1)), narrow(F.col("s_suppkey") + 1), narrow(F.lit("123").substr(F.lit(1), F.col("s_nationkey") + 1)), narrow(F.lit("0.5"))).alias("line")),
+        r.select(F.lit(5).alias("part"), F.col("r_regionkey").cast("long").alias("at"), F.concat(name("PSHELL"), narrow(F.col("r_regionkey"))).alias("line")),
+        spark.createDataFrame([(6, 0, "ENDDATA")], "part int, at long, line string"),
+    ]
+    whole = rows[0]
+    for x in rows[1:]:
+        whole = whole.unionByName(x)
+    # a card's first line sorts before its continuation
+    path = f"{checkpoint_folder(spark)}/deck-{uuid.uuid4().hex}"
+    sinks.write_lines(whole.withColumn("at", F.col("at") * 2 + F.col("line").startswith("*").cast("int")), path, files=8)
+    return bdf.read(spark, path, parts=True)
+
+
+@query(f"WITH {DECK} SELECT node, s_nationkey + 0.5 AS x, s_suppkey % 1000 + 0.5 AS y, 0.25::DOUBLE AS z FROM nodes")
+def deck_nodes(spark, d):
+    return _deck(spark, d).nodes.select(F.col("node").cast("long").alias("node"), "x", "y", "z")
+
+
+@query(f"WITH {DECK} SELECT elem, (CASE WHEN n = 4 THEN [0, 1, 3, 2][l_linenumber] ELSE l_linenumber - 1 END)::INT AS lnode, node FROM elems JOIN lines USING (l_orderkey) JOIN nodes ON s_suppkey = l_suppkey")
+def deck_elements(spark, d):
+    """Elements of three kinds in the order of their ids, quads in tensor order."""
+    return _deck(spark, d).elem_nodes.select(F.col("elem").cast("long").alias("elem"), F.col("lnode").cast("int").alias("lnode"), F.col("node").cast("long").alias("node"))
+
+
+@query(f"WITH {DECK} SELECT (l_orderkey % 3)::INT AS comp, CASE n WHEN 2 THEN 'CBAR' WHEN 3 THEN 'CTRIA3' ELSE 'CQUAD4' END AS etype, count(*)::BIGINT AS n FROM elems GROUP BY 1, 2")
+def deck_element_kinds(spark, d):
+    return _deck(spark, d).elems.groupBy("comp", "etype").agg(F.count("*").alias("n")).select(F.col("comp").cast("int").alias("comp"), "etype", "n")
+
+
+@query(f"WITH {DECK} SELECT node * 6 + k AS dof FROM nodes, (SELECT unnest(range(3)) AS k) q WHERE s_nationkey < 3 AND k <= s_nationkey")
+def deck_supports(spark, d):
+    return _deck(spark, d).bcs().select(F.col("dof").cast("long").alias("dof"))
+
+
+@query(f"""WITH {DECK}, firsts AS (SELECT l_orderkey % 3 AS comp, min_by(n, l_orderkey) AS n FROM elems GROUP BY 1)
+SELECT r_regionkey::INT AS comp, split_part(r_name, ' ', 1) AS name, CASE n WHEN 2 THEN 'CBAR' WHEN 3 THEN 'CTRIA3' WHEN 4 THEN 'CQUAD4' END AS etype FROM region LEFT JOIN firsts ON r_regionkey = comp""")
+def deck_components(spark, d):
+    return _deck(spark, d).components.select(F.col("comp").cast("int").alias("comp"), "name", "etype")
+
+
+@query("SELECT 'PSHELL' AS keyword, count(*)::BIGINT AS n FROM region")
+def deck_warnings(spark, d):
+    return _deck(spark, d).warnings.groupBy("keyword").agg(F.count("*").alias("n"))
+
+
 @query("SELECT c_custkey AS file_id, (c_custkey % 1000)::DOUBLE AS x, c_nationkey::DOUBLE AS y, 0.5::DOUBLE AS z FROM customer")
 def long_cards(spark, d):
     """GRID* cards of two lines."""
@@ -222,7 +296,7 @@ def _su2(spark: SparkSession) -> su2.Mesh:
     return su2.read(spark, file_of(spark, spark.createDataFrame(list(enumerate(text)), "at long, line string")))
 
 
-@query("SELECT i AS node, (i % 5) + 0.5::DOUBLE AS x, (i // 5) + 0.25::DOUBLE AS y, 0.0::DOUBLE AS z FROM (SELECT unnest(range(20)) AS i) r")
+@fixture("SELECT i AS node, (i % 5) + 0.5::DOUBLE AS x, (i // 5) + 0.25::DOUBLE AS y, 0.0::DOUBLE AS z FROM (SELECT unnest(range(20)) AS i) r")
 def su2_nodes(spark, d):
     return _su2(spark).nodes
 
@@ -231,23 +305,23 @@ SU2_ELEMS = """SELECT e AS elem, 'tri' AS etype, l AS lnode, e // 2 + CASE WHEN
 UNION ALL SELECT e + 8, 'quad', l, e // 4 * 5 + e % 4 + [0, 1, 6, 5][l + 1] FROM (SELECT unnest(range(8)) AS e) x, (SELECT unnest(range(4)) AS l) k"""
 
 
-@query(f"SELECT elem::BIGINT AS elem, etype, lnode::INT AS lnode, node::BIGINT AS node FROM ({SU2_ELEMS}) e")
+@fixture(f"SELECT elem::BIGINT AS elem, etype, lnode::INT AS lnode, node::BIGINT AS node FROM ({SU2_ELEMS}) e")
 def su2_elements(spark, d):
     """Triangles come before quads."""
     return _su2(spark).elements.select("elem", "etype", F.col("lnode").cast("int").alias("lnode"), "node")
 
 
-@query("SELECT 'low' AS tag, unnest(range(5)) AS node UNION ALL SELECT 'left', unnest(range(4)) * 5")
+@fixture("SELECT 'low' AS tag, unnest(range(5)) AS node UNION ALL SELECT 'left', unnest(range(4)) * 5")
 def su2_boundary_nodes(spark, d):
     return _su2(spark).boundary_nodes()
 
 
-@query("SELECT * FROM (VALUES ('element', 'tri', 8::BIGINT), ('element', 'quad', 8), ('boundary', 'low', 4), ('boundary', 'left', 3)) t(kind, name, n)")
+@fixture("SELECT * FROM (VALUES ('element', 'tri', 8::BIGINT), ('element', 'quad', 8), ('boundary', 'low', 4), ('boundary', 'left', 3)) t(kind, name, n)")
 def su2_summary(spark, d):
     return _su2(spark).summary()
 
 
-@query(f"""WITH e AS ({SU2_ELEMS}), sides AS (SELECT a.elem, a.node AS p, b.node AS q FROM e a JOIN e b ON a.elem = b.elem AND b.lnode = (a.lnode + 1) % (CASE a.etype WHEN 'tri' THEN 3 ELSE 4 END)),
+@fixture(f"""WITH e AS ({SU2_ELEMS}), sides AS (SELECT a.elem, a.node AS p, b.node AS q FROM e a JOIN e b ON a.elem = b.elem AND b.lnode = (a.lnode + 1) % (CASE a.etype WHEN 'tri' THEN 3 ELSE 4 END)),
 b AS (SELECT 'low' AS tag, i AS bface, i AS p, i + 1 AS q FROM (SELECT unnest(range(4)) AS i) x UNION ALL SELECT 'left', j, 5 * j, 5 * j + 5 FROM (SELECT unnest(range(3)) AS j) y)
 SELECT tag, bface::BIGINT AS bface, (SELECT min(elem) FROM sides s WHERE least(s.p, s.q) = least(b.p, b.q) AND greatest(s.p, s.q) = greatest(b.p, b.q))::BIGINT AS elem FROM b""")
 def su2_boundary_match(spark, d):
@@ -257,7 +331,7 @@ def su2_boundary_match(spark, d):
 # writers
 
 
-@query(f"""SELECT part::INT AS part, a::BIGINT AS "at", line FROM (
+@fixture(f"""SELECT part::INT AS part, a::BIGINT AS "at", line FROM (
 SELECT 0 AS part, i AS a, ['# vtk DataFile Version 2.0', 'mesh', 'ASCII', 'DATASET UNSTRUCTURED_GRID', 'POINTS {(NX + 1) * (NY + 1)} double'][i + 1] AS line FROM (SELECT unnest(range(5)) AS i) h
 UNION ALL SELECT 1, node, ix || '.0 ' || iy || '.0 0.0' FROM ({NODES}) n
 UNION ALL SELECT 2, 0, 'CELLS {NX * NY} {5 * NX * NY}' UNION ALL SELECT 3, elem, '4 ' || first || ' ' || (first + 1) || ' ' || (first + {NX + 2}) || ' ' || (first + {NX + 1}) FROM ({ELEMS}) e
@@ -271,7 +345,7 @@ def vtk_mesh_lines(spark, d):
     return sinks.vtk_lines(nodes, generators.plate_elements(spark, NX, NY), moves)
 
 
-@query("""SELECT part::INT AS part, a::BIGINT AS "at", line FROM (
+@fixture("""SELECT part::INT AS part, a::BIGINT AS "at", line FROM (
 SELECT 0 AS part, i AS a, ['# vtk DataFile Version 2.0', 'grid', 'ASCII', 'DATASET STRUCTURED_GRID', 'DIMENSIONS 9 6 1', 'POINTS 54 double'][i + 1] AS line FROM (SELECT unnest(range(6)) AS i) h
 UNION ALL SELECT 1, i, (i % 9) || '.0 ' || (i // 9) || '.0 0.0' FROM (SELECT unnest(range(54)) AS i) g) x""")
 def vtk_grid_lines(spark, d):
@@ -547,7 +621,7 @@ def _field(model: Assembler, **of: F.Column) -> DataFrame:
     return each.select((F.col("node") * model.dofs + F.col("p.d")).alias("dof"), F.col("p.val").alias("val"))
 
 
-@query("SELECT 'stretch' AS field, round(0.5 * 70e9 * 0.005 / (1 - 0.09) * 2, 1) AS energy UNION ALL SELECT 'shear', round(0.5 * 70e9 / 2.6 * 0.005 * 2, 1) UNION ALL SELECT 'turn', 0.0")
+@fixture("SELECT 'stretch' AS field, round(0.5 * 70e9 * 0.005 / (1 - 0.09) * 2, 1) AS energy UNION ALL SELECT 'shear', round(0.5 * 70e9 / 2.6 * 0.005 * 2, 1) UNION ALL SELECT 'turn', 0.0")
 def plate_energies(spark, d):
     """Energies of fields that the element carries exactly, on a plate of 2 by 1: in-plane stretch and shear, and a rigid turn."""
     m = pipelines.plate(spark, 8, 4)
@@ -556,7 +630,7 @@ def plate_energies(spark, d):
     return spark.createDataFrame([(n, round(e, 1) + 0.0) for n, e in got], "field string, energy double")
 
 
-@query(f"SELECT node * 6 + d AS dof, 0.0::DOUBLE AS val FROM ({NODES}) n, (SELECT unnest(range(6)) AS d) k")
+@fixture(f"SELECT node * 6 + d AS dof, 0.0::DOUBLE AS val FROM ({NODES}) n, (SELECT unnest(range(6)) AS d) k")
 def plate_rigid_forces(spark, d):
     """The stiffness times a rigid turn about x and a shift: no forces (as a share of the modulus times the thickness)."""
     m = pipelines.plate(spark, NX, NY)
@@ -564,7 +638,7 @@ def plate_rigid_forces(spark, d):
     return forces.select("dof", (F.round(F.col("val") / (70e9 * 0.005), 6) + 0.0).alias("val"))
 
 
-@query("SELECT 'stretch' AS field, round(0.5 * 70e9 * 0.005 / (1 - 0.09) * 1.5, 1) AS energy UNION ALL SELECT 'turn', 0.0")
+@fixture("SELECT 'stretch' AS field, round(0.5 * 70e9 * 0.005 / (1 - 0.09) * 1.5, 1) AS energy UNION ALL SELECT 'turn', 0.0")
 def triangle_energies(spark, d):
     """Six-node triangles on a strip of 3 by 0.5, in two elements."""
     corners = [((0.0, 0.0), (3.0, 0.0), (0.0, 0.5)), ((3.0, 0.0), (3.0, 0.5), (0.0, 0.5))]

@@ -34,6 +34,21 @@ def query(sql: str | None = None):
     return add
 
 
+#: Of generated meshes and small files, with rows known beforehand: for tests, no queries over the tables.
+FIXTURES: dict[str, Query] = {}
+FIXTURE_SQL: dict[str, str] = {}
+
+
+def fixture(sql: str | None = None):
+    def add(f: Query) -> Query:
+        FIXTURES[f.__name__] = f
+        if sql:
+            FIXTURE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -437,14 +452,14 @@ def rigid_transfer(spark, d):
     return transfer.displacements(transfer.transfer_table(s, a, 8, 20.0), s, a, s.select("id", "x", "y", "z"))
 
 
-@query(None)
+@fixture(None)
 def plate_static(spark, d):
     """An 8 x 8 plate under a sine load, solved directly."""
     m = pipelines.plate(spark, 8, 8)
     return m.solve(generators.plate_loads(m.nodes, 1.0, 2.0, 1.0, 8, 8)).withColumn("val", F.round("val", 12))
 
 
-@query(None)
+@fixture(None)
 def plate_vtk(spark, d):
     m = pipelines.plate(spark, 8, 8)
     return sinks.vtk_lines(m.nodes, m.elem_nodes)

@@ -1,8 +1,9 @@
 """Bulk data files (GRID, element and SPC cards) as tables.
 
-A file is read whole, as one row, because its lines have an order that cards
-depend on; lines become rows with their number. A model is one file; a folder of
-several is refused, as their lines would run into each other.
+Cards depend on the order of lines, so lines become rows with their number: files are read in blocks,
+and a line's number is its place in its block after all lines of the blocks before.
+A model is one file, or the ordered pieces of one; any other folder of several is
+refused, as their lines would run into each other.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.arrays import nastran_real
 from tessera.functions.prefix import dense_index
+from tessera.session import cut
 
 # Element keywords in the order they are tried (the first that a card starts with), least and most nodes.
 ELEMENTS = [
@@ -26,6 +28,8 @@ NODE_ORDER = {
     "CHEXA": [0, 1, 3, 2, 4, 5, 7, 6],
 }
 LINE = 81
+#: Lines that are numbered together.
+CHUNK = 50_000
 
 
 @dataclass
@@ -46,14 +50,23 @@ class BulkDataError(ValueError):
     pass
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, line): at most 81 characters of each line of one file; raises if the path holds several."""
-    files = spark.read.text(path, wholetext=True)
-    if (n := files.count()) > 1:
+def lines(spark: SparkSession, path: str, parts: bool = False) -> DataFrame:
+    """(line_no, line): at most 81 characters of each line of one file, numbered from 0; raises if the path holds several.
+
+    parts: the path is a folder of ordered pieces of one file, as `sinks.write_lines` leaves
+    them, which follow each other by name. Files are read in Spark's blocks; a line's
+    number is its place in its block after the lines of all blocks before, so no task sees more than a block.
+    """
+    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"), F.substring("value", 1, LINE).alias("line"))
+    text = cut(text)  # ids are those of one reading
+    blocks = text.groupBy("file", "at").agg(F.count("*").alias("n"))
+    if not parts and (n := len(spark.read.text(path).inputFiles())) > 1:
         raise BulkDataError(f"{path} holds {n} files; read them one by one")
-    text = files.select(F.regexp_replace("value", r"\r\n?", "\n").alias("value"))
-    text = text.select(F.split(F.regexp_replace("value", r"\n$", ""), "\n").alias("ls"))
-    return text.select(F.posexplode("ls").alias("line_no", "line")).select("line_no", F.substring("line", 1, LINE).alias("line"))
+    order = Window.orderBy("file", "at").rowsBetween(Window.unboundedPreceding, 0)  # a row for each block
+    blocks = blocks.select(F.col("file").alias("_f"), F.col("at").alias("_a"), (F.sum("n").over(order) - F.col("n")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("file", "at").orderBy("id")) - 1
+    numbered = text.withColumn("_in", inside).join(F.broadcast(blocks), (F.col("file") == F.col("_f")) & (F.col("at") == F.col("_a")))
+    return numbered.select((F.col("before") + F.col("_in")).alias("line_no"), "line")
 
 
 def bulk(all_lines: DataFrame) -> DataFrame:
@@ -74,9 +87,14 @@ def cards(body: DataFrame) -> DataFrame:
 
     A continuation starts with `*` or a space. A card has a few lines, so its list is bounded.
     """
-    rows = body.filter(~F.col("line").startswith("$"))
+    rows = body.filter(~F.col("line").startswith("$")).withColumn("chunk", F.floor(F.col("line_no") / CHUNK))
     head = ~(F.col("line").startswith("*") | F.col("line").startswith(" "))
-    numbered = rows.withColumn("card", F.sum(head.cast("int")).over(Window.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)))
+    # cards before each chunk of lines, so that continuations at its beginning go on with the last of them
+    starts = rows.groupBy(F.col("chunk").alias("_c")).agg(F.sum(head.cast("int")).alias("n"))
+    starts = starts.withColumn("before", F.sum("n").over(Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
+    inside = Window.partitionBy("chunk").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = rows.withColumn("_in", F.sum(head.cast("int")).over(inside)).join(F.broadcast(starts), F.col("chunk") == F.col("_c"))  # a row for each chunk
+    numbered = numbered.select("line_no", "line", (F.col("before") + F.col("_in")).alias("card"))
     packed = numbered.groupBy("card").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("ls"))
     packed = packed.filter("card > 0")
     return packed.select(F.col("ls")[0]["line_no"].alias("line_no"), F.col("ls")[0]["line"].alias("head"), F.transform(F.slice("ls", 2, F.size("ls")), lambda x: x["line"]).alias("more"))
@@ -130,16 +148,14 @@ def _spc_cards(all_cards: DataFrame) -> DataFrame:
     return digits.filter(F.col("d").rlike("^[1-8]$")).select("file_node", (F.col("d").cast("int") - 1).alias("dof"), "val")
 
 
-def read(spark: SparkSession, path: str) -> BulkData:
+def read(spark: SparkSession, path: str, parts: bool = False) -> BulkData:
     """Tables of a bulk data file; ids are ranks of the ids in the file, from 0.
 
     Raises on an empty line in the bulk, ids that are not positive, too few nodes,
     and nodes that no GRID card has. Unknown keywords are listed in `warnings`.
     Element ids that repeat are elements of their own, in the order of the file.
     """
-    from tessera.session import cut
-
-    body = cut(bulk(lines(spark, path)))
+    body = cut(bulk(lines(spark, path, parts)))
     if blank := body.filter(F.col("line") == "").agg(F.min("line_no")).first()[0]:
         raise BulkDataError(f"line {blank + 1} is empty")
     parsed = cut(cards(body))

@@ -48,9 +48,9 @@ def grid_lines(points: DataFrame, nnx: int, nny: int, moves: DataFrame | None =
     return out
 
 
-def write_lines(lines: DataFrame, path: str) -> None:
-    """One text file in (part, at) order; a text format of one file is written by one task."""
-    lines.repartitionByRange(1, "part", "at").sortWithinPartitions("part", "at").select("line").write.mode("overwrite").text(path)
+def write_lines(lines: DataFrame, path: str, files: int = 1) -> None:
+    """Text files in (part, at) order: one, by one task, or so many pieces that follow each other by name, a task each."""
+    lines.repartitionByRange(files, "part", "at").sortWithinPartitions("part", "at").select("line").write.mode("overwrite").text(path)
 
 
 def csv_vector(vec: DataFrame, key: str = "dof", val: str = "val") -> DataFrame:

@@ -45,6 +45,17 @@ def test_query_matches_sql(spark, duck, name):
     assert rows(got) == rows(want)
 
 
+@pytest.mark.parametrize("name", sorted(plans.FIXTURES))
+def test_fixture_has_its_known_rows(spark, duck, name):
+    got = plans.FIXTURES[name](spark, str(SF)).toPandas()
+    if name in plans.FIXTURE_SQL:
+        want = duck.execute(plans.FIXTURE_SQL[name]).fetchdf()
+        assert sorted(got.columns) == sorted(want.columns)
+        assert rows(got) == rows(want)
+    else:
+        assert len(got)
+
+
 @pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.SQL)))
 def test_query_without_sql_gives_rows(spark, name):
     if not SF.exists():
