@@ -253,8 +253,8 @@ def _chains(spark, d) -> DataFrame:
 
 @query(f"SELECT DISTINCT lo, hi FROM ({EDGES}) e")
 def unique_edges(spark, d):
-    numbered = topology._numbered(_chains(spark, d), "edge")
-    return numbered.groupBy("edge").agg(F.first("key").alias("v")).select(F.col("v")[0].alias("lo"), F.col("v")[1].alias("hi"))
+    """Nothing is numbered for it: the sorted pairs themselves are distinct."""
+    return _chains(spark, d).select(F.array_sort("verts").alias("key")).distinct().select(F.col("key")[0].alias("lo"), F.col("key")[1].alias("hi"))
 
 
 @query(f"SELECT elem, part, dense_rank() OVER (ORDER BY f) - 1 AS edge FROM (SELECT elem, part, min(elem * 16 + part) OVER (PARTITION BY lo, hi) AS f FROM ({EDGES}) e) x")
