@@ -12,11 +12,11 @@ from math import cos, radians, sin
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import arrays, shell
-from tessera.operators import elimination, ordering, solvers, sparsity, topology, transfer, vectors
+from tessera.operators import elimination, ordering, solvers, sparsity, ties, topology, transfer, vectors
 from tessera.plans import pipelines
 from tessera.plans.assembler import Assembler, triangle_kernel, uniform_material
 from tessera.plans.queries import A_POINTS, GRAPH, NODE_VALUES, PATTERN, POINTS, _clouds, fixture, node_values, pattern, query, small_graph, table
@@ -534,6 +534,34 @@ def minimum_degree_fill(spark, d):
     return perm.agg(F.countDistinct("new").alias("n"), F.min("new").alias("lowest"), F.max("new").alias("highest")).crossJoin(both.select((F.col("own") <= F.col("n")).alias("less_fill")))
 
 
+FOLDED = f"SELECT s_suppkey AS dof, min(s_suppkey) OVER (PARTITION BY s_nationkey) AS to_dof FROM supplier WHERE s_suppkey IN (SELECT r FROM ({GRAPH}) g)"
+
+
+def _folds(spark, d) -> DataFrame:
+    """Each supplier of the graph tied to the one before it of its nation, so that ties are chains of all lengths."""
+    s = table(spark, d, "supplier").join(small_graph(spark, d).select(F.col("row").alias("s_suppkey")).distinct(), "s_suppkey", "left_semi")
+    before = F.lag("s_suppkey").over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))
+    return s.select(F.col("s_suppkey").alias("dof"), before.alias("master"), F.lit(1.0).alias("coef")).dropna()
+
+
+@query(f"""WITH f AS ({FOLDED}), g AS ({GRAPH}), k AS (SELECT r, c, CASE WHEN r = c THEN (SELECT count(*) FROM g h WHERE h.r = g.r) ELSE -1 END AS v FROM g)
+SELECT a.to_dof AS row, b.to_dof AS col, sum(v)::DOUBLE AS val FROM k JOIN f a ON a.dof = k.r JOIN f b ON b.dof = k.c GROUP BY 1, 2""")
+def fold_by_nation(spark, d):
+    """The graph's matrix with all suppliers of a nation moving as one."""
+    mat, _, _ = _system(spark, d)
+    return ties.condensed(mat, ties.resolved(_folds(spark, d)))
+
+
+@query(f"WITH f AS ({FOLDED}) SELECT dof, (to_dof % 13)::DOUBLE AS val FROM f")
+def solve_folded(spark, d):
+    """The condensed system, for a load that moves each nation by a known whole number, and all suppliers' moves."""
+    mat, _, _ = _system(spark, d)
+    t = cut(ties.resolved(_folds(spark, d)))
+    k = cut(ties.condensed(mat, t))
+    u = k.select(F.col("row").alias("dof")).distinct().withColumn("val", (F.col("dof") % 13).cast("double"))
+    return _answer(ties.expanded(solvers.direct(k, cut(sparsity.spmv(k, u))), t))
+
+
 @query(ANSWER)
 def solve_triangular(spark, d):
     """The lower triangle of the same matrix."""
