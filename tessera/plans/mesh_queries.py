@@ -8,7 +8,7 @@ solvers are known beforehand: the right side is the matrix times whole numbers.
 from __future__ import annotations
 
 import uuid
-from math import cos, radians, sin
+from math import cos, isqrt, radians, sin
 
 import numpy as np
 import pandas as pd
@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import arrays, shell
-from tessera.operators import elimination, ordering, solvers, sparsity, ties, topology, transfer, vectors
+from tessera.functions.prefix import dense_index
+from tessera.operators import dissection, elimination, ordering, solvers, sparsity, ties, topology, transfer, vectors
 from tessera.plans import pipelines
 from tessera.plans.assembler import Assembler, triangle_kernel, uniform_material
 from tessera.plans.queries import A_POINTS, GRAPH, NODE_VALUES, PATTERN, POINTS, _clouds, fixture, node_values, pattern, query, small_graph, table
@@ -537,6 +538,48 @@ def minimum_degree_fill(spark, d):
 FOLDED = f"SELECT s_suppkey AS dof, min(s_suppkey) OVER (PARTITION BY s_nationkey) AS to_dof FROM supplier WHERE s_suppkey IN (SELECT r FROM ({GRAPH}) g)"
 
 
+#: Suppliers in rows of a near-square grid by rank, tied to the next one in the row and to the one below.
+GRID = """WITH s AS (SELECT s_suppkey AS node, row_number() OVER (ORDER BY s_suppkey) - 1 AS k, ceil(sqrt(count(*) OVER ()))::BIGINT AS w FROM supplier),
+    g AS (SELECT node, k // w AS y, k % w AS x FROM s)"""
+
+
+def _grid(spark, d) -> DataFrame:
+    """(row, col): the ties of the supplier grid, each once."""
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("node"))
+    ranked = cut(dense_index(s, "node", "k").withColumn("w", F.lit(isqrt(max(s.count() - 1, 0)) + 1)))
+    ties = ranked.select("node", F.explode(F.array(F.when(F.col("k") % F.col("w") < F.col("w") - 1, F.col("k") + 1), F.col("k") + F.col("w"))).alias("to"))
+    return ties.join(ranked.select(F.col("node").alias("col"), F.col("k").alias("to")), "to").select(F.col("node").alias("row"), "col")
+
+
+# the start is the last of the farthest nodes from the first; distances on the grid are sums of steps along rows and columns
+@query(f"""{GRID}, f AS (SELECT x AS fx, y AS fy FROM g ORDER BY x + y DESC, node LIMIT 1),
+    l AS (SELECT node, x, y, abs(x - fx) + abs(y - fy) AS level FROM g, f),
+    n AS (SELECT level, count(*) AS n, sum(count(*)) OVER (ORDER BY level) AS upto, sum(count(*)) OVER () AS total FROM l GROUP BY level),
+    b AS (SELECT level AS cut_at FROM n WHERE upto > n AND upto < total ORDER BY n / least(upto - n, total - upto), level LIMIT 1)
+    SELECT l.node, level FROM l, b WHERE level = cut_at AND EXISTS (SELECT 1 FROM l AS o WHERE o.level = cut_at + 1 AND abs(o.x - l.x) + abs(o.y - l.y) = 1)""")
+def dissection_first_cut(spark, d):
+    edges = cut(dissection.both_ways(_grid(spark, d)))
+    found = dissection.separated(edges, edges.select(F.lit(1).cast("long").alias("part"), F.col("row").alias("node")).distinct())
+    return found.filter("separates").select("node", F.col("level").cast("long").alias("level"))
+
+
+@query(f"""{GRID} SELECT count(*) AS n_ties, 0::BIGINT AS n_across, 0::BIGINT AS n_too_early,
+    (SELECT count(*) FROM supplier) AS n_places, 0::BIGINT AS least, (SELECT count(*) - 1 FROM supplier) AS greatest
+    FROM g AS a JOIN g AS b ON (b.x = a.x + 1 AND b.y = a.y) OR (b.x = a.x AND b.y = a.y + 1)""")
+def dissection_order(spark, d):
+    """Ties across separators, and those whose shallower end comes first: none; the places are all numbers once."""
+    grid = cut(_grid(spark, d))
+    stands = cut(dissection.tree(grid, 24))
+    order = cut(dissection.nested_dissection(grid, 24, stands))
+    at = cut(stands.join(order, F.col("node") == F.col("old")).select("node", "path", "new"))
+    a, b = (at.select(F.col("node").alias(end), F.col("path").alias(f"{end}_path"), F.col("new").alias(f"{end}_new")) for end in ("row", "col"))
+    ties = grid.join(a, "row").join(b, "col").withColumn("depth", F.least(F.size("row_path"), F.size("col_path")))
+    across = F.slice("row_path", F.lit(1), F.col("depth")) != F.slice("col_path", F.lit(1), F.col("depth"))
+    early = (F.size("row_path") - F.size("col_path")) * (F.col("row_new") - F.col("col_new")) > 0
+    places = order.agg(F.countDistinct("new").alias("n_places"), F.min("new").alias("least"), F.max("new").alias("greatest"))
+    return ties.agg(F.count("*").alias("n_ties"), F.count_if(across).alias("n_across"), F.count_if(early).alias("n_too_early")).crossJoin(places)  # a row by a row
+
+
 def _folds(spark, d) -> DataFrame:
     """Each supplier of the graph tied to the one before it of its nation, so that ties are chains of all lengths."""
     s = table(spark, d, "supplier").join(small_graph(spark, d).select(F.col("row").alias("s_suppkey")).distinct(), "s_suppkey", "left_semi")
