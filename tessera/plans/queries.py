@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import arrays
 from tessera.functions.prefix import dense_index
-from tessera.operators import ordering, sparsity, topology, transfer, vectors
+from tessera.operators import kdtree, ordering, sparsity, topology, transfer, vectors
 from tessera.plans import pipelines
 from tessera.sources import bdf, generators, sinks
 from tessera.streaming.scatter import scatter_add_stream
@@ -381,6 +381,30 @@ def knn_topk(spark, d):
     return transfer.knn(*_clouds(spark, d), 8).withColumn("d2", F.round("d2", 9))
 
 
+# nine tenths of both clouds pulled into less than a hundredth of their box
+def _squeezed(sql: str) -> str:
+    return f"SELECT id, {', '.join(f'CASE WHEN id % 10 <> 0 THEN {c} * 0.2 ELSE {c} END AS {c}' for c in 'xyz')} FROM ({sql}) AS p"
+
+
+def _clustered(spark, d) -> tuple[DataFrame, DataFrame]:
+    squeeze = lambda p: p.select("id", *[F.when(F.col("id") % 10 != 0, F.col(c) * 0.2).otherwise(F.col(c)).alias(c) for c in "xyz"])
+    a, s = _clouds(spark, d)
+    return squeeze(a), squeeze(s)
+
+
+@query(f"SELECT a, k::INT AS k, s, round(d2, 9) AS d2 FROM ({KNN.replace(A_POINTS, _squeezed(A_POINTS)).replace(POINTS, _squeezed(POINTS))}) q")
+def knn_clustered(spark, d):
+    return kdtree.knn(*_clustered(spark, d), 8).withColumn("d2", F.round("d2", 9))
+
+
+@query("SELECT count(*) AS n, 0::BIGINT AS n_over FROM embeddings")
+def kdtree_leaves(spark, d):
+    """Points in leaves, and points in leaves over the bound: none."""
+    a, s = _clustered(spark, d)
+    leaves = kdtree.grown(a, s, 8, 64)[0].filter("is_s").groupBy("node").agg(F.count("*").alias("n"))
+    return leaves.agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("n") > 64, F.col("n"))), F.lit(0).cast("long")).alias("n_over"))
+
+
 @query(f"SELECT a, s, round(exp(-20 * d2) / sum(exp(-20 * d2)) OVER (PARTITION BY a), 6) AS w FROM ({KNN}) q")
 def gauss_weights(spark, d):
     a, s = _clouds(spark, d)
