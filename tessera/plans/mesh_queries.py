@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import arrays, shell
 from tessera.functions.prefix import dense_index
-from tessera.operators import dissection, elimination, ordering, solvers, sparsity, ties, topology, transfer, vectors
+from tessera.operators import dissection, elimination, ordering, partition, solvers, sparsity, ties, topology, transfer, vectors
 from tessera.plans import pipelines
 from tessera.plans.assembler import Assembler, triangle_kernel, uniform_material
 from tessera.plans.queries import A_POINTS, GRAPH, NODE_VALUES, PATTERN, POINTS, _clouds, fixture, node_values, pattern, query, small_graph, table
@@ -580,6 +580,29 @@ def dissection_order(spark, d):
     return ties.agg(F.count("*").alias("n_ties"), F.count_if(across).alias("n_across"), F.count_if(early).alias("n_too_early")).crossJoin(places)  # a row by a row
 
 
+@query("SELECT count(*) AS n, least(4, count(*)) AS n_parts, 0::BIGINT AS n_over, 0::BIGINT AS n_twice FROM supplier")
+def partition_balance(spark, d):
+    """Nodes of the supplier grid, parts, nodes of parts over the slack (and one node), and nodes told twice: none."""
+    found = partition.partition(_grid(spark, d), 4)
+    sizes = found.groupBy("part").agg(F.count("*").alias("n"), F.countDistinct("node").alias("distinct"))
+    total = F.sum("n").over(Window.partitionBy())  # a row for each part
+    over = F.col("n") > F.col("total") / 4 * (1 + partition.SLACK) + 1
+    sizes = sizes.withColumn("total", total)
+    return sizes.agg(F.sum("n").alias("n"), F.count("*").alias("n_parts"), F.sum(F.when(over, F.col("n")).otherwise(0)).alias("n_over"), F.sum(F.col("n") - F.col("distinct")).alias("n_twice"))
+
+
+# the parts are the nations modulo four; a ghost lies one or two steps along rows and columns from its part
+@query(f"""{GRID}, p AS (SELECT node, x, y, s_nationkey % 4 AS part FROM g JOIN supplier ON s_suppkey = node),
+    n AS (SELECT a.part, b.node, b.part AS owner, min(abs(a.x - b.x) + abs(a.y - b.y)) AS layer FROM p AS a JOIN p AS b ON abs(a.x - b.x) + abs(a.y - b.y) <= 2 GROUP BY ALL)
+    SELECT n.part::INT AS part, n.node, n.owner::INT AS owner, n.layer::INT AS layer, round(s_acctbal * 100)::BIGINT AS val FROM n JOIN supplier ON s_suppkey = n.node WHERE layer > 0""")
+def halo_exchange(spark, d):
+    """The values that each part receives, two layers deep, and who sends them."""
+    parts = table(spark, d, "supplier").select(F.col("s_suppkey").alias("node"), (F.col("s_nationkey") % 4).cast("int").alias("part"))
+    sent = cut(partition.ghosts(_grid(spark, d), parts, 2))
+    values = node_values(spark, d).select(F.col("dof").alias("node"), "val")
+    return sent.join(partition.exchanged(values, parts, sent), ["part", "node"]).select("part", "node", "owner", "layer", "val")
+
+
 def _folds(spark, d) -> DataFrame:
     """Each supplier of the graph tied to the one before it of its nation, so that ties are chains of all lengths."""
     s = table(spark, d, "supplier").join(small_graph(spark, d).select(F.col("row").alias("s_suppkey")).distinct(), "s_suppkey", "left_semi")
