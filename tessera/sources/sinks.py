@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # VTK wants quads around their edge, not in tensor order.
 QUAD_CYCLE = (0, 1, 3, 2)
@@ -64,9 +67,15 @@ def read_csv_vector(spark, path: str) -> DataFrame:
     return parts.select(F.col("dof").cast("long").alias("dof"), F.col("v").cast("double").alias("val"))
 
 
+@F.pandas_udf(StringType())
+def _e4(val: pd.Series) -> pd.Series:
+    """C's '%.4e' (ties of the exact binary value go to even); format_string rounds the shortest decimal text half up."""
+    return pd.Series(np.char.mod("%.4e", val.to_numpy(dtype="float64")).astype(object), index=val.index)
+
+
 def coo_table(mat: DataFrame, other: DataFrame | None = None) -> DataFrame:
     """Entries with '%.4e' text; beside another matrix also its values and the relative error."""
-    show = lambda c: F.format_string("%.4e", F.col(c))
+    show = lambda c: F.when(F.col(c).isNotNull(), _e4(F.col(c).cast("double")))
     if other is None:
         return mat.select("row", "col", show("val").alias("value"))
     both = mat.select("row", "col", F.col("val").alias("a")).join(other.select("row", "col", F.col("val").alias("b")), ["row", "col"], "full").fillna(0.0, ["a", "b"])
