@@ -53,3 +53,10 @@ def test_a_long_chain_is_solved_in_the_rounds_of_its_blocks(spark, monkeypatch):
     assert len(written) < 20  # a chain of 129 rows
     small = solvers.triangular(mat, lower=True, unit=False, block=300)(b)
     assert small.filter("abs(val - 1) < 1e-9").count() == n
+
+
+def test_factored_takes_systems_over_the_dense_limit(spark):
+    a = np.array([[3.0, 2, 0, 4], [2, 6, 6, 0], [0, 6, 11, 0], [4, 0, 0, 18]])
+    b = spark.createDataFrame([(k, v) for k, v in enumerate([-1.0, -2.0, 3.0, 4.0])], "dof long, val double")
+    got = [r.val for r in solvers.factored(frame(spark, a), b, limit=3).orderBy("dof").collect()]
+    assert np.allclose(got, np.linalg.solve(a, [-1, -2, 3, 4]))
