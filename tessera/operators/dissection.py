@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from tessera.session import cut
 
 #: Parts of no more nodes are not cut again.
 LEAF = 64
+#: Edges that one task walks along, about.
+BLOCK_EDGES = 400_000
 
 
 def both_ways(pat: DataFrame) -> DataFrame:
@@ -22,23 +25,78 @@ def both_ways(pat: DataFrame) -> DataFrame:
     return off.union(off.select("col", "row")).distinct()
 
 
+def _walked(links: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+    """Levels of a block's nodes after the `fresh` rows among (node, part, level), and those that they give to nodes of other blocks (not `own`)."""
+    ids = np.unique(np.concatenate((links["row"], rows["node"])))
+    level, part = np.full(len(ids), np.iinfo("int32").max, dtype="int64"), np.zeros(len(ids), dtype="int64")
+    at = np.searchsorted(ids, rows["node"])
+    np.minimum.at(level, at, rows["level"].to_numpy("int64"))
+    part[at] = rows["part"]
+    links = links.sort_values("row", kind="stable")
+    here = (links["to_block"] == links["block"]).to_numpy()
+    inner = links[here]
+    to = np.searchsorted(ids, inner["col"])
+    first = np.searchsorted(inner["row"], ids)
+    n = np.searchsorted(inner["row"], ids, side="right") - first
+    seeds = at[rows["fresh"].to_numpy()]
+    seeds = seeds[np.argsort(level[seeds], kind="stable")]
+    heights, met, changed, front, now = level[seeds].copy(), 0, [], seeds[:0], 0
+    while len(front) or met < len(seeds):
+        now = now if len(front) else int(heights[met])
+        upto = int(np.searchsorted(heights, now, side="right"))
+        front = np.unique(np.concatenate((front, seeds[met:upto][level[seeds[met:upto]] == now])))
+        met = upto
+        changed.append(front)
+        counts = n[front]
+        near = to[np.repeat(first[front] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())]
+        near, parts = near[level[near] > now + 1], np.repeat(part[front], counts)[level[near] > now + 1]
+        level[near], part[near] = now + 1, parts
+        front, now = np.unique(near), now + 1
+    known = np.flatnonzero(level < np.iinfo("int32").max)
+    block = int(rows["block"].iloc[0])
+    own = pd.DataFrame({"block": block, "node": ids[known], "part": part[known], "level": level[known], "own": True})
+    moved = np.zeros(len(ids), dtype=bool)
+    moved[np.concatenate(changed)] = True
+    outer = links[~here]
+    end = np.searchsorted(ids, outer["row"])
+    sent = pd.DataFrame({"block": outer["to_block"], "node": outer["col"], "part": part[end], "level": level[end] + 1, "own": False})[moved[end]]
+    return pd.concat((own, sent))
+
+
 def sweep(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(part, node, level): distances from the starts (part, node) within their parts, all parts at once.
 
-    `edges` go both ways and join only nodes of one part. A neighbour of a level is in
-    that level, the one before or the next, so a round looks at two fronts and not at
-    all that was seen; the rounds are the levels of the deepest part.
+    `edges` go both ways and join only nodes of one part. Ranges of nodes with about
+    BLOCK_EDGES edges are walked inside a task as far as they reach, and tell other ranges what
+    they give to them until nothing gets nearer: the rounds are the borders of ranges on a
+    shortest path and not its edges.
     """
-    before = None
-    fronts = [cut(starts.select("part", "node", F.lit(0).alias("level")))]
+    blocks = edges.count() // BLOCK_EDGES + 1
+    links = edges.select("row", "col")
+    links = links.repartitionByRange(blocks, "row").withColumn("block", F.spark_partition_id().cast("long")) if blocks > 1 else links.withColumn("block", F.lit(0).cast("long"))
+    links = cut(links)
+    place = cut(links.select("row", "block").distinct())
+    if blocks > 1:
+        links = cut(links.join(place.select(F.col("row").alias("col"), F.col("block").alias("to_block")), "col").select("row", "col", "block", "to_block"))
+    else:
+        links = links.withColumn("to_block", F.col("block"))
+    fresh = starts.select("part", F.col("node").alias("row")).join(place, "row", "left")
+    fresh = cut(fresh.select(F.coalesce("block", F.lit(0)).cast("long").alias("block"), F.col("row").alias("node"), F.col("part").cast("long").alias("part"), F.lit(0).cast("long").alias("level")))
+    known = None
     while True:
-        new = fronts[-1].join(edges, F.col("node") == F.col("row")).select("part", F.col("col").alias("node")).distinct()
-        known = fronts[-1].select("node") if before is None else fronts[-1].select("node").union(before.select("node"))
-        new = cut(new.join(known, "node", "left_anti").select("part", "node", F.lit(len(fronts)).alias("level")))
-        if new.isEmpty():
-            return cut(reduce(DataFrame.union, fronts))
-        before = fronts[-1]
-        fronts.append(new)
+        active = fresh.select("block").distinct()
+        rows = fresh.withColumn("fresh", F.lit(True))
+        if known is not None:
+            rows = rows.unionByName(known.join(active, "block", "left_semi").withColumn("fresh", F.lit(False)))
+        made = rows.groupBy("block").cogroup(links.join(active, "block", "left_semi").groupBy("block")).applyInPandas(lambda r, e: _walked(e, r), "block long, node long, part long, level long, own boolean")
+        made = cut(made)
+        own, told = made.filter("own").drop("own"), made.filter("not own").groupBy("block", "node").agg(F.min("part").alias("part"), F.min("level").alias("level"))
+        known = own if known is None else cut(own.unionByName(known.join(active, "block", "left_anti")))
+        if blocks > 1:
+            told = told.join(known.select("node", F.col("level").alias("_had")), "node", "left").filter("_had is null or level < _had").select("block", "node", "part", "level")
+            fresh = cut(told)
+        if blocks == 1 or fresh.isEmpty():
+            return known.select("part", "node", F.col("level").cast("int").alias("level"))
 
 
 def separated(edges: DataFrame, parts: DataFrame) -> DataFrame:

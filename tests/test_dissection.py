@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from tessera.operators import dissection
 
 KIND = "row long, col long"
@@ -77,3 +79,18 @@ def test_parts_that_cannot_be_cut(spark):
     assert all(got[i] == ([0], False) for i in range(6))
     assert got[10] == ([10], True) and all(got[10 + i] == ([10, 10 + i], False) for i in range(1, 8))
     assert dissection.tree(spark.createDataFrame([], KIND), 3).count() == 0
+
+
+def test_a_sweep_takes_as_many_rounds_as_ranges(spark, monkeypatch):
+    n = 400
+    chain = spark.range(n - 1).select(F.col("id").alias("row"), (F.col("id") + 1).alias("col")).filter("row <> 299")
+    edges = dissection.both_ways(chain)
+    starts = spark.createDataFrame([(7, 120), (9, 399), (11, 1000)], "part long, node long")
+    written = []
+    whole = dissection.cut
+    monkeypatch.setattr(dissection, "cut", lambda df: written.append(1) or whole(df))
+    want = {(7, v, abs(v - 120)) for v in range(300)} | {(9, v, 399 - v) for v in range(300, n)} | {(11, 1000, 0)}
+    for block in (dissection.BLOCK_EDGES, 150):
+        monkeypatch.setattr(dissection, "BLOCK_EDGES", block)
+        assert {tuple(r) for r in dissection.sweep(edges, starts).select("part", "node", "level").collect()} == want
+    assert len(written) < 40  # levels are up to 179
