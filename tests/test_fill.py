@@ -47,3 +47,11 @@ def test_full_fill_makes_no_pairs(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(sparsity, "iluk", lambda *_: pytest.fail("paths, hop by hop"))
     monkeypatch.setattr(sparsity, "pattern", lambda *_: pytest.fail("pairs"))
     assert {(r.row, r.col) for r in mesh_queries.full_fill(spark, str(tmp_path)).collect()} == eliminated(pairs, n)
+
+
+def test_fill_of_orders_is_counted_without_its_entries(spark, tmp_path, monkeypatch):
+    n = 20
+    s = spark.range(n).select(F.col("id").alias("s_suppkey"), (F.col("id") % 3).cast("int").alias("s_nationkey"))
+    s.write.parquet(str(tmp_path / "supplier.parquet"))
+    monkeypatch.setattr(sparsity, "iluk", lambda *_: pytest.fail("entries of the fill"))
+    assert mesh_queries.minimum_degree_fill(spark, str(tmp_path)).first().asDict() == {"n": n, "lowest": 0, "highest": n - 1, "less_fill": True}
