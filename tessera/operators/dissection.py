@@ -17,6 +17,8 @@ from tessera.session import cut
 LEAF = 64
 #: Edges that one task walks along, about.
 BLOCK_EDGES = 400_000
+#: Parts of no more edges, told both ways, are cut to the end by one task each.
+TASK_EDGES = 200_000
 
 
 def both_ways(pat: DataFrame) -> DataFrame:
@@ -122,6 +124,47 @@ def separated(edges: DataFrame, parts: DataFrame) -> DataFrame:
     return cut(marked.join(needed, "node", "left").select("part", "node", "level", F.coalesce("separates", F.lit(False)).alias("separates"), F.col("cut_at").isNotNull().alias("splits")))
 
 
+def _reached(near: dict[int, list[int]], inside: set[int], start: int) -> dict[int, int]:
+    """Distances from the start inside a set of nodes."""
+    level, queue = {start: 0}, [start]
+    for x in queue:
+        for y in near[x]:
+            if y in inside and y not in level:
+                level[y] = level[x] + 1
+                queue.append(y)
+    return level
+
+
+def _taken_apart(pdf: pd.DataFrame, leaf: int, depths: int | None) -> pd.DataFrame:
+    """The rounds of `tree` over one connected part, given by its edges; `below` holds the parts under it that a node lay in."""
+    near: dict[int, list[int]] = {}
+    for a, b in zip(pdf["row"].tolist(), pdf["col"].tolist(), strict=True):
+        near.setdefault(a, []).append(b)
+    out, todo = [], [(set(near), [])]
+    while todo:
+        inside, below = todo.pop()
+        best = None
+        if len(inside) > leaf and (depths is None or len(below) < depths):
+            far = _reached(near, inside, min(inside))
+            level = _reached(near, inside, min(far, key=lambda x: (-far[x], x)))
+            sizes = np.bincount(list(level.values()))
+            under = np.cumsum(sizes) - sizes
+            least = np.minimum(under, len(inside) - under - sizes)
+            best = min((k for k in range(len(sizes)) if least[k] > 0), key=lambda k: (sizes[k] / least[k], k), default=None)
+        if best is None:
+            out.extend((x, below, False) for x in inside)
+            continue
+        first = {x for x, k in level.items() if k == best and any(level.get(y) == best + 1 for y in near[x])}
+        out.extend((x, below, True) for x in first)
+        left = inside - first
+        for x in sorted(left):
+            if x in left:
+                part = set(_reached(near, left, x))
+                left -= part
+                todo.append((part, [*below, x]))
+    return pd.DataFrame({"node": [r[0] for r in out], "below": [r[1] for r in out], "separates": [r[2] for r in out]})
+
+
 def tree(pat: DataFrame, leaf: int = LEAF, depths: int | None = None) -> DataFrame:
     """(node, path, separates): where the nodes of a pattern (row, col) stand in the tree of parts.
 
@@ -129,8 +172,8 @@ def tree(pat: DataFrame, leaf: int = LEAF, depths: int | None = None) -> DataFra
     named by its least node. A node that separates belongs to the separator of its
     last part, the others to a part that is not cut: of at most `leaf` nodes, of two
     levels only, or as deep as `depths`. No edge joins nodes of which neither's path
-    is the beginning of the other's. All parts of a depth are cut together, so the
-    rounds are the levels of the deepest parts, added over the depths.
+    is the beginning of the other's. All parts of a depth are cut together, and a part of at most
+    TASK_EDGES edges goes to one task with all that lies under it, so the rounds are those of the larger parts only.
     """
     edges = cut(both_ways(pat))
     left = cut(pat.select(F.col("row").alias("node")).union(pat.select("col")).distinct().withColumn("path", F.array().cast("array<long>")))
@@ -142,6 +185,12 @@ def tree(pat: DataFrame, leaf: int = LEAF, depths: int | None = None) -> DataFra
         left = cut(left.join(sizes, "part"))
         done.append(left.filter("not large").select("node", "path", F.lit(False).alias("separates")))
         left = left.filter("large").drop("large")
+        within = edges.join(left.select(F.col("node").alias("row"), "part"), "row")
+        few = cut(within.groupBy("part").agg(F.count("*").alias("n")).filter(F.col("n") <= TASK_EDGES).select("part"))
+        more = None if depths is None else depths - depth
+        under = within.join(few, "part", "left_semi").groupBy("part").applyInPandas(lambda pdf: _taken_apart(pdf, leaf, more), "node long, below array<long>, separates boolean")
+        done.append(cut(under.join(left.select("node", "path"), "node").select("node", F.concat("path", "below").alias("path"), "separates")))
+        left = cut(left.join(few, "part", "left_anti"))
         if left.isEmpty():
             return reduce(DataFrame.union, done)
         inner = edges.join(left.select(F.col("node").alias("row")), "row", "left_semi")

@@ -94,3 +94,19 @@ def test_a_sweep_takes_as_many_rounds_as_ranges(spark, monkeypatch):
         monkeypatch.setattr(dissection, "BLOCK_EDGES", block)
         assert {tuple(r) for r in dissection.sweep(edges, starts).select("part", "node", "level").collect()} == want
     assert len(written) < 40  # levels are up to 179
+
+
+def test_small_parts_are_cut_in_one_task_as_in_rounds(spark, monkeypatch):
+    edges = [*grid(13, 11), *[(a + 500, b + 500) for a, b in grid(3, 30)], (900, 900)]
+    pat = spark.createDataFrame(edges, KIND)
+    written = []
+    whole = dissection.cut
+    monkeypatch.setattr(dissection, "cut", lambda df: written.append(1) or whole(df))
+    own = lambda depths: sorted((r.node, r.path, r.separates) for r in dissection.tree(pat, 12, depths).collect())
+    one = own(None)
+    assert max(len(p) for _, p, _ in one) > 3 and len(written) < 12
+    monkeypatch.setattr(dissection, "TASK_EDGES", 150)
+    assert own(None) == one
+    deep = own(2)
+    monkeypatch.setattr(dissection, "TASK_EDGES", 10_000)
+    assert own(2) == deep != one
