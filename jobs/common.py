@@ -6,7 +6,8 @@ import argparse
 import json
 import logging
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,20 @@ def written(spark: SparkSession, path: str, schema: str, partitions: list[str])
     return spark.read.schema(schema).parquet(path)
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """The session with a setting changed, which is as it was afterwards."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A folder of a name not used before, under spark.checkpoint.dir."""
     return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"

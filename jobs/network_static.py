@@ -19,12 +19,14 @@ import sys
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobs.common import default_config, log, main, new_folder
+from jobs.common import default_config, log, main, new_folder, setting
 from tessera.functions.prefix import dense_index
 from tessera.operators import elimination, solvers, sparsity, vectors
 from tessera.session import cut
 
 NAME = "network_static"
+#: Tables of files over this size are joined by shuffles: each that is broadcast goes through the driver, round after round.
+BROADCAST = "64k"
 OUT = "kind string, key long, load double, moved double, reaction double, nation long"
 
 
@@ -54,6 +56,11 @@ def springs(nation: DataFrame, supplier: DataFrame, customer: DataFrame, orders:
 
 def run(spark: SparkSession, nation: str, supplier: str, customer: str, orders: str, lineitem: str, out: str, config: dict) -> DataFrame:
     """Solves and writes; returns OUT as read back: kind, key, load, moved, reaction, nation."""
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", BROADCAST):
+        return _solved(spark, nation, supplier, customer, orders, lineitem, out, config)
+
+
+def _solved(spark: SparkSession, nation: str, supplier: str, customer: str, orders: str, lineitem: str, out: str, config: dict) -> DataFrame:
     paths = (nation, supplier, customer, orders, lineitem)
     tables = [spark.read.parquet(p) for p in paths]
     hung = cut(springs(*tables, config))

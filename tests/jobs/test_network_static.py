@@ -53,3 +53,13 @@ def test_unbalanced_solution_is_told(spark, tmp_path, monkeypatch):
     with pytest.raises(job.NotBalancedError):
         job.run(spark, *[str(tmp_path / t) for t in TABLES], str(tmp_path / "out"), default_config(job.NAME))
     assert not (tmp_path / "out").exists()
+
+
+def test_no_large_table_goes_through_the_driver(spark, tmp_path, monkeypatch):
+    for t, (c, k) in {"nation": ("n_nationkey", "n_regionkey"), "supplier": ("s_suppkey", "s_nationkey"), "customer": ("c_custkey", "c_nationkey"), "orders": ("o_custkey", "x"), "lineitem": ("l_suppkey", "l_quantity")}.items():
+        spark.createDataFrame([(1, 1)], f"{c} long, {k} long").write.parquet(str(tmp_path / t))
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before, solve, seen = spark.conf.get(key), job.elimination.multifrontal, []
+    monkeypatch.setattr(job.elimination, "multifrontal", lambda a, b: seen.append(spark.conf.get(key)) or solve(a, b))
+    job.run(spark, *[str(tmp_path / t) for t in TABLES], str(tmp_path / "out"), default_config(job.NAME))
+    assert seen == [job.BROADCAST] and spark.conf.get(key) == before
