@@ -20,3 +20,27 @@ def test_transposed_places_join_no_entries(spark):
     assert {tuple(r) for r in found.collect()} == {(0, 1, 0, 0), (0, 2, 1, 2), (2, 1, 2, 1), (5, 2, 3, 3)}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 2  # one for each table of offsets
+
+
+def test_pairs_are_made_in_tasks_of_bounded_rows(spark, monkeypatch):
+    """Tasks go by the rows of elements, not by the bytes that they have before pairs are made."""
+    monkeypatch.setattr(sparsity.tasks, "__defaults__", (5,))
+    mesh = spark.createDataFrame([(e, v) for e in range(10) for v in (e, 10 + e, 20 + e, 30, None)], "elem long, node long")
+    pat = sparsity.pattern(mesh)
+    assert {r.row for r in pat.collect()} == {*range(31)} and pat.count() == pat.distinct().count() == 31 + 2 * 10 * 6
+    assert "RepartitionByExpression [elem" in pat._jdf.queryExecution().logical().toString() and sparsity.pairs(mesh).rdd.getNumPartitions() == 11
+
+
+def test_places_in_a_wider_pattern_and_none_outside_it(spark):
+    """Repeated nodes, entries of no element, and pairs that the pattern lacks; no pair is joined with the entries."""
+    mesh = spark.createDataFrame([(1, 0, 7), (1, 1, 5), (1, 2, 7), (2, 0, 5), (2, 1, 9), (2, 2, None)], "elem long, lnode int, node long")
+    pat = spark.createDataFrame([(5, 4), (5, 5), (5, 7), (6, 9), (7, 7), (7, 5), (7, 8)], "row long, col long")
+    idx = {(r, c): k for k, (r, c) in enumerate(sorted({(5, 4), (5, 5), (5, 7), (6, 9), (7, 7), (7, 5), (7, 8)}))}
+    rows = [(1, 0, 7), (1, 1, 5), (1, 2, 7), (2, 0, 5), (2, 1, 9)]
+    want = sorted((e, n, m, idx[a, b]) for e, n, a in rows for f, m, b in rows if e == f and (a, b) in idx)
+    found = sparsity.elem_index_map(mesh, pat)
+    assert sorted(map(tuple, found.collect())) == want
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1  # with the rows' starts
+    turned = spark.createDataFrame([(7, 5), (5, 7), (9, 9)], "old long, new long")
+    other = sparsity.elem_index_map(mesh, sparsity.apply_perm(pat, turned), turned)
+    assert sorted(map(tuple, other.collect())) == [(1, 0, 0, 0), (1, 0, 1, 1), (1, 0, 2, 0), (1, 1, 0, 2), (1, 1, 1, 3), (1, 1, 2, 2), (1, 2, 0, 0), (1, 2, 1, 1), (1, 2, 2, 0), (2, 0, 0, 3)]
