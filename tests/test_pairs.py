@@ -44,3 +44,13 @@ def test_places_in_a_wider_pattern_and_none_outside_it(spark):
     turned = spark.createDataFrame([(7, 5), (5, 7), (9, 9)], "old long, new long")
     other = sparsity.elem_index_map(mesh, sparsity.apply_perm(pat, turned), turned)
     assert sorted(map(tuple, other.collect())) == [(1, 0, 0, 0), (1, 0, 1, 1), (1, 0, 2, 0), (1, 1, 0, 2), (1, 1, 1, 3), (1, 1, 2, 2), (1, 2, 0, 0), (1, 2, 1, 1), (1, 2, 2, 0), (2, 0, 0, 3)]
+
+
+def test_a_mirrored_union_shuffles_no_mirror_image(spark):
+    a = spark.createDataFrame([(1, 2), (2, 1), (3, 1), (4, 4), (None, 5), (None, None), (5, None)], "row long, col long")
+    b = spark.createDataFrame([(2, 2), (1, 3), (6, 1)], "row long, col long")
+    found = sparsity.union_pattern(a, b, mirrored=True)
+    rows = {tuple(r) for r in a.union(b).collect()}
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == rows | {(c, r) for r, c in rows}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2
