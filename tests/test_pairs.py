@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tessera.operators import sparsity
+from tessera.plans import queries
 
 
 def test_a_pattern_makes_each_pair_once(spark):
@@ -54,3 +55,13 @@ def test_a_mirrored_union_shuffles_no_mirror_image(spark):
     got = [tuple(r) for r in found.collect()]
     assert len(got) == len(set(got)) and set(got) == rows | {(c, r) for r, c in rows}
     assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2
+
+
+def test_shared_orders_are_counted_one_way(spark, tmp_path):
+    """The matrix that apply_perm renumbers: repeated and null suppliers, and pairs in tasks of their own."""
+    lines = [(1, 1, 10), (1, 2, 20), (1, 3, 10), (2, 1, 20), (2, 2, 10), (2, 3, None), (3, 1, 20), (4, 1, 30)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(10, 2), (20, 1)], "s_suppkey long, s_nationkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    found = queries.QUERIES["apply_perm"](spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == [(0, 0, 320), (0, 1, 220), (1, 0, 210), (1, 1, 210)]
+    assert "slice(" in found._jdf.queryExecution().optimizedPlan().toString()
