@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.prefix import prefix_sum
-from tessera.operators.sparsity import pattern
+from tessera.operators.sparsity import dealt, pattern, tasks
 
 # Local nodes of the edges and faces of each element type.
 EDGES = {
@@ -107,11 +107,18 @@ def element_graph(mesh: DataFrame, with_diagonal: bool = True) -> DataFrame:
 
 
 def halo(mesh: DataFrame, elems: DataFrame, layers: int = 2) -> DataFrame:
-    """(elem): the given elements and those that hang together with them by vertices, in so many layers."""
-    owned = elems.select("elem").distinct()
+    """(elem): the given elements and those that hang together with them by vertices, in so many layers.
+
+    The mesh is dealt in tasks of bounded rows by element and by vertex, so that what a
+    join sorts in a task does not grow with it.
+    """
+    n = tasks(mesh)
+    ends = mesh.select("elem", "node")
+    by_elem, by_node = dealt(ends, n, "elem"), dealt(ends, n, "node")
+    owned = dealt(elems.select("elem"), n, "elem").distinct()
     for _ in range(layers):
-        near = mesh.join(owned, "elem", "left_semi").select("node").distinct()
-        owned = mesh.join(near, "node", "left_semi").select("elem").distinct()
+        near = dealt(by_elem.join(owned, "elem", "left_semi").select("node").distinct(), n, "node")
+        owned = dealt(by_node.join(near, "node", "left_semi").select("elem"), n, "elem").distinct()
     return owned
 
 

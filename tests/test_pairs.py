@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.operators import sparsity
+from tessera.operators import sparsity, topology
 from tessera.plans import queries
 
 
@@ -65,3 +65,14 @@ def test_shared_orders_are_counted_one_way(spark, tmp_path):
     found = queries.QUERIES["apply_perm"](spark, str(tmp_path))
     assert sorted(map(tuple, found.collect())) == [(0, 0, 320), (0, 1, 220), (1, 0, 210), (1, 1, 210)]
     assert "slice(" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_halo_is_dealt_in_tasks_of_bounded_rows(spark, monkeypatch):
+    monkeypatch.setattr(sparsity.tasks, "__defaults__", (5,))
+    mesh = spark.createDataFrame([(e, v) for e in range(20) for v in (e, e + 1)] + [(50, None), (51, 99)], "elem long, node long")
+    owned = spark.createDataFrame([(3,), (3,), (50,), (77,)], "elem long")
+    for layers, want in ((1, {2, 3, 4}), (2, {1, 2, 3, 4, 5})):
+        found = topology.halo(mesh, owned, layers)
+        got = [r.elem for r in found.collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert "RepartitionByExpression [node" in found._jdf.queryExecution().logical().toString()
