@@ -76,3 +76,12 @@ def test_a_halo_is_dealt_in_tasks_of_bounded_rows(spark, monkeypatch):
         got = [r.elem for r in found.collect()]
         assert len(got) == len(want) and set(got) == want
     assert "RepartitionByExpression [node" in found._jdf.queryExecution().logical().toString()
+
+
+def test_values_are_copied_in_as_many_tasks_as_given(spark):
+    pat = spark.createDataFrame([(r, c) for r in range(6) for c in range(3)], "row long, col long")
+    mat = spark.createDataFrame([(1, 1, 2.0), (5, 0, 3.0), (9, 9, 4.0)], "row long, col long, val double")
+    found = sparsity.merge_copy(pat, mat, 7)
+    want = {(r, c, {(1, 1): 2.0, (5, 0): 3.0}.get((r, c), 0.0)) for r in range(6) for c in range(3)}
+    assert {tuple(r) for r in found.collect()} == want and found.count() == 18
+    assert found._jdf.queryExecution().logical().toString().count("RepartitionByExpression [row") == 2
