@@ -31,19 +31,24 @@ KEYS = ["case", "part", "word"]
 
 
 def contributions(docs: DataFrame, config: dict) -> DataFrame:
-    """(case, part, word, n_docs, n_uses): one row for each use of a word, and one for each word of a document.
+    """(case, word, n_docs, n_uses): one row for each use of a word, and one for each word of a document.
 
     A null text has no words, a null case is a case of its own; rows that repeat are documents of their own.
     """
     words = F.regexp_extract_all(F.coalesce(F.col(config["text"]), F.lit("")), F.lit(config["word"]), 0)
-    row = lambda docs, uses: lambda w: F.struct(w.alias("word"), F.lit(docs).cast("long").alias("n_docs"), F.lit(uses).cast("long").alias("n_uses"))
     each = docs.select(F.col(config["case"]).cast("string").alias("case"), words.alias("words"))
-    rows = each.select("case", F.inline(F.concat(F.transform("words", row(0, 1)), F.transform(F.array_distinct("words"), row(1, 0)))))
-    return rows.withColumn("part", F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(config["parts"])).cast("int"))
+    rows = each.select("case", F.size("words").alias("n"), F.posexplode(F.concat("words", F.array_distinct("words"))).alias("k", "word"))
+    use = F.col("k") < F.col("n")  # the words of the document follow its uses
+    return rows.select("case", "word", F.when(use, 0).otherwise(1).cast("long").alias("n_docs"), F.when(use, 1).otherwise(0).cast("long").alias("n_uses"))
 
 
-def _summed(rows: DataFrame) -> DataFrame:
-    return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_uses").alias("n_uses"))
+def _summed(rows: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_uses").alias("n_uses"))
+
+
+def partial_sums(docs: DataFrame, config: dict) -> DataFrame:
+    """(case, word, n_docs, n_uses, part): the part of a word is worked out once for its sum, not for each use."""
+    return _summed(contributions(docs, config), ["case", "word"]).withColumn("part", F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(config["parts"])).cast("int"))
 
 
 def run(spark: SparkSession, documents: str, out: str, checkpoint: str, config: dict) -> DataFrame:
@@ -54,7 +59,7 @@ def run(spark: SparkSession, documents: str, out: str, checkpoint: str, config:
 
     def take(batch: DataFrame, batch_id: int) -> None:
         own = batch.sparkSession
-        new = _summed(contributions(batch, config)).withColumn("batch", F.lit(batch_id).cast("long"))
+        new = partial_sums(batch, config).withColumn("batch", F.lit(batch_id).cast("long"))
         _replace(new, PARTIALS, ["case", "part", "batch"], partials)
         every = own.read.schema(PARTIALS).parquet(partials)
         touched = every.filter(F.col("batch") == batch_id).select(F.col("case").alias("_case"), F.col("part").alias("_part")).distinct()

@@ -71,3 +71,16 @@ def test_empty_table(spark, tmp_path):
 def test_config(tmp_path):
     (tmp_path / "c.json").write_text('{"parts": 2, "text": "body"}')
     assert load_config(tmp_path / "c.json", parts=None, text="html") == {"parts": 2, "text": "html"}
+
+
+def test_parts_are_worked_out_for_sums_and_not_for_uses(spark):
+    docs = spark.createDataFrame([("a b a", "s"), ("a", "s"), (None, "s"), ("", None), ("b", None)], "text string, source string")
+    config = default_config(job.NAME)
+    rows = [tuple(r) for r in job.contributions(docs, config).select("case", "word", "n_docs", "n_uses").collect()]
+    want = [("s", "a", 0, 1)] * 3 + [("s", "b", 0, 1), (None, "b", 0, 1)] + [("s", "a", 1, 0)] * 2 + [("s", "b", 1, 0), (None, "b", 1, 0)]
+    assert Counter(rows) == Counter(want)
+    sums = job.partial_sums(docs, config)
+    assert {(r.case, r.word): (r.n_docs, r.n_uses) for r in sums.collect()} == {("s", "a"): (2, 3), ("s", "b"): (1, 1), (None, "b"): (1, 1)}
+    plan = sums._jdf.queryExecution().optimizedPlan().toString()
+    summed, below = plan.split("\n", 1)  # the sums' own results come first
+    assert summed.startswith("Aggregate") and "crc32" in summed and "crc32" not in below and "struct" not in plan
