@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import elimination, ordering, solvers, sparsity
+from tessera.plans import mesh_queries
 from tessera.session import cut
 
 
@@ -129,3 +130,62 @@ def test_beyond_the_limit_of_the_dense_solver(spark):
     got = elimination.multifrontal(mat, rhs)
     off = got.join(x.withColumnRenamed("val", "want"), "dof").agg(F.count("*").alias("n"), F.max(F.abs(F.col("val") - F.col("want"))).alias("e")).first()
     assert off.n == n and off.e < 1e-9
+
+
+def graph_of(spark, a, groups):
+    """The pattern with the groups as members, and the matrix with all their pairs."""
+    whole = a.copy()
+    for _, nodes in groups:
+        whole[np.ix_(nodes, nodes)] = 1
+    return matrix(spark, a).select("row", "col"), spark.createDataFrame([(e, int(v)) for e, nodes in groups for v in nodes], "elem long, node long"), whole
+
+
+@pytest.mark.parametrize("in_task", [True, False])
+def test_groups_are_elements_and_lose_many_nodes_a_round(spark, monkeypatch, in_task):
+    n = 60
+    groups = [(e, np.flatnonzero(np.arange(n) ** 2 % 7 % 4 == e)) for e in range(3)]
+    line = np.eye(n) + np.eye(n, k=7) + np.eye(n, k=-7)
+    pat, members, whole = graph_of(spark, line, groups)
+    if not in_task:
+        monkeypatch.setattr(elimination, "TASK_ROWS", -1)
+    tree = elimination.fronts(pat, groups=members)
+    place = {r.old: r.new for r in elimination.ordered(tree).collect()}
+    assert sorted(place) == sorted(place.values()) == list(range(n))
+    near = {v: {int(w) for w in np.flatnonzero(whole[v]) if w != v} for v in range(n)}
+    fronts, border = {}, {}
+    for r in tree.pivots.collect():
+        fronts.setdefault(r.front, set()).add(r.node)
+    for r in tree.border.collect():
+        border.setdefault(r.front, set()).add(r.node)
+    for front in sorted(fronts, key=lambda f: place[f]):
+        left = set()
+        for v in sorted(fronts[front], key=lambda v: place[v]):
+            members = near.pop(v)
+            left |= members
+            for u in members:
+                near[u] = (near[u] | members) - {u, v}
+        assert left - fronts[front] == border.get(front, set())
+    parent = {r.front: r.parent for r in tree.parents.collect()}
+    assert set(parent) == set(border) and all(border[f] <= fronts[p] | border.get(p, set()) for f, p in parent.items())
+    assert tree.pivots.select("round").distinct().count() < 12 < max(len(nodes) for _, nodes in groups)
+
+
+def test_one_task_goes_on_as_the_rounds_do(spark, monkeypatch):
+    a = random_graph(40, 0.06, 3)
+    pat, members, _ = graph_of(spark, a, [(0, np.arange(0, 12)), (1, np.arange(10, 20)), (9, np.arange(30, 31))])
+    told = lambda t: [sorted(map(tuple, df.collect())) for df in (t.pivots, t.border, t.levels, t.parents)]
+    for groups in (None, members):
+        rows = []
+        for most in (-1, 90, 10**6):
+            monkeypatch.setattr(elimination, "TASK_ROWS", most)
+            rows.append(told(elimination.fronts(pat, groups=groups)))
+        assert rows[0] == rows[1] == rows[2]
+
+
+def test_order_of_nations_makes_no_pairs(spark, tmp_path, monkeypatch):
+    n = 2000  # two nations: two million pairs
+    s = spark.range(n).select(F.col("id").alias("s_suppkey"), F.pmod(F.xxhash64("id"), F.lit(2)).cast("int").alias("s_nationkey"))
+    s.write.parquet(str(tmp_path / "supplier.parquet"))
+    monkeypatch.setattr(sparsity, "pattern", lambda *_: pytest.fail("pairs"))
+    got = mesh_queries.minimum_degree_fill(spark, str(tmp_path)).first()
+    assert (got.n, got.lowest, got.highest) == (n, 0, n - 1)
