@@ -15,12 +15,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.sparsity import dealt
 from tessera.session import cut
 
 #: Edges that one task takes at a time, about.
 BLOCK_EDGES = 500_000
 #: Chain positions of which the nodes stand in one row.
 BLOCK_NODES = 1024
+#: Rows that meet one copy of a block, and pairs made in a task, both about.
+BLOCK_ROWS = 4096
+TASK_PAIRS = 10_000_000
 
 
 def lower_links(pat: DataFrame, groups: DataFrame | None = None) -> DataFrame:
@@ -106,18 +110,39 @@ def forest(links: DataFrame) -> DataFrame:
     return out
 
 
+def _climbed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(node, up) of a range of nodes, up the parent or the node itself -> (node, chain, pos): the last node on the way up that the range knows of, and the steps there."""
+    rows = pd.concat(list(batches))
+    if not len(rows):
+        return
+    rows = rows.sort_values("node", ascending=False)
+    found: dict[int, tuple[int, int]] = {}
+    for node, up in zip(rows["node"].tolist(), rows["up"].tolist(), strict=True):
+        chain, pos = found.get(up, (up, 0))
+        found[node] = (chain, pos + (up != node))
+    yield pd.DataFrame([(node, *at) for node, at in found.items()], columns=["node", "chain", "pos"])
+
+
 def chains(tree: DataFrame) -> DataFrame:
-    """(node, chain, pos, up): the chain of each node, named by its top, the steps to the top, and the top's parent. Doubling steps, so the rounds are the logarithm of the longest chain."""
+    """(node, chain, pos, up): the chain of each node, named by its top, the steps to the top, and the top's parent.
+
+    A parent is above its node, so a range of about BLOCK_EDGES nodes goes up by itself. Between
+    ranges steps double, so the rounds are the logarithm of the ranges.
+    """
     heavy = tree.filter("parent is not null").groupBy("parent").agg(F.max_by("node", F.struct("size", -F.col("node"))).alias("node"))
-    at = cut(tree.join(heavy.select("node", F.lit(True).alias("on")), "node", "left").select("node", F.when(F.col("on"), F.col("parent")).otherwise(F.col("node")).alias("chain"), F.when(F.col("on"), 1).otherwise(0).cast("long").alias("pos")))
-    moved = at.agg(F.sum("pos")).first()[0]
-    while True:
+    ways = cut(tree.join(heavy.select("node", F.lit(True).alias("on")), "node", "left").select("node", F.when(F.col("on"), F.col("parent")).otherwise(F.col("node")).alias("up")))
+    ranges = ways.count() // BLOCK_EDGES + 1
+    dealt_out = ways.repartitionByRange(ranges, "node") if ranges > 1 else ways.repartition(1)
+    at = cut(dealt_out.mapInPandas(_climbed, "node long, chain long, pos long"))
+    moved = None
+    while ranges > 1:
         ahead = at.select(F.col("node").alias("chain"), F.col("chain").alias("_c"), F.col("pos").alias("_p"))
         at = cut(at.join(ahead, "chain").select("node", F.col("_c").alias("chain"), (F.col("pos") + F.col("_p")).alias("pos")))
         now = at.agg(F.sum("pos")).first()[0]
         if now == moved:
-            return cut(at.join(tree.select(F.col("node").alias("chain"), F.col("parent").alias("up")), "chain").select("node", "chain", "pos", "up"))
+            break
         moved = now
+    return cut(at.join(tree.select(F.col("node").alias("chain"), F.col("parent").alias("up")), "chain").select("node", "chain", "pos", "up"))
 
 
 def intervals(pat: DataFrame, groups: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -147,18 +172,29 @@ def count(pat: DataFrame, groups: DataFrame | None = None) -> int:
 
 
 def entries(pat: DataFrame, groups: DataFrame | None = None) -> DataFrame:
-    """(row, col) of the full fill, the diagonal among them. Chains are listed by BLOCK_NODES; pairs are made inside the row, in the last step."""
+    """(row, col) of the full fill, the diagonal among them. Chains are listed by BLOCK_NODES; pairs are made inside the row, in the last step.
+
+    Spark puts tasks together by their bytes before pairs are made, and a block meets the rows of nearly all
+    nodes: rows are dealt by the pairs that they will make, to copies of the blocks.
+    """
     found, at = intervals(pat, groups)
     block = F.floor(F.col("pos") / BLOCK_NODES)
     lists = at.groupBy("chain", block.alias("block")).agg(F.array_sort(F.collect_list(F.struct("pos", "node"))).alias("ns")).select("chain", "block", F.col("ns.node").alias("ns"))
     spans = found.select("row", "chain", "upper", "lower", F.explode(F.sequence(F.floor(F.col("upper") / BLOCK_NODES), F.floor(F.col("lower") / BLOCK_NODES))).alias("block"))
     first = F.greatest(F.lit(0), F.col("upper") - F.col("block") * BLOCK_NODES)
     end = F.least(F.lit(BLOCK_NODES - 1), F.col("lower") - F.col("block") * BLOCK_NODES)
+    nodes = cut(_nodes(pat, groups))
+    copies = nodes.count() // BLOCK_ROWS + 1
     # both are small beside the fill
-    parts = cut(spans.select("row", "chain", "block", first.cast("int").alias("first"), (end - first + 1).cast("int").alias("n")))
-    lower = parts.join(lists, ["chain", "block"]).select("row", F.explode(F.slice("ns", F.col("first") + 1, F.col("n"))).alias("col"))
-    both = lower.select(F.explode(F.array(F.struct("row", "col"), F.struct(F.col("col").alias("row"), F.col("row").alias("col")))).alias("e")).select("e.row", "e.col")
-    return both.union(_nodes(pat, groups).select(F.col("node").alias("row"), F.col("node").alias("col")))
+    parts = cut(spans.select("row", "chain", "block", F.pmod(F.xxhash64("row"), F.lit(copies)).alias("copy"), first.cast("int").alias("first"), (end - first + 1).cast("int").alias("n")))
+    lists = lists.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))))
+    n = (parts.agg(F.sum("n")).first()[0] or 0) // TASK_PAIRS + 1
+    n = n if n == 1 else max(n, pat.sparkSession.sparkContext.defaultParallelism)
+    key = ["chain", "block", "copy"]
+    met = dealt(parts, n, *key).join(dealt(lists, n, *key), key)
+    lower = met.select("row", F.slice("ns", F.col("first") + 1, F.col("n")).alias("ns"), F.explode(F.array(F.lit(True), F.lit(False))).alias("low")).select("row", "low", F.explode("ns").alias("col"))
+    both = lower.select(F.when(F.col("low"), F.col("row")).otherwise(F.col("col")).alias("row"), F.when(F.col("low"), F.col("col")).otherwise(F.col("row")).alias("col"))
+    return both.union(nodes.select(F.col("node").alias("row"), F.col("node").alias("col")))
 
 
 def _nodes(pat: DataFrame, groups: DataFrame | None) -> DataFrame:
